@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .mixing import op3_mixing
+from .quality_rules import OP6_SQL, op6_quality_rules
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": OP5_SQL,
+    "op6_quality_rules": OP6_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
