@@ -2,7 +2,7 @@ r"""Line-first cleaning rules on native expressions.
 
 Words are ``[^\x20\x09-\x0D]+``. Each line is judged on its own: a line fails when it is
 navigation (three or more separators), boilerplate (a fixed phrase), mostly punctuation, or
-long without an ending mark. Failed lines are removed; a document that keeps fewer than
+long without any ending mark. Failed lines are removed; a document that keeps fewer than
 ``min_kept_pct`` percent of its words is rejected, as is one that fails the base rules.
 
 Repeated 3-word windows are found inside a row: each window's 64-bit hash carries its
@@ -24,14 +24,14 @@ from .shared import WHITE, text_of
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MIN_KEPT_PCT = 50
-#: A line with at least so many words needs an ending mark.
+#: A line with at least so many words needs an ending mark somewhere (copies may have lost the last one).
 LONG_LINE = 8
 #: Percent of a line's non-blank characters that may be punctuation or symbols.
 MAX_MARK_PCT = 20
 SEPARATORS = "|›»•·"
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!?.,;:=+-_/~^@()[]{}\"'"
-ENDINGS = ".!?…\"'”’»):;。！？"
+ENDINGS = ".!?…。！？"
 BOILERPLATE = ("cookie", "all rights reserved", "javascript", "terms of use", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "click here", "alle rechte vorbehalten", "datenschutz", "tous droits réservés", "todos los derechos reservados")
 
 
@@ -50,8 +50,8 @@ def line_fails(line: Column, long_line: int = LONG_LINE, max_mark_pct: int = MAX
     navigation = _count(line, SEPARATORS) >= 3
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     marks = _count(line, MARKS) * 100 > solid * max_mark_pct
-    open_end = (F.size(F.split(bare, r"[\x20\x09-\x0D]+")) >= long_line) & (F.instr(F.lit(ENDINGS), F.right(bare, F.lit(1))) == 0)
-    return navigation | boilerplate | marks | open_end
+    unended = (F.size(F.split(bare, r"[\x20\x09-\x0D]+")) >= long_line) & (_count(line, ENDINGS) == 0)
+    return navigation | boilerplate | marks | unended
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ judged AS (
   SELECT *, length(line) - length(translate(line, {_Q(SEPARATORS)}, '')) >= 3
     OR regexp_matches(lower(line), {_Q("|".join(BOILERPLATE))})
     OR (length(line) - length(translate(line, {_Q(MARKS)}, ''))) * 100 > length(solid) * {MAX_MARK_PCT}
-    OR (n >= {LONG_LINE} AND instr({_Q(ENDINGS)}, right(bare, 1)) = 0) AS fails
+    OR (n >= {LONG_LINE} AND length(line) = length(translate(line, {_Q(ENDINGS)}, ''))) AS fails
   FROM real),
 by_doc AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,

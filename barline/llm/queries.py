@@ -6,16 +6,19 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op3_mixing
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op8_warc": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
