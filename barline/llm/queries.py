@@ -5,13 +5,17 @@ from __future__ import annotations
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op3_mixing
+from .packing import op2_packing
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .token_counts import op7_token_counts
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
