@@ -6,6 +6,7 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op3_mixing
 from .packing import op2_packing
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .token_counts import op7_token_counts
 from .warc import OP8_SQL, op8_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
