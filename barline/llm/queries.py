@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op3_mixing
 from .packing import op2_packing
@@ -14,6 +15,7 @@ from .warc import OP8_SQL, op8_warc
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_jaccard_join": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_warc": OP8_SQL,
