@@ -9,10 +9,12 @@ from .mixing import op3_mixing
 from .packing import op2_packing
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
