@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,14 +41,14 @@ WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Characters whose unknown words are encoded together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 22
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-PART = "\x01"
+MARKS = ".,;:!?"
+SIMPLE = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]?)")
 
 TOKENS = "doc_id long, source string, chunk int, start long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -55,12 +56,19 @@ PIECE_TYPES = [pa.int64()] * 7 + [pa.string()]
 PIECE_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies spell bytes: printable Latin-1 stands for itself, the rest follows U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of white-space words as bytes (little-endian unsigned 32-bit), remembered in two generations.
 
-    Words the tokenizer has not seen yet are encoded together, parted by a control character
-    that is a piece and a token of its own. A word of Latin-1 letters with at most one mark
-    at its end is the pieces of its lower-cased letters and of the mark, so it shares theirs.
+    A word of Latin-1 letters with at most one mark at its end is two pieces to the tokenizer,
+    the lower-cased letters and the mark, so the letters go to its model directly and all
+    spellings share them; every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,38 +76,31 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.parted = self.tok.encode(PART, add_special_tokens=False).ids
-        assert len(self.parted) == 1, "the parting character must be one token"
+        self.model, self.letters = self.tok.model, byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS)), strict=True)) | {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> None:
-        odd = [w for w in words if PART in w]
-        words = [w for w in words if PART not in w]
-        joined = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for some, e in zip(joined, self.tok.encode_batch_fast([f" {PART} ".join(x) + f" {PART}" for x in joined], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.parted[0])
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self.known[w] = raw[4 * at : 4 * end]
-                at = end + 1
-        for w, e in zip(odd, self.tok.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(spelt)])
 
     def learn(self, new: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
-        need = set()
+        known, older, odd = self.known, self.older, []
         for w in new:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-                continue
-            m = SIMPLE.fullmatch(w)
-            parts[w] = pair = (m[1].lower(), m[2]) if m else (w, "")
-            need.update(x for x in pair if x and x not in self.known)
-        self._encode(list(need))
-        for w, (core, mark) in parts.items():
-            self.known[w] = self.known[core] + (self.known[mark] if mark else b"")
+            if (ids := older.get(w)) is None:
+                if (m := SIMPLE.fullmatch(w)) is None:
+                    odd.append(w)
+                    continue
+                core, mark = m[1].lower(), m[2]
+                if (ids := known.get(core)) is None:
+                    ids = known[core] = self._piece(core)
+                ids += self.marks[mark]
+            known[w] = ids
+        known.update(zip(odd, self._whole(odd), strict=True))
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         split = [WORD.findall(x) if ODD.search(x) else x.split() for x in texts]
@@ -155,7 +156,7 @@ class Spans:
     def __init__(self, totals: list[int], window: int = WINDOW, span_windows: int = SPAN_WINDOWS) -> None:
         self.totals, self.all, self.window, self.size = totals, sum(totals), window, window * span_windows
         self.stride = (self.size + len(totals)) // window + window.bit_length() + 1
-        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.known: dict[int, tuple[list[list[int]], list[list[int]]]] = {}
 
     def bound(self, s: int, p: int) -> int:
         """Tokens of source s before span p."""
@@ -170,8 +171,8 @@ class Spans:
             p -= 1
         return p
 
-    def fill(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """(windows + 1, sources): tokens of each queue before each window; (windows, sources): where its part begins."""
+    def fill(self, p: int) -> tuple[list[list[int]], list[list[int]]]:
+        """For each source its tokens before each window and after the last, and where its part of each window begins."""
         if p in self.known:
             return self.known[p]
         n = len(self.totals)
@@ -200,7 +201,7 @@ class Spans:
         upto = np.vstack([np.zeros((1, n), dtype=np.int64), np.cumsum(np.array(takes).reshape(-1, n), axis=0)])
         if len(self.known) > 512:
             self.known.clear()
-        self.known[p] = upto, np.array(begins).reshape(-1, n)
+        self.known[p] = upto.T.tolist(), np.array(begins).reshape(-1, n).T.tolist()
         return self.known[p]
 
     def pieces(self, s: int, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
@@ -209,13 +210,14 @@ class Spans:
         while done < n:
             p = self.of(s, at + done)
             upto, begins = self.fill(p)
-            col, x = upto[:, s], at + done - self.bound(s, p)
-            stop = min(int(col[-1]), x + n - done)
-            w = int(np.searchsorted(col, x, "right")) - 1
+            col, begin, first = upto[s], begins[s], p * self.stride
+            x = at + done - self.bound(s, p)
+            stop = min(col[-1], x + n - done)
+            w = bisect_right(col, x) - 1
             while x < stop:
-                k = min(int(col[w + 1]), stop) - x
+                k = min(col[w + 1], stop) - x
                 if k > 0:
-                    yield done, k, p * self.stride + w, int(begins[w, s]) + x - int(col[w])
+                    yield done, k, first + w, begin[w] + x - col[w]
                     x, done = x + k, done + k
                 w += 1
 
