@@ -5,7 +5,9 @@ of smaller id, or before it in the same one).
 
 1. Anchors. Each window of LENGTH bytes chooses the leftmost smallest hash of its
    ``GRAM``-byte strings, so equal windows choose equal grams at equal places. A document's
-   windows are thereby dealt to few anchors, each with a run of window starts.
+   windows are thereby dealt to few anchors, each with a run of window starts. The run is
+   split in two: windows that also hold the GRAM bytes before the gram, and the others, which
+   hold the GRAM bytes after it; either is filed under those 2 * GRAM bytes.
 2. Suffix buckets. A bucket is a range of gram hashes. Only grams that occur twice matter;
    their documents learn which, and send the suffixes around those anchors (at most
    2 * LENGTH - GRAM bytes each, aligned at the gram) to their buckets.
@@ -84,7 +86,7 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, gram hash, anchor, first window start, last window start) in arrays, a block at a time."""
+    """(text number, hash of 2 * GRAM bytes, anchor, first window start, last window start) in arrays, a block at a time."""
     size = 1 << BLOCK_BITS
     held: list[tuple[int, int, bytes]] = []  # text, where the part begins, part
     total = 0
@@ -104,8 +106,12 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
         shift = np.array([o for _, o, _ in held]) - begin
-        p = part[first]
-        return np.array([t for t, _, _ in held])[p], h[at[first]], at[first] + shift[p], starts[first] + shift[p], starts[last] + shift[p]
+        p, a, first, last = part[first], at[first], starts[first], starts[last]
+        left, right = first <= a - GRAM, last > a - GRAM  # has windows that hold the GRAM bytes before the gram; that hold those after it
+        key = lambda rows, by, sign: _mixed(h[a[rows]] * _U(0x9E3779B97F4A7C15) + h[a[rows] + by] + _U(sign))
+        both = lambda x, y: np.append(x[left], y[right])
+        p2 = both(p, p)
+        return np.array([t for t, _, _ in held])[p2], np.append(key(left, -GRAM, 0), key(right, GRAM, 1)), both(a, a) + shift[p2], both(first, np.maximum(first, a - GRAM + 1)) + shift[p2], both(np.minimum(last, a - GRAM), last) + shift[p2]
 
     for t, x in enumerate(texts):
         o = 0
