@@ -8,14 +8,17 @@ order gives the same links, a good one keeps the lists short.
 
 1. Every document becomes a node, the hash of its set; equal sets are one node.
 2. The first n - T + 1 shingles of each node go to inverted lists; a task merges the sorted
-   runs of its range of shingles. Lists with one node end there.
-3. Each list's nodes are candidates of the list's smallest node. A candidate is checked by
-   DivideSkip: the short shingles are merged, and only if their count plus the number of long
-   ones can reach the required overlap are the long ones probed by binary search. Leaders with
-   many candidates are salted, their set is repeated for each salt.
-4. Links merge nodes into classes. Only nodes of a list that are still in different classes are
-   then checked against each other, so a large group of near copies costs a star, not a
-   square, and no link between different classes is missed.
+   runs of its range of shingles. Lists with one node end there; the nodes of the others go to
+   the group of the list's smallest node. Linked nodes share a list, so they share a group.
+   A group of more than ``BLOCK`` nodes is worked on by pairs of blocks.
+3. In a group, nodes without any partner that could reach the overlap are dropped: sizes must
+   fit, and bitmaps of the sets must not differ in more bits than linked sets differ in
+   shingles. Both tests are exact bounds.
+4. The sets of the nodes that stay are brought together and searched by DivideSkip: a node's
+   short inverted lists are merged into counts, nodes whose count cannot reach T with all long
+   lists drop out, and the long lists are probed for the rest by binary search, or merged where
+   that is less work. A group returns a spanning forest of its links, never all pairs.
+5. Links become classes by connected components.
 
 Defined results: a null text, an empty one or one without words has the empty set and stands
 alone; fewer than five words are one shingle; an empty table gives an empty result; repeated
@@ -46,23 +49,28 @@ COUNTERS, PARTS = 1 << 18, 16
 LONG, LONG_SIGMAS = 64, 8
 #: List entries that a task sorts at once before it sends them off.
 RUN = 1 << 20
-#: Candidates of a leader that one task checks.
-SALT_ROWS = 256
+#: Nodes of a group that are searched at once (twice as many with those of another block).
+BLOCK = 2048
+#: A list in a group that is long enough to be probed instead of merged.
+LONG_LIST = 32
 NO_ID = 2**63 - 1
 
 _U = np.uint64
 
 
-def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
-    """Shared shingles that sets of n and m need."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def node_of(tokens: np.ndarray) -> int:
     """The set's hash; 0 for the empty set."""
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each shingle, in a power of two of at least 2 n and 64 bits."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens >> _U(20) & _U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(text_of(), "UTF-8").alias("raw"))
 
@@ -71,31 +79,45 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     return shingle_sets([x.as_buffer().to_pybytes() for x in column])
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents hold a shingle, by counter: COUNTERS numbers whatever the input."""
+def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Documents (doc_id, node, n, bits), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("some", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
+
+        def count() -> None:
+            counts[:] += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+
         for b in batches:
+            nodes, sizes, bits = [], [], []
             for s in _sets(b.column(1)):
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                bits.append(bitmap(s))
                 held.append(s)
                 size += len(s)
                 if size > RUN:
-                    counts += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                    count()
                     held, size = [], 0
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if held:
-            counts += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            count()
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": list(range(PARTS)), "some": [task // 256] * PARTS, "counts": [x.tobytes() for x in counts.reshape(PARTS, -1)]}, schema=pa.schema([("part", pa.int32()), ("some", pa.int32()), ("counts", pa.binary())]))
+        none = pa.nulls(PARTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([task // 256] * PARTS, pa.int32()), pa.array([x.tobytes() for x in counts.reshape(PARTS, -1)], pa.binary())], schema=schema)
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"])
         return pa.table({"part": t["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    each = _rows(docs).mapInArrow(run, "part int, some int, counts binary")
+    made = written(_rows(docs).mapInArrow(run, "doc_id long, node long, n long, bits binary, part int, some int, counts binary"), "shingle-counts")
+    each = made.where("part is not null").select("part", "some", "counts")
     sums = each.groupBy("part", "some").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     found = sums.orderBy("part").toArrow()["counts"].to_pylist()
-    return np.concatenate([np.frombuffer(x, np.int64) for x in found]) if found else np.zeros(COUNTERS, np.int64)
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in found]) if found else np.zeros(COUNTERS, np.int64)
+    return made.where("part is null").select("doc_id", "node", "n", "bits"), counts
 
 
 def long_counters(counts: np.ndarray) -> np.ndarray:
@@ -108,29 +130,11 @@ def ordered(tokens: np.ndarray, is_long: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens[~far], tokens[far]
 
 
-def shared_enough(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> bool:
-    """DivideSkip on two ordered sets."""
-    n, m = len(a[0]) + len(a[1]), len(b[0]) + len(b[1])
-    need = least_overlap(n, m, percent)
-    if min(n, m) < need:
-        return False
-    both = np.concatenate([a[0], b[0]])
-    both.sort(kind="stable")  # merges the two sorted runs
-    count = int((both[1:] == both[:-1]).sum())
-    few, many = sorted((a[1], b[1]), key=len)
-    if count + len(few) < need:
-        return False
-    if count < need and len(few):
-        at = np.searchsorted(many, few)
-        count += int((many[np.minimum(at, len(many) - 1)] == few).sum())
-    return count >= need
-
-
-def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, node, n) and lists of two or more nodes (token, node, leader)."""
+def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """Lists of two or more nodes: token, node, leader."""
     spark = docs.sparkSession
     bits = max(1, (buckets - 1).bit_length())
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary())])
     told = spark.sparkContext.broadcast(np.packbits(is_long))  # COUNTERS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +149,11 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
             at = np.searchsorted(t, (np.arange(1 << bits, dtype=_U) << _U(64 - bits)))
             cuts = np.append(at, len(t))
             ks = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
-            none = pa.nulls(len(ks), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(ks, pa.int32()), pa.array([t[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()), pa.array([v[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([t[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()), pa.array([v[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary())], schema=schema)
 
         for b in batches:
-            own, sizes = [], []
             for s in _sets(b.column(1)):
                 node, n = node_of(s), len(s)
-                own.append(node)
-                sizes.append(n)
                 if n and node not in seen:
                     if len(seen) > RUN:
                         seen.clear()
@@ -165,8 +165,6 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
                     if size >= RUN:
                         yield flush()
                         tokens, nodes, size = [], [], 0
-            none = pa.nulls(len(own), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(own), pa.int32()), none, none], schema=schema)
         if size:
             yield flush()
 
@@ -191,92 +189,169 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
         leader, many = np.repeat(nodes[starts], sizes), np.repeat(sizes, sizes) > 1
         return pa.table({"token": pa.array(tokens[many].view(np.int64)), "node": pa.array(nodes[many]), "leader": pa.array(leader[many])})
 
-    made = written(_rows(docs).mapInArrow(run, "doc_id long, node long, n long, bucket int, tokens binary, nodes binary"), "shingle-prefixes")
-    lists = made.where("bucket is not null").select("bucket", "tokens", "nodes").groupBy("bucket").applyInArrow(merge, "token long, node long, leader long")
-    return made.where("bucket is null").select("doc_id", "node", "n"), written(lists, "shingle-lists")
+    runs = _rows(docs).mapInArrow(run, "bucket int, tokens binary, nodes binary")
+    return written(runs.groupBy("bucket").applyInArrow(merge, "token long, node long, leader long"), "shingle-lists")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, is_long: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b: nodes; distinct) that are linked; texts: node, raw."""
-    told = pairs.sparkSession.sparkContext.broadcast(np.packbits(is_long))
-    groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).withColumn("salts", F.ceil(F.col("held") / SALT_ROWS).cast("int"))
-    member = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", F.expr("cast(pmod(xxhash64(b), salts) as int)").alias("salt"), F.lit(1).alias("role"))
-    leader = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = member.union(leader).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "role")).alias("to"))
+def blocks(lists: DataFrame) -> DataFrame:
+    """leader, i, j, side, node: the nodes of each group; of block i (side 0) and of block j (side 1)."""
+    groups = written(lists.select("leader", "node").distinct(), "shingle-groups")
+    sizes = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    own = groups.join(sizes, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    return own.select("leader", "node", "own", other).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "salt", "role", "node", "short", "long"]
-        far = np.unpackbits(told.value).astype(bool)
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each (leader, i, j), which follow one another."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True):
+            if held and row[:3] != held[-1][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def may_link(sides: np.ndarray, sizes: np.ndarray, bits: list[bytes], cross: bool, percent: int = PERCENT) -> np.ndarray:
+    """Which nodes of a group have a partner that sizes and bitmaps allow."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    spread = (100 - percent) / (100 + percent)  # linked sets differ in at most this share of n + m
+    maps: dict[int, np.ndarray] = {}
+
+    def folded(size: int) -> np.ndarray:
+        """All bitmaps of at least `size` bytes, folded to it; others are not used with it."""
+        if size not in maps:
+            out = np.zeros((len(n), size), np.uint8)
+            for r, k in enumerate(order):
+                if len(bits[k]) >= size:
+                    out[r] = np.bitwise_or.reduce(np.frombuffer(bits[k], np.uint8).reshape(-1, size), axis=0)
+            maps[size] = out.view(np.uint64)
+        return maps[size]
+
+    ok = np.zeros(len(n), bool)
+    side = sides[order]
+    ends = np.searchsorted(n, n * 100 // percent, "right")
+    for r in range(len(n) - 1):
+        e = int(ends[r])
+        if e <= r + 1:
+            continue
+        m = folded(len(bits[order[r]]))
+        differ = np.bitwise_count(m[r + 1 : e] ^ m[r]).sum(1)
+        fits = differ <= spread * (n[r + 1 : e] + n[r]) + 1e-6
+        if cross:
+            fits &= side[r + 1 : e] != side[r]
+        if fits.any():
+            ok[r] = True
+            ok[r + 1 : e] |= fits
+    out = np.zeros(len(n), bool)
+    out[order] = ok
+    return out
+
+
+def forest(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (between the sides only, if cross), by DivideSkip."""
+    m, sizes = len(sets), np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), sizes)
+    keys = np.sort(ids * m + owner)  # the lists one after the other, each by member
+    members, counts = keys % m, np.bincount(ids)
+    begins, cuts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    root, out = list(range(m)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def merged(lists: np.ndarray) -> np.ndarray:
+        k = counts[lists]
+        at = np.arange(k.sum()) + np.repeat(begins[lists] - (np.cumsum(k) - k), k)
+        return np.bincount(members[at], minlength=m)
+
+    for q in range(m - 1):
+        own = ids[cuts[q] : cuts[q] + sizes[q]]
+        least = -(-percent * int(sizes[q]) // 100)
+        by = np.argsort(counts[own], kind="stable")
+        n_long = min(least - 1, int((counts[own] >= LONG_LIST).sum()))
+        short, far = own[by[: len(own) - n_long]], own[by[len(own) - n_long :]]
+        seen = merged(short)
+        need = -(-percent * (sizes + sizes[q]) // (100 + percent))
+        fits = (seen >= need - n_long) & (np.minimum(sizes, sizes[q]) >= need)
+        fits[: q + 1] = False
+        if cross:
+            fits &= sides != sides[q]
+        cand = np.flatnonzero(fits)
+        if n_long and len(cand):
+            if len(cand) * n_long <= counts[far].sum():
+                probes = far[None, :] * m + cand[:, None]
+                at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
+                total = seen[cand] + (keys[at] == probes).sum(1)
+            else:
+                total = seen[cand] + merged(far)[cand]
+            cand = cand[total >= need[cand]]
+        for c in cand.tolist():
+            if (a := find(q)) != (b := find(c)):
+                root[a] = b
+                out.append((q, c))
+    return out
+
+
+def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: a spanning forest of the links in every group; nodes: node, doc_id, n, bits."""
+    key = ["leader", "i", "j"]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for g in _groups(batches):
+            ok = may_link(np.array([r[3] for r in g]), np.array([r[5] for r in g]), [r[6] for r in g], g[0][1] != g[0][2], percent)
+            out += [r[:5] for r, x in zip(g, ok.tolist(), strict=True) if x]
+            if len(out) > 50_000:
+                yield _batch(out)
+                out = []
+        if out:
+            yield _batch(out)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=[*key, "side", "node"])
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The set of each text that makes its node (rows with the same id may hold other texts)."""
         for b in batches:
-            rows, size = [], 0
-            for node, to, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _sets(b.column(1)), strict=True):
-                x, y = (z.tobytes() for z in ordered(s, far))
-                for t in to:
-                    rows.append((t["a"], t["salt"], t["role"], node, x, y))
-                    size += len(x) + len(y)
-                    if size > 1 << 23:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows, size = [], 0
+            rows = [(node, s.tobytes()) for node, s in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True) if node_of(s) == node]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
 
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            seen = {r[4]: r for r in g}  # repeated rows bring a set twice
+            g = list(seen.values())
+            found = forest([np.frombuffer(r[5], _U) for r in g], np.array([r[3] for r in g]), g[0][1] != g[0][2], percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([g[x][4] for x, _ in found], pa.int64()), pa.array([g[y][4] for _, y in found], pa.int64())], names=["a", "b"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, at = None, None
-        for b in batches:
-            found_a, found_b = [], []
-            for i, (a, salt, role, node) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
-                own = np.frombuffer(b.column(4)[i].as_buffer(), _U), np.frombuffer(b.column(5)[i].as_buffer(), _U)
-                if role == 0:
-                    lead, at = tuple(np.array(x) for x in own), (a, salt)
-                elif at == (a, salt) and shared_enough(lead, own, percent):
-                    found_a.append(a)
-                    found_b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    sets = texts.join(wanted, "node").select("node", "raw", "to").mapInArrow(cut, "a long, salt int, role int, node long, short binary, long binary")
-    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(probe, "a long, b long")
-
-
-def unlike(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a list and are in different classes, but for those of a leader."""
-    known = lists.join(labels, "node", "left").select("token", "node", "leader", F.coalesce("label", "node").alias("label"))
-    open_ = known.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-
-    def cross(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["token"].to_numpy(), kind="stable")
-        tokens, nodes, labels = (t[k].to_numpy()[order] for k in ("token", "node", "label"))
-        starts = np.append(np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])), len(tokens))
-        out = [np.empty((0, 2), np.int64)]
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            for i in range(s, e - 1):
-                other = nodes[i + 1 : e][labels[i + 1 : e] != labels[i]]
-                out.append(np.sort(np.column_stack([np.full(len(other), nodes[i]), other]), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    rest = known.join(open_, "token", "left_semi").where("node <> leader").withColumn("bucket", F.expr("pmod(xxhash64(token), 4096)"))
-    return rest.groupBy("bucket").applyInArrow(cross, "a long, b long").distinct()
+    info = nodes.select("node", "n", "bits")
+    placed = blocks(lists).join(info, "node").select(*key, "side", "node", "n", "bits")
+    kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node long"), "shingle-screened")
+    need = written(kept.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
+    sets = _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node long, tokens binary")
+    met = kept.join(sets, "node").select(*key, "side", "node", "tokens")
+    return written(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long"), "shingle-links")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    is_long = long_counters(count_sketch(docs))
-    rows, lists = prefix_lists(docs, is_long, buckets, percent)
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    need = lists.select("node").distinct().join(classes, "node")
-    texts = written(_rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(_own_only, "node long, raw binary"), "candidate-texts")
-    stars = written(lists.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    links = written(linked(stars, texts, is_long, percent), "links")
-    labels = components(links)
-    pairs = written(unlike(lists, labels), "candidates")
-    if not pairs.isEmpty():
-        more = written(linked(pairs, texts, is_long, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    rows, counts = count_sketch(docs)
+    is_long = long_counters(counts)
+    lists = prefix_lists(docs, is_long, buckets, percent)
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    labels = components(links(lists, classes, docs, percent))
     least = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(smallest, "label").select("node", "component_id")
@@ -286,13 +361,6 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None
     return known.union(alone).select(null_id("doc_id"), F.col("n").alias("n_shingles"), null_id("component_id"))
 
 
-def _own_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text makes the node (rows with the same id may hold other texts)."""
-    for b in batches:
-        nodes = np.array([node_of(s) for s in _sets(b.column(1))], np.int64)
-        yield b.filter(pa.array(nodes == b.column(0).to_numpy()))
-
-
 def op4_jaccard_join(spark, sf_dir) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
