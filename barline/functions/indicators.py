@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from ..plans.config import BreakoutConfig, SetupConfig
 from .columns import measure, ratio
 
-BY_BAR = Window.partitionBy("symbol").orderBy("bar")
+def by_bar():
+    """The order of a symbol's bars."""
+    return Window.partitionBy("symbol").orderBy("bar")
+
+
 HORIZONS = (("1m", 21), ("3m", 63), ("6m", 126))
 
 
 def trailing(n: int, skip: int = 0):
     """The last n bars, the newest `skip` bars ago."""
-    return BY_BAR.rowsBetween(-n - skip + 1, -skip)
+    return by_bar().rowsBetween(-n - skip + 1, -skip)
 
 
 def mean(c: Column, n: int, least: int | None = None, skip: int = 0) -> Column:
@@ -36,11 +40,11 @@ def slope(c: str, n: int) -> Column:
 
 
 def n_bar_return(n: int) -> Column:
-    return ratio(F.col("close"), F.lag("close", n).over(BY_BAR)) - 1.0
+    return ratio(F.col("close"), F.lag("close", n).over(by_bar())) - 1.0
 
 
 def true_range() -> Column:
-    before = F.lag("close", 1).over(BY_BAR)
+    before = F.lag("close", 1).over(by_bar())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, clamp01, first_reason, measure, ratio, unless, weighted
-from ..functions.indicators import BY_BAR, annotate, trailing
+from ..functions.indicators import by_bar, annotate, trailing
 from ..plans import config
 from ..plans.config import BreakoutConfig, ParabolicConfig, PivotConfig, SetupConfig
 from .plan import trade_plan
@@ -45,14 +45,14 @@ def _finished(df: DataFrame, planned: Callable[[DataFrame], DataFrame], score: C
 
 def prior_move(cfg: BreakoutConfig) -> Column:
     """Largest return relative to its threshold, at least 0."""
-    return measure(F.greatest(F.lit(0.0), *[(ratio(F.col("close"), F.lag("close", n).over(BY_BAR)) - 1.0) / t for n, t in cfg.move_lookbacks]))
+    return measure(F.greatest(F.lit(0.0), *[(ratio(F.col("close"), F.lag("close", n).over(by_bar())) - 1.0) / t for n, t in cfg.move_lookbacks]))
 
 
 def pivots(df: DataFrame, cfg: BreakoutConfig) -> DataFrame:
     """df with the base's pivot (first highest high of the bars before today) and the low its impulse began at."""
-    leg = F.min(F.struct("low", "bar")).over(BY_BAR.rowsBetween(-90, 0))
+    leg = F.min(F.struct("low", "bar")).over(by_bar().rowsBetween(-90, 0))
     df = df.withColumn("_leg", leg)
-    top = F.max(F.struct("high", (-F.col("bar")).alias("back"), "_leg")).over(BY_BAR.rowsBetween(-cfg.max_base_len, -1))
+    top = F.max(F.struct("high", (-F.col("bar")).alias("back"), "_leg")).over(by_bar().rowsBetween(-cfg.max_base_len, -1))
     return df.withColumn("_top", top).withColumns({
         "pivot": F.col("_top.high"), "pivot_bar": -F.col("_top.back"), "base_len": (F.col("bar") + F.col("_top.back")).cast("int"),
         "impulse_low": F.col("_top._leg.low"), "impulse_bar": F.col("_top._leg.bar"),
@@ -151,14 +151,14 @@ def breakout(annotated: DataFrame, cfg: BreakoutConfig) -> DataFrame:
 
 def pivot_gap(annotated: DataFrame, cfg: PivotConfig) -> DataFrame:
     """Gap up on volume out of a dormant range."""
-    n, before = cfg.dormancy_lookback, F.lag("close", 1).over(BY_BAR)
+    n, before = cfg.dormancy_lookback, F.lag("close", 1).over(by_bar())
     prior = trailing(20, 1)
     dormant = trailing(n, 1)
     df = annotated.withColumns({
         "prior_dollar_vol": measure(F.avg(F.col("close") * F.col("volume")).over(prior)),
         "gap": measure(ratio(F.col("open"), before) - 1.0),
         "vol_mult": measure(ratio(F.col("volume"), F.avg("volume").over(prior))),
-        "prior_gain": measure(ratio(before, F.lag("close", n).over(BY_BAR)) - 1.0),
+        "prior_gain": measure(ratio(before, F.lag("close", n).over(by_bar())) - 1.0),
         "base_high": F.max("high").over(dormant),
         "_base_low": F.min("low").over(dormant),
         "close_position": measure(F.coalesce(ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))),
@@ -190,23 +190,23 @@ def pivot_gap(annotated: DataFrame, cfg: PivotConfig) -> DataFrame:
 def green_streak() -> Column:
     """Up-closes in a row that end at this bar, counted to 31."""
     up = F.coalesce(F.col("close") > F.col("_before"), F.lit(False))
-    red = F.max(F.when(~up, F.col("bar"))).over(BY_BAR.rowsBetween(-(10**6), 0))
+    red = F.max(F.when(~up, F.col("bar"))).over(by_bar().rowsBetween(-(10**6), 0))
     return F.least(F.lit(31), F.col("bar") - F.coalesce(red, F.lit(0))).cast("int")
 
 
 def with_streak(df: DataFrame) -> DataFrame:
-    return df.withColumn("_before", F.lag("close", 1).over(BY_BAR)).withColumn("green_streak", green_streak()).drop("_before")
+    return df.withColumn("_before", F.lag("close", 1).over(by_bar())).withColumn("green_streak", green_streak()).drop("_before")
 
 
 def parabolic(annotated: DataFrame, cfg: ParabolicConfig) -> DataFrame:
     """Short of a vertical run that shows its first weakness."""
     n = cfg.run_lookback
-    back = BY_BAR.rowsBetween(-n, 0)
+    back = by_bar().rowsBetween(-n, 0)
     df = with_streak(annotated)
-    vol_sum = F.sum("volume").over(BY_BAR.rowsBetween(-(10**6), 0))
+    vol_sum = F.sum("volume").over(by_bar().rowsBetween(-(10**6), 0))
     df = df.withColumn("_vol", vol_sum)
     # the run's low carries the volume summed before it and before its base
-    df = df.withColumns({"_v0": F.lag("_vol", 1, 0.0).over(BY_BAR), "_v20": F.coalesce(F.lag("_vol", 21).over(BY_BAR), F.lit(0.0))})
+    df = df.withColumns({"_v0": F.lag("_vol", 1, 0.0).over(by_bar()), "_v20": F.coalesce(F.lag("_vol", 21).over(by_bar()), F.lit(0.0))})
     df = df.withColumns({"_low": F.min(F.struct("low", "bar", "_v0", "_v20")).over(back), "_bars": F.collect_list(F.struct("bar", "high")).over(back)})
     run = F.filter("_bars", lambda x: x["bar"] >= F.col("_low.bar"))
     high = F.array_max(F.transform(run, lambda x: x["high"]))
@@ -217,8 +217,8 @@ def parabolic(annotated: DataFrame, cfg: ParabolicConfig) -> DataFrame:
         "days_off_high": (F.col("bar") - F.array_min(F.transform(F.filter(run, lambda x: x["high"] == F.col("run_high")), lambda x: x["bar"]))).cast("int"),
         "vol_mult": measure(ratio(ratio(F.col("_vol") - F.col("_low._v0"), F.col("bar") - F.col("_low.bar") + 1), ratio(F.col("_low._v0") - F.col("_low._v20"), F.least(F.lit(20), F.col("_low.bar"))))),
         "close_position": measure(F.coalesce(ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.5))),
-        "broke_prior_low": F.coalesce((F.col("low") < F.lag("low", 1).over(BY_BAR)) & (F.col("close") < F.lag("close", 1).over(BY_BAR)), F.lit(False)),
-        "red_after_green": F.coalesce((F.col("close") < F.col("open")) & (F.lag("green_streak", 1).over(BY_BAR) >= cfg.min_green_streak), F.lit(False)),
+        "broke_prior_low": F.coalesce((F.col("low") < F.lag("low", 1).over(by_bar())) & (F.col("close") < F.lag("close", 1).over(by_bar())), F.lit(False)),
+        "red_after_green": F.coalesce((F.col("close") < F.col("open")) & (F.lag("green_streak", 1).over(by_bar()) >= cfg.min_green_streak), F.lit(False)),
     })
     df = df.withColumn("reversal_bar", (F.col("close_position") <= cfg.max_close_position) & (F.col("high") >= measure(F.col("run_high") * 0.98)))
     gates = [

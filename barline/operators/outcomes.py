@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import measure, ratio
-from ..functions.indicators import BY_BAR
+from ..functions.indicators import by_bar
 from ..plans.config import TradeRules
 
 
@@ -18,10 +18,10 @@ def dedupe_signals(hits: DataFrame, cooldown: int) -> DataFrame:
 
 def forward_returns(bars: DataFrame, direction: int = 1, horizons: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
     """bars (with bar) and fwd_{h}d, mfe_20d, mae_20d, signed so that a gain is positive."""
-    ahead = BY_BAR.rowsBetween(1, 20)
+    ahead = by_bar().rowsBetween(1, 20)
     up = ratio(F.max("high").over(ahead), F.col("close")) - 1.0
     down = ratio(F.min("low").over(ahead), F.col("close")) - 1.0
-    out = {f"fwd_{h}d": measure(direction * (ratio(F.lead("close", h).over(BY_BAR), F.col("close")) - 1.0)) for h in horizons}
+    out = {f"fwd_{h}d": measure(direction * (ratio(F.lead("close", h).over(by_bar()), F.col("close")) - 1.0)) for h in horizons}
     best, worst = (up, down) if direction > 0 else (-down, -up)
     return bars.withColumns({**out, "mfe_20d": measure(best), "mae_20d": measure(worst)})
 
