@@ -19,8 +19,9 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def measure(c: Column) -> Column:
-    return F.round(c, PLACES)
+def measure(c: Column, places: int = PLACES) -> Column:
+    """c at a fixed number of places; never a negative zero."""
+    return F.round(c, places) + F.lit(0.0)
 
 
 def clamp01(c: Column) -> Column:

@@ -72,8 +72,8 @@ def annotate(bars: DataFrame, cfg: SetupConfig | None = None, atr: bool = False)
     df = df.withColumns({
         "range_pct": span,
         "adr20": measure(mean(span, 20, 10) * 100.0),
-        "dollar_vol20": measure(mean(F.col("close") * F.col("volume"), 20, 10)),
-        "vol_avg20": measure(mean(F.col("volume"), 20, 10)),
+        "dollar_vol20": measure(mean(F.col("close") * F.col("volume"), 20, 10), 4),
+        "vol_avg20": measure(mean(F.col("volume"), 20, 10), 4),
         **{f"ret_{k}": measure(n_bar_return(n)) for k, n in HORIZONS},
     })
     if cfg.use_ema:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, clamp01, first_reason, measure, ratio, unless, weighted
-from ..functions.indicators import by_bar, annotate, trailing
+from ..functions.indicators import annotate, by_bar, trailing
 from ..plans import config
 from ..plans.config import BreakoutConfig, ParabolicConfig, PivotConfig, SetupConfig
 from .plan import trade_plan
@@ -155,7 +155,7 @@ def pivot_gap(annotated: DataFrame, cfg: PivotConfig) -> DataFrame:
     prior = trailing(20, 1)
     dormant = trailing(n, 1)
     df = annotated.withColumns({
-        "prior_dollar_vol": measure(F.avg(F.col("close") * F.col("volume")).over(prior)),
+        "prior_dollar_vol": measure(F.avg(F.col("close") * F.col("volume")).over(prior), 4),
         "gap": measure(ratio(F.col("open"), before) - 1.0),
         "vol_mult": measure(ratio(F.col("volume"), F.avg("volume").over(prior))),
         "prior_gain": measure(ratio(before, F.lag("close", n).over(by_bar())) - 1.0),

@@ -16,7 +16,7 @@ def percent_rank_of(c: str, *by: str) -> Column:
     order = Window.partitionBy(*by).orderBy(F.col(c).asc_nulls_last())
     ties, group = Window.partitionBy(*by, c), Window.partitionBy(*by)
     rank = F.rank().over(order) + (F.count(c).over(ties) - 1) / 2
-    return F.when(F.col(c).isNotNull(), measure(rank * 100.0 / F.count(c).over(group)))
+    return F.when(F.col(c).isNotNull(), rank * 100.0 / F.count(c).over(group))
 
 
 def composite_rank(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), by: str = "date") -> DataFrame:
@@ -29,7 +29,8 @@ def composite_rank(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3),
         some = some + F.coalesce(F.col(r), F.lit(0.0)) * w
         total = total + F.when(F.col(r).isNotNull(), w).otherwise(0.0)
     df = df.withColumn("_blend", measure(ratio(some, total)))
-    return df.withColumn("rs_rank", percent_rank_of("_blend", by)).drop("_blend")
+    shown = {r: measure(F.col(r)) for r in ranks}
+    return df.withColumns({**shown, "rs_rank": measure(percent_rank_of("_blend", by))}).drop("_blend")
 
 
 def latest_ranks(annotated: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), common_date: bool = True) -> DataFrame:

@@ -53,8 +53,8 @@ def _win(n: int, skip: int = 0) -> str:
     return f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN {n + skip - 1} PRECEDING AND {f'{skip} PRECEDING' if skip else 'CURRENT ROW'})"
 
 
-def _mean(x: str, n: int, least: int) -> str:
-    return f"round(CASE WHEN count({x}) OVER {_win(n)} >= {least} THEN avg({x}) OVER {_win(n)} END, 9)"
+def _mean(x: str, n: int, least: int, places: int = 9) -> str:
+    return f"round(CASE WHEN count({x}) OVER {_win(n)} >= {least} THEN avg({x}) OVER {_win(n)} END, {places})"
 
 
 def _lag(x: str, n: int) -> str:
@@ -69,7 +69,7 @@ ANN_SQL = f"""{BARS_SQL},
 ann0 AS (
   SELECT *, high / low - 1 AS range_pct,
          round(CASE WHEN count(*) OVER {_win(20)} >= 10 THEN avg(high / low - 1) OVER {_win(20)} * 100 END, 9) AS adr20,
-         {_mean("close * volume", 20, 10)} AS dollar_vol20, {_mean("volume", 20, 10)} AS vol_avg20,
+         {_mean("close * volume", 20, 10, 4)} AS dollar_vol20, {_mean("volume", 20, 10, 4)} AS vol_avg20,
          round(close / {_lag("close", 21)} - 1, 9) AS ret_1m, round(close / {_lag("close", 63)} - 1, 9) AS ret_3m, round(close / {_lag("close", 126)} - 1, 9) AS ret_6m,
          {_mean("close", 10, 10)} AS ma_fast, {_mean("close", 20, 20)} AS ma_mid, {_mean("close", 50, 50)} AS ma_slow
   FROM bars),
@@ -77,7 +77,7 @@ ann AS (SELECT *, {_slope("ma_mid", 20)} AS ma_mid_slope, {_slope("ma_slow", 50)
 
 
 def _pct(x: str, by: str) -> str:
-    return f"round(CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2) * 100.0 / count({x}) OVER (PARTITION BY {by}) END, 9)"
+    return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2) * 100.0 / count({x}) OVER (PARTITION BY {by}) END)"
 
 
 def _ranks(source: str, by: str) -> str:
@@ -180,7 +180,7 @@ def _ep_sql(c) -> str:
     score = _score((_band("gap", 0.40, c.min_gap), 0.24), (_band("vol_mult", 10.0, c.min_volume_mult), 0.22), (_band("dormant_band", 0.10, c.max_dormant_band), 0.18), (_band("prior_gain", -0.10, c.max_prior_gain), 0.14), (_clamp("close_position"), 0.12), (_band("adr20", 8.0, c.min_adr_pct), 0.10))
     return f"""{ANN_SQL},
 meas0 AS (
-  SELECT *, round(avg(close * volume) OVER {_win(20, 1)}, 9) AS prior_dollar_vol, round(open / {_lag("close", 1)} - 1, 9) AS gap, round(volume / nullif(avg(volume) OVER {_win(20, 1)}, 0), 9) AS vol_mult,
+  SELECT *, round(avg(close * volume) OVER {_win(20, 1)}, 4) AS prior_dollar_vol, round(open / {_lag("close", 1)} - 1, 9) AS gap, round(volume / nullif(avg(volume) OVER {_win(20, 1)}, 0), 9) AS vol_mult,
          round({_lag("close", 1)} / {_lag("close", n)} - 1, 9) AS prior_gain, max(high) OVER {_win(n, 1)} AS base_high, min(low) OVER {_win(n, 1)} AS dormant_low,
          round(coalesce((close - low) / nullif(high - low, 0), 0.5), 9) AS close_position, round(greatest(adr20, (high - low) / low * 100), 9) AS stop_adr_ref
   FROM ann),
@@ -319,10 +319,10 @@ def _simple() -> None:
     for name, cols in {"sma_stack": "ma_fast, ma_mid, ma_slow", "adr20": "adr20, range_pct", "dollar_volume": "dollar_vol20", "volume_avg": "vol_avg20", "returns_1m_3m_6m": "ret_1m, ret_3m, ret_6m", "ma_slope": "ma_mid_slope, ma_slow_slope"}.items():
         register(name, ann(*cols.split(", ")), sql(cols))
     register("true_range", lambda s, d: with_bar(bars(s, d)).select(*K, measure(true_range()).alias("true_range")), f"WITH {BARS_SQL} SELECT {KEY}, round(greatest(high - low, abs(high - {_lag('close', 1)}), abs(low - {_lag('close', 1)})), 9) AS true_range FROM bars")
-    register("rs_horizon_rank", lambda s, d: composite_rank(annotated(s, d)).select(*K, "rank_1m", "rank_3m", "rank_6m"), f"WITH {ANN_SQL}, {_ranks('ann', 'date')} SELECT {KEY}, rank_1m, rank_3m, rank_6m FROM ranked")
-    register("rs_composite", lambda s, d: composite_rank(annotated(s, d)).select(*K, "rs_rank"), f"WITH {ANN_SQL}, {_ranks('ann', 'date')} SELECT {KEY}, rs_rank FROM ranked")
-    register("rs_latest", lambda s, d: latest_ranks(annotated(s, d), common_date=False).select(*K, "rs_rank"), f"WITH {ANN_SQL}, newest AS (SELECT *, 0 AS one FROM ann QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), {_ranks('newest', 'one')} SELECT {KEY}, rs_rank FROM ranked")
-    register("rs_latest_common_date", lambda s, d: latest_ranks(annotated(s, d)).select(*K, "rs_rank"), f"WITH {ANN_SQL}, newest AS (SELECT *, 0 AS one FROM ann WHERE date = (SELECT max(date) FROM ann)), {_ranks('newest', 'one')} SELECT {KEY}, rs_rank FROM ranked")
+    register("rs_horizon_rank", lambda s, d: composite_rank(annotated(s, d)).select(*K, "rank_1m", "rank_3m", "rank_6m"), f"WITH {ANN_SQL}, {_ranks('ann', 'date')} SELECT {KEY}, round(rank_1m, 9) AS rank_1m, round(rank_3m, 9) AS rank_3m, round(rank_6m, 9) AS rank_6m FROM ranked")
+    register("rs_composite", lambda s, d: composite_rank(annotated(s, d)).select(*K, "rs_rank"), f"WITH {ANN_SQL}, {_ranks('ann', 'date')} SELECT {KEY}, round(rs_rank, 9) AS rs_rank FROM ranked")
+    register("rs_latest", lambda s, d: latest_ranks(annotated(s, d), common_date=False).select(*K, "rs_rank"), f"WITH {ANN_SQL}, newest AS (SELECT *, 0 AS one FROM ann QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), {_ranks('newest', 'one')} SELECT {KEY}, round(rs_rank, 9) AS rs_rank FROM ranked")
+    register("rs_latest_common_date", lambda s, d: latest_ranks(annotated(s, d)).select(*K, "rs_rank"), f"WITH {ANN_SQL}, newest AS (SELECT *, 0 AS one FROM ann WHERE date = (SELECT max(date) FROM ann)), {_ranks('newest', 'one')} SELECT {KEY}, round(rs_rank, 9) AS rs_rank FROM ranked")
     register("tradable_filter", lambda s, d: annotated(s, d).withColumn("reject", D.first_reason(*D.tradable(CFG))).groupBy("reject").agg(F.count(F.lit(1)).alias("n")), f"WITH {ANN_SQL} SELECT CASE {_tradable(CFG)} ELSE '' END AS reject, count(*) AS n FROM ann GROUP BY 1", dates=())
     register(
         "prior_move",
@@ -332,17 +332,17 @@ def _simple() -> None:
     register("green_streak", lambda s, d: D.with_streak(with_bar(bars(s, d))).select(*K, "green_streak"), f"WITH {BARS_SQL}, {STREAK_SQL.format('bars')} SELECT {KEY}, green_streak FROM streaks")
     register("forward_returns", lambda s, d: O.forward_returns(with_bar(bars(s, d))).select(*K, "fwd_5d", "fwd_10d", "fwd_20d", "fwd_60d"), f"WITH {BARS_SQL} SELECT {KEY}, {', '.join(f'round(lead(close, {h}) OVER (PARTITION BY symbol ORDER BY bar) / close - 1, 9) AS fwd_{h}d' for h in (5, 10, 20, 60))} FROM bars")
     ahead = "OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)"
-    register("mfe_mae", lambda s, d: O.forward_returns(with_bar(bars(s, d)), -1).select(*K, "mfe_20d", "mae_20d"), f"WITH {BARS_SQL} SELECT {KEY}, round(-(min(low) {ahead} / close - 1), 9) AS mfe_20d, round(-(max(high) {ahead} / close - 1), 9) AS mae_20d FROM bars")
+    register("mfe_mae", lambda s, d: O.forward_returns(with_bar(bars(s, d)), -1).select(*K, "mfe_20d", "mae_20d"), f"WITH {BARS_SQL} SELECT {KEY}, round(-(min(low) {ahead} / close - 1), 9) + 0 AS mfe_20d, round(-(max(high) {ahead} / close - 1), 9) + 0 AS mae_20d FROM bars")
     register("minimum_history", lambda s, d: B.with_history(bars(s, d), 520).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars")), f"WITH {BARS_SQL} SELECT symbol, count(*) AS n_bars FROM bars GROUP BY 1 HAVING count(*) >= 520", dates=())
     register("last_bar", lambda s, d: B.last_bars(bars(s, d)).select("symbol", "date", "close"), f"WITH {BARS_SQL} SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
     register("coverage", lambda s, d: bars(s, d).agg(F.countDistinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("total_rows"), F.min("date").alias("first_date"), F.max("date").alias("latest_date")), f"WITH {BARS_SQL} SELECT count(DISTINCT symbol) AS symbols, count(*) AS total_rows, min(date) AS first_date, max(date) AS latest_date FROM bars", dates=("first_date", "latest_date"))
 
 
 def _merging() -> None:
-    fresh = lambda s, d: bars(s, d).where("date >= date '1998-01-01'").withColumns({c: F.round(F.col(c) * F.when(F.col("symbol").cast("int") % 3 == 0, 0.5).otherwise(1.0001), 4) for c in B.OHLC})
+    fresh = lambda s, d: bars(s, d).where("date >= date '1998-01-01'").withColumns({c: F.col(c) * F.when(F.col("symbol").cast("int") % 3 == 0, 0.5).otherwise(1.0001) for c in B.OHLC})
     stored = lambda s, d: bars(s, d).where("date < date '1998-06-01'")
     two = f"""{BARS_SQL}, stored AS (SELECT * FROM bars WHERE date < DATE '1998-06-01'),
-fresh AS (SELECT symbol, date, {', '.join(f'round({c} * CASE WHEN symbol::INT % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0001::DOUBLE END, 4) AS {c}' for c in B.OHLC)}, volume FROM bars WHERE date >= DATE '1998-01-01')"""
+fresh AS (SELECT symbol, date, {', '.join(f'{c} * CASE WHEN symbol::INT % 3 = 0 THEN 0.5::DOUBLE ELSE 1.0001::DOUBLE END AS {c}' for c in B.OHLC)}, volume FROM bars WHERE date >= DATE '1998-01-01')"""
     register("upsert_merge", lambda s, d: B.upsert(stored(s, d), fresh(s, d)), f"WITH {two} SELECT symbol, date, open, high, low, close, volume FROM fresh UNION ALL SELECT symbol, date, open, high, low, close, volume FROM stored s WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.symbol = s.symbol AND f.date = s.date)")
     register("split_drift", lambda s, d: B.drift(stored(s, d), fresh(s, d)), f"WITH {two}, j AS (SELECT s.symbol, abs(f.close - s.close) / s.close AS x FROM stored s JOIN fresh f USING (symbol, date)) SELECT symbol, count(*) AS shared, round(median(x), 9) AS drift, count(*) >= 3 AND round(median(x), 9) > 0.002 AS readjusted FROM j GROUP BY 1", dates=())
     messy = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").cast("string").alias(" Date "), F.col("l_extendedprice").alias("OPEN"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("High"), (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("low"), F.when(F.col("l_quantity") > 2, F.col("l_extendedprice") * 1.01).alias("Close"), F.col("l_quantity").alias("volume"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("ord"))
