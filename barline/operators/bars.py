@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
@@ -64,6 +64,12 @@ def keep_last(df: DataFrame, order: str = "ord") -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def day_of(c: str) -> Column:
+    """The day of a date written in one of the usual ways; NULL if in none."""
+    text = F.col(c).cast("string")
+    return F.to_date(F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyyMMdd")), F.try_to_timestamp(text, F.lit("M/d/yyyy"))))
+
+
 def normalized(df: DataFrame, order: str | None = None) -> DataFrame:
     """Canonical bars from messy rows: names, adjustment, types, keep-last, bad prices out, extremes widened.
 
@@ -74,8 +80,7 @@ def normalized(df: DataFrame, order: str | None = None) -> DataFrame:
     if missing := [c for c in CANONICAL if c not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     number = lambda c: finite(F.col(c).try_cast("double")).alias(c)
-    when = F.to_date(F.coalesce(F.try_to_timestamp(F.col("date").cast("string")), F.try_to_timestamp(F.col("date").cast("string"), F.lit("yyyyMMdd")), F.try_to_timestamp(F.col("date").cast("string"), F.lit("M/d/yyyy"))))
-    rows = df.select(F.col("symbol").cast("string").alias("symbol"), when.alias("date"), *[number(c) for c in (*OHLC, "volume")], *([F.col(order)] if order else [])).where("date IS NOT NULL")
+    rows = df.select(F.col("symbol").cast("string").alias("symbol"), day_of("date").alias("date"), *[number(c) for c in (*OHLC, "volume")], *([F.col(order)] if order else [])).where("date IS NOT NULL")
     if order:
         rows = keep_last(rows, order).drop(order)
     good = rows.where(" AND ".join(f"{c} > 0" for c in OHLC))
