@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_of, written
+from .shared import sliced, text_of, written
 from .shingles import shingle_sets
 
 #: Least similarity in percent.
@@ -49,6 +49,8 @@ COUNTERS, PARTS = 1 << 18, 16
 LONG, LONG_SIGMAS = 64, 8
 #: List entries that a task sorts at once before it sends them off.
 RUN = 1 << 20
+#: Nodes that a task remembers to have sent.
+SEEN = 100_000
 #: Nodes of a group that are searched at once (twice as many with those of another block).
 BLOCK = 2048
 #: A list in a group that is long enough to be probed instead of merged.
@@ -89,7 +91,7 @@ def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         def count() -> None:
             counts[:] += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
 
-        for b in batches:
+        for b in sliced(batches):
             nodes, sizes, bits = [], [], []
             for s in _sets(b.column(1)):
                 nodes.append(node_of(s))
@@ -151,11 +153,11 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
             ks = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([t[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()), pa.array([v[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary())], schema=schema)
 
-        for b in batches:
+        for b in sliced(batches):
             for s in _sets(b.column(1)):
                 node, n = node_of(s), len(s)
                 if n and node not in seen:
-                    if len(seen) > RUN:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(node)
                     first = np.concatenate(ordered(s, far))[: n - -(-percent * n // 100) + 1]
@@ -321,7 +323,7 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The set of each text that makes its node (rows with the same id may hold other texts)."""
-        for b in batches:
+        for b in sliced(batches):
             rows = [(node, s.tobytes()) for node, s in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True) if node_of(s) == node]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])

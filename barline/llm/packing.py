@@ -35,15 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, written
+from .shared import sliced, text_of, written
 
 WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 #: Characters whose unknown words are encoded together.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 20
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -136,10 +136,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, upto = TaskContext.get().partitionId(), {}
-        for b in batches:
-            sources = b.column(1).to_pylist()
+        for b in sliced(batches):
             ids, starts, counts = [], [], []
-            for s, raw in zip(sources, encode(path, b.column(2).to_pylist(), end_id), strict=True):
+            for s, raw in zip(b.column(1).to_pylist(), encode(path, b.column(2).to_pylist(), end_id), strict=True):
                 starts.append(upto.get(s, 0))
                 counts.append(len(raw) // 4)
                 upto[s] = starts[-1] + counts[-1]
@@ -233,7 +232,8 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, span_windows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(counts, window, span_windows)
-        for b in batches:
+        _word_ids.cache_clear()  # a worker that made tokens needs its words no more
+        for b in sliced(batches):
             rows = []
             for doc_id, source, at, n, ids in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4")).cast("B")

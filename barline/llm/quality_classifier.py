@@ -183,14 +183,18 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("raw")).mapInArrow(run, SCORES)
 
 
-def score_udf(net: Network | None):
-    """The score as a column function of a text column."""
+def accepted(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, with all their columns."""
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def run(texts):
-        return texts.map(lambda x: score(net, (x or "").encode()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                good = [score(net, x.as_buffer().to_pybytes() if x.is_valid else b"") >= threshold for x in part.column(at)]
+                yield part.filter(pa.array(good, pa.bool_()))
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir) -> DataFrame:

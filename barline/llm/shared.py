@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,14 @@ def text_of(col: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     r"""Number of ``[^\x20\x09-\x0D]+`` in text."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+#: Rows of an Arrow batch that a task turns into Python objects at once.
+SLICE = 512
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that memory is bounded by the slice."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of, written
+from .shared import sliced, text_of, written
 
 LENGTH, GRAM = 100, 32
 #: Window starts that an anchor can have, and bytes of an aligned suffix.
@@ -282,7 +282,7 @@ def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
             out += [(k, False, g[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(0).to_numpy()
             turn += len(ids)
             for t, g, *_ in anchors([x.as_buffer().to_pybytes() for x in b.column(1)]):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import sliced, text_of
 
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 256
@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS) -> DataFr
     """doc_id, n_bytes, n_tokens of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n = pa.array(count_all(path, b.column(2).to_pylist(), chunk), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
 
