@@ -14,7 +14,7 @@ from barline.llm.jaccard_join import NO_ID, jaccard_classes
 from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import drawn
 from barline.llm.packing import packed
-from barline.llm.quality_classifier import THRESHOLD, score_udf, train
+from barline.llm.quality_classifier import accepted, train
 from barline.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject; it learns from the labels of sf_dir."""
     net = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(score_udf(net)("text") >= THRESHOLD).select(*COLUMNS)
+    return accepted(docs.select(*COLUMNS), net)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
