@@ -26,7 +26,7 @@ import os
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,14 +41,11 @@ WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 500_000
-#: Characters whose unknown words are encoded together.
-GROUP_CHARS = 1 << 20
+CACHE_WORDS = 350_000
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
-MARKS = ".,;:!?"
-SIMPLE = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]?)")
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&@+=~^/()\[\]{}\"_-]*)")
 
 TOKENS = "doc_id long, source string, chunk int, start long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -64,11 +61,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of white-space words as bytes (little-endian unsigned 32-bit), remembered in two generations.
+    """Ids of white-space words as bytes (little-endian unsigned 16-bit), remembered in two generations.
 
-    A word of Latin-1 letters with at most one mark at its end is two pieces to the tokenizer,
-    the lower-cased letters and the mark, so the letters go to its model directly and all
-    spellings share them; every other word goes through the whole tokenizer.
+    A word of Latin-1 letters, with or without a run of marks at its end, is two pieces to the
+    tokenizer, the lower-cased letters and the marks, so the letters go to its model directly
+    and all spellings share them; every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,40 +74,45 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.model, self.letters = self.tok.model, byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(MARKS, self._whole(list(MARKS)), strict=True)) | {"": b""}
+        self.known, self.older = _Known(self.make), {}
+        self.marks = _Known(self._whole)
+        self.marks[""] = b""
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(spelt)])
-
-    def learn(self, new: set[str]) -> None:
-        known, older, odd = self.known, self.older, []
-        for w in new:
-            if (ids := older.get(w)) is None:
-                if (m := SIMPLE.fullmatch(w)) is None:
-                    odd.append(w)
-                    continue
-                core, mark = m[1].lower(), m[2]
-                if (ids := known.get(core)) is None:
-                    ids = known[core] = self._piece(core)
-                ids += self.marks[mark]
-            known[w] = ids
-        known.update(zip(odd, self._whole(odd), strict=True))
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [WORD.findall(x) if ODD.search(x) else x.split() for x in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if self.known and len(self.known) + len(new) > CACHE_WORDS:
-            self.known, self.older, new = {}, self.known, words
-        self.learn(new)
-        for x in split:
-            yield b"".join(map(self.known.__getitem__, x))
+        return b"".join([x.id.to_bytes(2, "little") for x in self.model.tokenize(spelt)])
+
+    def make(self, word: str) -> bytes:
+        """The ids of a word that is not known; the letters' ids are kept with it."""
+        if (ids := self.older.get(word)) is not None:
+            return ids
+        if (m := SIMPLE.fullmatch(word)) is None:
+            return self._whole(word)
+        core = m[1].lower()
+        if (ids := self.known.get(core)) is None:
+            ids = self.known[core] = self._piece(core)
+        return ids + self.marks[m[2]]
+
+    def of(self, text: str) -> bytes:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = _Known(self.make), self.known
+        words = WORD.findall(text) if ODD.search(text) else text.split()
+        return b"".join(map(self.known.__getitem__, words))
+
+
+class _Known(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -118,17 +120,11 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def encode(path: str, texts: list[str], end_id: int = END_ID) -> Iterator[bytes]:
-    """The ids of each text and end_id, little-endian unsigned 32-bit."""
-    words, tail = _word_ids(path), int(end_id).to_bytes(4, "little")
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and size < GROUP_CHARS:
-            size += len(texts[stop])
-            stop += 1
-        yield from (x + tail for x in words.of(texts[at:stop]))
-        at = stop
+def encode(path: str, texts: Iterable[str], end_id: int = END_ID) -> Iterator[bytes]:
+    """The ids of each text and end_id, little-endian unsigned 16-bit (vocabularies of up to 65,536)."""
+    words, tail = _word_ids(path), int(end_id).to_bytes(2, "little")
+    for x in texts:
+        yield words.of(x) + tail
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -140,9 +136,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             ids, starts, counts = [], [], []
             for s, raw in zip(b.column(1).to_pylist(), encode(path, b.column(2).to_pylist(), end_id), strict=True):
                 starts.append(upto.get(s, 0))
-                counts.append(len(raw) // 4)
+                counts.append(len(raw) // 2)
                 upto[s] = starts[-1] + counts[-1]
-                ids.append(np.frombuffer(raw, "<u4").astype("<u2").tobytes())
+                ids.append(raw)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([chunk] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "chunk", "start", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_of().alias("text"))
