@@ -261,6 +261,11 @@ def _cuts(gram: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(gram, np.arange(1 << bits, dtype=_U) << _U(64 - bits)), len(gram))
 
 
+def _parts(rows: np.ndarray, size: int = 2048) -> list[np.ndarray]:
+    """Rows in parts that go to one bucket after the other."""
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
 def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
     """doc_id, grams: the document's anchors' hashes that occur at least twice in the corpus."""
     bits = max(1, (buckets - 1).bit_length())
@@ -276,7 +281,7 @@ def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
             new = np.append(True, g[1:] != g[:-1])
             twice = ~new | np.append(~new[1:], False)
             # what occurs twice here is known at once; one entry of it goes on for the others
-            out = [(turn % (1 << bits), True, g[twice].tobytes(), d[twice].tobytes())] if twice.any() else []
+            out = [((turn + j) % (1 << bits), True, g[at].tobytes(), d[at].tobytes()) for j, at in enumerate(_parts(np.flatnonzero(twice)))]
             g, d = g[new], np.where(twice, -1, d)[new]
             cuts = _cuts(g, bits)
             out += [(k, False, g[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
@@ -323,7 +328,7 @@ def removed_runs(rows: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             s, marks = repeated(Suffixes.joined(held))
             doc, th, start, end = runs(s, marks)
-            out = [(turn % (1 << bits), True, b"", doc.tobytes(), th.tobytes(), start.tobytes(), b"", b"", end.tobytes())] if len(doc) else []
+            out = [((turn + j) % (1 << bits), True, b"", doc[at].tobytes(), th[at].tobytes(), start[at].tobytes(), b"", b"", end[at].tobytes()) for j, at in enumerate(_parts(np.arange(len(doc))))]
             s = s.take(marks.sum(1) < s.hi.astype(int) - s.lo + 1)  # all windows marked: nothing left to ask
             cuts = _cuts(s.gram, bits)
             out += [(k, False, *s.take(slice(a, b)).packed()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
