@@ -45,7 +45,8 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """id, th, dropped: map of word number to the 64 bits of its dropped lines; documents that keep all lines have no row."""
     seen = written(occurrences(docs, min_chars), "line-occurrences")
-    frequent = seen.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    counts = seen.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
+    frequent = written(counts.where(F.col("n_docs") >= min_docs), "frequent-lines")  # a table, so that the join's hot keys can be split
     hits = seen.join(frequent, ["h1", "h2"]).groupBy("id", "th", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return hits.groupBy("id", "th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
