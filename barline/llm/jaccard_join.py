@@ -48,7 +48,7 @@ COUNTERS, PARTS = 1 << 18, 16
 #: A shingle is long if its counter exceeds the mean by so much: a number, and standard deviations.
 LONG, LONG_SIGMAS = 64, 8
 #: List entries that a task sorts at once before it sends them off.
-RUN = 1 << 20
+RUN = 1 << 19
 #: Nodes that a task remembers to have sent.
 SEEN = 100_000
 #: Nodes of a group that are searched at once (twice as many with those of another block).
@@ -198,7 +198,7 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
 def blocks(lists: DataFrame) -> DataFrame:
     """leader, i, j, side, node: the nodes of each group; of block i (side 0) and of block j (side 1)."""
     groups = written(lists.select("leader", "node").distinct(), "shingle-groups")
-    sizes = groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    sizes = written(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "shingle-group-sizes")
     own = groups.join(sizes, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return own.select("leader", "node", "own", other).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")

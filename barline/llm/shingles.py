@@ -9,7 +9,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text that are hashed together, about.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
