@@ -41,7 +41,7 @@ WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -131,6 +131,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """TOKENS: ids as unsigned 16-bit (vocabularies of up to 65,536), start in the queue of (source, chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         chunk, upto = TaskContext.get().partitionId(), {}
         for b in sliced(batches):
             ids, starts, counts = [], [], []
@@ -229,6 +230,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, span_windows: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(counts, window, span_windows)
         _word_ids.cache_clear()  # a worker that made tokens needs its words no more
+        pa.default_memory_pool().release_unused()
         for b in sliced(batches):
             rows = []
             for doc_id, source, at, n, ids in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
