@@ -7,8 +7,9 @@ long without any ending mark. Failed lines are removed; a document that keeps fe
 
 Repeated 3-word windows are found inside a row: each window's 64-bit hash carries its
 position in its low bits, the array is sorted as plain longs, and neighbours with equal high
-bits are repeats. Nothing is shuffled. The high bits left for the hash are 64 minus the bits
-of the word count, so a chance collision needs on the order of a billion documents.
+bits are candidates. Nothing is shuffled. The words of neighbouring candidates are compared;
+only where some differ (the hash keeps 64 bits less those of the word count, so chance alone
+does it in very long texts) are the row's candidates sorted by their words. The count is exact.
 
 Defined results: null or empty texts have no words, fail the base rules and are not kept; an
 empty table gives an empty result; repeated rows are judged alike; ids are only passed on.
@@ -81,7 +82,16 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_s", F.sort_array(F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), window)).otherwise(F.array().cast("array<long>"))))
     high = lambda x: x.bitwiseAND(-F.col("_p"))
     twice = lambda x, j: (high(F.get("_s", j + 1)).eqNullSafe(high(x))) | ((j > 0) & high(F.get("_s", j - 1)).eqNullSafe(high(x)))
-    df = df.withColumn("_d", F.sort_array(F.transform(F.filter("_s", twice), lambda x: x.bitwiseAND(F.col("_p") - 1))))
+    place = lambda x: x.bitwiseAND(F.col("_p") - 1)
+    word = lambda x, k: F.get("_words", place(x).cast("int") + k)
+    differ = lambda x, y: (word(x, 0) != word(y, 0)) | (word(x, 1) != word(y, 1)) | (word(x, 2) != word(y, 2))
+    df = df.withColumn("_c", F.filter("_s", twice))
+    mixed = F.size(F.filter("_c", lambda x, j: (j > 0) & high(F.get("_c", j - 1)).eqNullSafe(high(x)) & differ(F.get("_c", j - 1), x))) > 0
+    by_words = F.sort_array(F.transform("_c", lambda x: F.struct(F.struct(word(x, 0), word(x, 1), word(x, 2)).alias("w"), place(x).alias("at"))))
+    same = lambda e, x, j: (F.get(e, j + 1)["w"].eqNullSafe(x["w"])) | ((j > 0) & F.get(e, j - 1)["w"].eqNullSafe(x["w"]))
+    df = df.withColumn("_e", F.when(mixed, by_words))
+    exact = F.transform(F.filter("_e", lambda x, j: same("_e", x, j)), lambda x: x["at"])
+    df = df.withColumn("_d", F.sort_array(F.when(F.col("_e").isNull(), F.transform("_c", place)).otherwise(exact)))
     zero = F.lit(0).cast("long")
     covered = F.aggregate("_d", F.struct(F.lit(-3).cast("long").alias("last"), zero.alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
     df = df.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != ""))
@@ -92,7 +102,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered,
         "n_lost_words": gone.cast("long"),
-    }).drop("_words", "_p", "_s", "_d", "_lines")
+    }).drop("_words", "_p", "_s", "_c", "_e", "_d", "_lines")
 
 
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_kept_pct: int = MIN_KEPT_PCT) -> DataFrame:

@@ -227,6 +227,15 @@ def test_quality_measures(docs, rows):
     assert H.same(plain.select("doc_id", *names).collect(), [(d, *plain_measures(t)) for d, t in rows])
 
 
+def test_repeats_are_told_by_words_when_hashes_collide(spark, monkeypatch):
+    texts = ["a b c d e f g h", "a b c x a b c y b b c", "one two three", "a b c d a b c d a b c", None]
+    hashed = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: hashed(F.length(cols[0])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.quality_rules(docs).collect()}
+    assert got == {i: plain_measures(t)[-1] for i, t in enumerate(texts)} == {0: 0, 1: 6, 2: 0, 3: 11, 4: 0}
+
+
 def test_line_rules(spark):
     good = "This line of plain prose says a thing and ends as it should."
     text = "\n".join([good] + [" ".join(f"word{i}{k}" for k in "abcdefghi") + "." for i in range(9)])
