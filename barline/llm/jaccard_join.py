@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -73,8 +73,8 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(text_of(), "UTF-8").alias("raw"))
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(text_of(), "UTF-8").alias("raw"), *more)
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -82,8 +82,8 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Documents (doc_id, node, n, bits), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("some", pa.int32()), ("counts", pa.binary())])
+    """Documents (doc_id, node, n, bits, th: the text's hash), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("th", pa.int64()), ("part", pa.int32()), ("some", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
@@ -103,23 +103,23 @@ def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                     count()
                     held, size = [], 0
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if held:
             count()
         task = TaskContext.get().partitionId()
         none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array([task // 256] * PARTS, pa.int32()), pa.array([x.tobytes() for x in counts.reshape(PARTS, -1)], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), none, pa.array(range(PARTS), pa.int32()), pa.array([task // 256] * PARTS, pa.int32()), pa.array([x.tobytes() for x in counts.reshape(PARTS, -1)], pa.binary())], schema=schema)
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"])
         return pa.table({"part": t["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    made = written(_rows(docs).mapInArrow(run, "doc_id long, node long, n long, bits binary, part int, some int, counts binary"), "shingle-counts")
+    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, "doc_id long, node long, n long, bits binary, th long, part int, some int, counts binary"), "shingle-counts")
     each = made.where("part is not null").select("part", "some", "counts")
     sums = each.groupBy("part", "some").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     found = sums.orderBy("part").toArrow()["counts"].to_pylist()
     counts = np.concatenate([np.frombuffer(x, np.int64) for x in found]) if found else np.zeros(COUNTERS, np.int64)
-    return made.where("part is null").select("doc_id", "node", "n", "bits"), counts
+    return made.where("part is null").select("doc_id", "node", "n", "bits", "th"), counts
 
 
 def long_counters(counts: np.ndarray) -> np.ndarray:
@@ -345,8 +345,8 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
     return written(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long"), "shingle-links")
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+def _labelled(docs: DataFrame, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of count_sketch; node, doc_id, label: the class of each node that isn't the empty set."""
     spark = docs.sparkSession
     buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, counts = count_sketch(docs)
@@ -354,7 +354,19 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None
     lists = prefix_lists(docs, is_long, buckets, percent)
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     labels = components(links(lists, classes, docs, percent))
-    least = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return rows, classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def class_leaders(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """doc_id (NO_ID for null), th: the first by id and hash of text of each class of docs (doc_id, text); rows without words are left out."""
+    rows, least = _labelled(docs, percent, buckets)
+    of_class = rows.where("n > 0").join(least.select("node", "label"), "node").groupBy("label")
+    return of_class.agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.doc_id", "first.th")
+
+
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    rows, least = _labelled(docs, percent, buckets)
     smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(smallest, "label").select("node", "component_id")
     known = rows.where("n > 0").join(of_node, "node").select("doc_id", "n", "component_id")

@@ -10,12 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.jaccard_join import NO_ID, jaccard_classes
+from barline.llm.jaccard_join import NO_ID, class_leaders
 from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import drawn
 from barline.llm.packing import packed
 from barline.llm.quality_classifier import accepted, train
-from barline.llm.shared import written
+from barline.llm.shared import text_of, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,17 +34,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; rows with one id are one document."""
+    """The first document (by id, null last, then by hash of text) of each class of near duplicates; a text without words stands alone."""
+    keep = class_leaders(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), "th")
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    keep = jaccard_classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(row_id)
-    return docs.select(row_id, *COLUMNS).join(keep, "id", "left_semi").dropDuplicates(["id"]).select(*COLUMNS)
+    has_words = text_of().rlike(r"[^\x20\x09-\x0D]")
+    first = docs.where(has_words).select(row_id, F.xxhash64(text_of()).alias("th"), *COLUMNS).join(keep, ["id", "th"], "left_semi")
+    one = first.groupBy("id", "th").agg(F.min(F.struct("source", "lang", "n_chars", "doc_id", "text")).alias("row"))  # rows that agree in id and text
+    return one.select(*(F.col(f"row.{c}") for c in COLUMNS)).union(docs.where(~has_words).select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document for each pass that takes from it, cut after the words taken (a pass reads it from its first word)."""
-    draw = drawn(docs.select("doc_id", "source", "text")).select("doc_id", "size", F.inline("pieces"))
-    takes = draw.groupBy("doc_id", "size", "pass").agg(F.sum("words").alias("taken"))
-    both = docs.alias("d").join(takes.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).drop(F.col("t.doc_id"))
+    """The mix: a document for each pass that takes from it, cut after the words taken (a pass reads it from its first word).
+
+    Ids may be null or repeated, so a document is known by the hash of its id and text.
+    """
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_of())
+    draw = drawn(docs.select(key.alias("doc_id"), "source", "text")).select(F.col("doc_id").alias("key"), "size", F.inline("pieces"))
+    takes = draw.groupBy("key", "size", "pass").agg(F.sum("words").alias("taken"))
+    both = docs.withColumn("key", key).join(takes, "key")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(first)

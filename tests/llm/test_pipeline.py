@@ -76,3 +76,22 @@ def test_stages_in_turn(spark, sf_dir):
 def test_run_is_the_stages_one_after_the_other(spark, sf_dir):
     got = cp.run(spark, sf_dir)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns) and cp.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30 + k))
+    data = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4) + " tail"), (None, text(3) + " tail"), (9, text(5)), (9, text(5)), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t)) for d, t in data], H.SCHEMA)
+    after = cp.written(cp.near_duplicates(spark, docs, ""), "null-ids")
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5)), (None, ""), (None, None)]
+    assert Counter((d, t) for d, t, *_ in rows(after)) == Counter(want)
+
+    of, taken = {t: d for d, t in want}, 0
+    passes = Counter()
+    for d, t, *_ in rows(cp.mixture(spark, after, "")):
+        whole = next(x for x in of if x and x.startswith(t))
+        assert of[whole] == d
+        passes[whole] += 1
+        taken += len(H.words(t))
+    size = sum(len(H.words(t)) for _, t in want)
+    assert taken == round(1.5 * size) and len(passes) == 6 and max(passes.values()) <= 2
