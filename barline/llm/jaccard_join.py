@@ -10,7 +10,9 @@ order gives the same links, a good one keeps the lists short.
 2. The first n - T + 1 shingles of each node go to inverted lists; a task merges the sorted
    runs of its range of shingles. Lists with one node end there; the nodes of the others go to
    the group of the list's smallest node. Linked nodes share a list, so they share a group.
-   A group of more than ``BLOCK`` nodes is worked on by pairs of blocks.
+   In a group of more than ``BLOCK`` nodes or ``SHINGLES`` shingles every node is first held
+   against the smallest one, a set at a time. Nodes linked to it are one class already; the
+   others are worked on by pairs of blocks, with one another and with those.
 3. In a group, nodes without any partner that could reach the overlap are dropped: sizes must
    fit, and bitmaps of the sets must not differ in more bits than linked sets differ in
    shingles. Both tests are exact bounds.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -53,6 +55,8 @@ RUN = 1 << 19
 SEEN = 100_000
 #: Nodes of a group that are searched at once (twice as many with those of another block).
 BLOCK = 2048
+#: Shingles of a block, but for its last node's.
+SHINGLES = 1 << 20
 #: A list in a group that is long enough to be probed instead of merged.
 LONG_LIST = 32
 NO_ID = 2**63 - 1
@@ -195,13 +199,29 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
     return written(runs.groupBy("bucket").applyInArrow(merge, "token long, node long, leader long"), "shingle-lists")
 
 
-def blocks(lists: DataFrame) -> DataFrame:
-    """leader, i, j, side, node: the nodes of each group; of block i (side 0) and of block j (side 1)."""
-    groups = written(lists.select("leader", "node").distinct(), "shingle-groups")
-    sizes = written(groups.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "shingle-group-sizes")
-    own = groups.join(sizes, "leader").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return own.select("leader", "node", "own", other).select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+def weighed(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """leader, node, weight: the nodes of each group, by shingles; leader, parts: groups that are too large for one block."""
+    weight = F.greatest(F.col("n"), F.lit(-(-SHINGLES // BLOCK)).cast("long")).alias("weight")
+    groups = written(lists.select("leader", "node").distinct().join(nodes.select("node", "n"), "node").select("leader", "node", weight), "shingle-groups")
+    total = groups.groupBy("leader").agg(F.sum("weight").alias("total")).where(F.col("total") > SHINGLES)
+    return groups, written(total.select("leader", F.ceil(F.col("total") / SHINGLES).cast("int").alias("parts")), "shingle-large-groups")
+
+
+def blocks(groups: DataFrame, large: DataFrame, tied: DataFrame) -> DataFrame:
+    """leader, i, j, side, node: the nodes of block i (side 0) and of block j (side 1); tied: leader, node that are linked."""
+    zero = F.lit(0)
+    small = groups.join(large, "leader", "left_anti").select("leader", zero.alias("i"), zero.alias("j"), zero.alias("side"), "node")
+    known = tied.select("leader", "node").distinct().withColumn("tied", F.lit(1))
+    rows = groups.join(large, "leader").join(known, ["leader", "node"], "left").select("leader", "node", "weight", F.coalesce("tied", zero).alias("tied"))
+    upto = F.sum("weight").over(Window.partitionBy("leader", "tied").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = written(rows.select("leader", "node", "tied", F.floor((upto - F.col("weight")) / SHINGLES).cast("int").alias("own")), "shingle-blocks")
+    count = lambda x: F.coalesce(F.max(F.when(F.col("tied") == x, F.col("own"))) + 1, zero)
+    counts = dealt.groupBy("leader").agg(count(0).alias("free"), count(1).alias("ties")).where("free > 0")  # else all are one class
+    # free blocks come first and meet all blocks; blocks of tied nodes meet free ones only
+    last = F.when(F.col("tied") == 1, F.col("free") - 1).otherwise(F.col("free") + F.col("ties") - 1)
+    own = F.col("own") + F.when(F.col("tied") == 1, F.col("free")).otherwise(zero)
+    met = dealt.join(counts, "leader").select("leader", "node", own.alias("own"), F.explode(F.sequence(zero, last)).alias("other"))
+    return small.union(met.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -328,6 +348,27 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        """node, tokens of the nodes of some."""
+        need = written(some.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
+        return _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node long, tokens binary")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Nodes linked to their leader, whose row comes first in each part."""
+        first = np.empty(0, _U)
+        for b in batches:
+            found = []
+            for leader, other, node, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                if not other:
+                    first = np.frombuffer(x.as_py(), _U)
+                    continue
+                s = np.frombuffer(x.as_buffer(), _U)
+                least = -(-percent * (len(s) + len(first)) // (100 + percent))
+                if min(len(s), len(first)) >= least and len(np.intersect1d(s, first, assume_unique=True)) >= least:
+                    found.append((leader, node))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["leader", "node"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
             seen = {r[4]: r for r in g}  # repeated rows bring a set twice
@@ -337,12 +378,19 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
                 yield pa.RecordBatch.from_arrays([pa.array([g[x][4] for x, _ in found], pa.int64()), pa.array([g[y][4] for _, y in found], pa.int64())], names=["a", "b"])
 
     info = nodes.select("node", "n", "bits")
-    placed = blocks(lists).join(info, "node").select(*key, "side", "node", "n", "bits")
+    groups, large = weighed(lists, nodes)
+    tied = docs.sparkSession.createDataFrame([], "leader long, node long")
+    if not large.isEmpty():
+        members = groups.join(large, "leader").select("leader", "node", "parts", (F.col("node") != F.col("leader")).cast("int").alias("other"))
+        own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
+        parts = F.when(F.col("other") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+        held = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
+        tied = written(held.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, "leader long, node long"), "shingle-ties")
+    placed = blocks(groups, large, tied.union(large.select("leader", F.col("leader").alias("node")))).join(info, "node").select(*key, "side", "node", "n", "bits")
     kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node long"), "shingle-screened")
-    need = written(kept.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
-    sets = _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node long, tokens binary")
-    met = kept.join(sets, "node").select(*key, "side", "node", "tokens")
-    return written(met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long"), "shingle-links")
+    met = kept.join(sets_of(kept), "node").select(*key, "side", "node", "tokens")
+    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
+    return written(found.union(tied.select(F.col("leader").alias("a"), F.col("node").alias("b"))), "shingle-links")
 
 
 def _labelled(docs: DataFrame, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:

@@ -173,6 +173,33 @@ def test_jaccard_near_the_threshold_and_split_groups(spark, monkeypatch):
     assert H.same(got, H.classes(rows))
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 500)
+    size = {k: 40 + k for k in range(60)}
+    lists = spark.createDataFrame([(0, k) for k in size], "leader long, node long")
+    nodes = spark.createDataFrame(list(size.items()), "node long, n long")
+    groups, large = jaccard_join.weighed(lists, nodes)
+    for linked in (range(1), range(30), range(60)):
+        held, met = Counter(), defaultdict(set)
+        for r in jaccard_join.blocks(groups, large, spark.createDataFrame([(0, k) for k in linked], "leader long, node long")).collect():
+            held[r["i"], r["j"], r["side"]] += size[r["node"]]
+            met[r["i"], r["j"]].add((r["side"], r["node"]))
+        assert max(held.values(), default=0) < 500 + 100
+        pairs = {(a, b) for (i, j), x in met.items() for s, a in x for t, b in x if a < b and (i == j or s != t)}
+        assert {(a, b) for a in size for b in size if a < b and not (a in linked and b in linked)} <= pairs
+        if len(linked) == 60:
+            assert not met
+
+
+def test_jaccard_classes_of_groups_with_many_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 150)
+    w = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(w[: 40 - i % 12] + [f"x{i}_{k}" for k in range(i % 12)])) for i in range(40)]
+    rows += [(100 + i, " ".join(w[i : i + 30])) for i in range(12)] + [(1, rows[5][1])]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert H.same(got, H.classes(rows))
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
