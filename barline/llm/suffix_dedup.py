@@ -3,19 +3,25 @@
 A byte goes if some ``LENGTH``-byte string that covers it also starts earlier (in a document
 of smaller id, or before it in the same one).
 
-1. Anchors. Each window of LENGTH bytes chooses the leftmost smallest hash of its
-   ``GRAM``-byte strings, so equal windows choose equal grams at equal places. A document's
-   windows are thereby dealt to few anchors, each with a run of window starts. The run is
-   split in two: windows that also hold the GRAM bytes before the gram, and the others, which
-   hold the GRAM bytes after it; either is filed under those 2 * GRAM bytes.
-2. Suffix buckets. A bucket is a range of gram hashes. Only grams that occur twice matter;
-   their documents learn which, and send the suffixes around those anchors (at most
-   2 * LENGTH - GRAM bytes each, aligned at the gram) to their buckets.
-3. A task sorts one block of a bucket at a time. Ranks are computed beforehand for the suffixes
-   at the columns of a difference cover only, with the common prefixes of neighbours. A
-   window is then compared by its few bytes before the next cover column and, for all the
-   rest however long the tie, by the rank there, cut to the window's length. Memory is bounded
-   by the block, time by the cover.
+1. Dealing. Each window of LENGTH bytes chooses the leftmost smallest hash of its
+   ``GRAM``-byte strings as its anchor, so equal windows choose equal anchors at equal places.
+   The windows of an anchor make runs, each with a key: the hash of bytes that all windows of
+   the run hold. There are three levels: the halves of an anchor's windows (2 * GRAM bytes),
+   ``CLASS`` windows side by side (LENGTH - CLASS + 1 bytes), and single windows (all bytes).
+2. Keys. Only keys that occur twice matter; a row per key and document goes to the task of the
+   key, which streams its sorted rows and tells the documents. A key that occurs more than
+   ``HOT`` times is not used: its windows are dealt again at the next level, so the edges of a
+   passage that very many documents share, with other text around each, spread over keys of
+   their own. A task that alone sees a key more often than that tells its documents itself and
+   sends one row with the count.
+3. Suffix buckets. The runs of repeated keys are cut out of their documents and sent to the
+   task of their key, a row per run. A task sorts one block of buckets at a time. It first
+   ranks the suffixes at the places of a difference cover of the block's text (a sixth of
+   all places), with the common prefixes of neighbours. Windows are sorted by their first
+   bytes, as many as the cover's period; those that still tie are split around pivots: for two
+   places there is an offset below the period at which both meet the cover, and the ranks
+   there, cut to what is left of the window, say which is smaller or that both are equal,
+   however long the tie. Memory is bounded by the block, time by the cover.
 4. Of equal windows all but the earliest become removed runs of their documents.
 
 What a task already sees to be repeated it marks at once and sends no further: a passage
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +47,23 @@ from pyspark.sql import functions as F
 from .shared import sliced, text_of, written
 
 LENGTH, GRAM = 100, 32
-#: Window starts that an anchor can have, and bytes of an aligned suffix.
+#: Window starts that an anchor can have.
 REACH = LENGTH - GRAM + 1
-SLOT = LENGTH + REACH - 1
-#: A difference cover: every difference modulo PERIOD is one of two members' (a fixed value).
-PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
+#: Windows of a run at each level: half an anchor's, some side by side, one.
+LEVELS, CLASS = 3, 8
+#: A difference cover: every difference modulo PERIOD is one of two members' (fixed values).
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Bytes whose grams are hashed together; positions in them take BLOCK_BITS bits.
 BLOCK_BITS = 17
-#: Entries that a task holds before it sends them off, and suffixes that are sorted at once.
-RUN, SUFFIXES = 1 << 20, 1 << 16
+#: Keys, and runs, that a task holds before it sends them off; runs that are sorted at once.
+KEYS, RUNS, BLOCK = 1 << 20, 1 << 16, 1 << 14
+#: Occurrences beyond which a key is dealt at the next level.
+HOT = 4096
 NO_ID = 2**63 - 1
 
 _U = np.uint64
 _LOW = _U((1 << BLOCK_BITS) - 1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,7 +77,7 @@ _BYTES = _mixed(np.arange(1, 257, dtype=_U))
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes at each place; doubling from single bytes."""
-    h, k, base = _BYTES[data], 1, 0x9E3779B97F4A7C15
+    h, k, base = _BYTES[data], 1, _BASE
     while k < GRAM:
         h = h[:-k] * _U(base) + h[k:]
         k, base = 2 * k, base * base % (1 << 64) | 1
@@ -85,170 +96,247 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return (m & _LOW).astype(np.int64)
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, hash of 2 * GRAM bytes, anchor, first window start, last window start) in arrays, a block at a time."""
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; the first row always."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+@dataclass
+class Windows:
+    """Windows of a piece of text: gram hashes of the piece, and of each window its anchor, start, text number and that text's offset."""
+
+    h: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    text: np.ndarray
+    shift: np.ndarray
+
+    def only(self, rows: np.ndarray) -> Windows:
+        return Windows(self.h, self.at[rows], self.start[rows], self.text[rows], self.shift[rows])
+
+    def dealt(self, level: int) -> tuple[np.ndarray, ...]:
+        """(text number, key, anchor, first start, last start, windows) of each run at a level; places count from the text's begin."""
+        column = self.start - self.at + REACH - 1
+        own = (self.start > self.at - GRAM) if level == 0 else column // CLASS if level == 1 else column
+        first = np.flatnonzero(_edges(self.at, self.text, own))
+        size = np.diff(np.append(first, len(self.at)))
+        at, own = self.at[first], own[first].astype(np.int64)
+        if level == 0:
+            begin, gaps = np.where(own, at, at - GRAM), (0, GRAM)
+        elif level == 1:
+            begin, gaps = at - (REACH - 1) + own * CLASS + CLASS - 1, (0, GRAM, LENGTH - CLASS + 1 - GRAM)
+        else:
+            begin, gaps = self.start[first], (0, GRAM, 2 * GRAM, LENGTH - GRAM)
+        key = own.astype(_U) + _U(100 * level + 1)
+        for g in gaps:
+            key = _mixed(key * _U(_BASE) + self.h[begin + g])
+        shift = self.shift[first]
+        return self.text[first], key, at + shift, self.start[first] + shift, self.start[first] + size - 1 + shift, size
+
+
+def pieces(texts: list[bytes]) -> Iterator[Windows]:
+    """All windows of the texts, a bounded piece at a time."""
     size = 1 << BLOCK_BITS
     held: list[tuple[int, int, bytes]] = []  # text, where the part begins, part
     total = 0
 
-    def block() -> tuple[np.ndarray, ...]:
+    def piece() -> Windows:
         data = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
         lengths = np.array([len(x) for _, _, x in held])
         begin = np.cumsum(lengths) - lengths
         h = gram_hashes(data)
         at = window_anchors(h)
-        starts = np.arange(len(at))
+        start = np.arange(len(at))
         part = np.repeat(np.arange(len(held)), lengths)[: len(at)]
-        ok = starts + LENGTH <= (begin + lengths)[part]
-        at, starts, part = at[ok], starts[ok], part[ok]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        shift = np.array([o for _, o, _ in held]) - begin
-        p, a, first, last = part[first], at[first], starts[first], starts[last]
-        left, right = first <= a - GRAM, last > a - GRAM  # has windows that hold the GRAM bytes before the gram; that hold those after it
-        key = lambda rows, by, sign: _mixed(h[a[rows]] * _U(0x9E3779B97F4A7C15) + h[a[rows] + by] + _U(sign))
-        both = lambda x, y: np.append(x[left], y[right])
-        p2 = both(p, p)
-        return np.array([t for t, _, _ in held])[p2], np.append(key(left, -GRAM, 0), key(right, GRAM, 1)), both(a, a) + shift[p2], both(first, np.maximum(first, a - GRAM + 1)) + shift[p2], both(np.minimum(last, a - GRAM), last) + shift[p2]
+        ok = start + LENGTH <= (begin + lengths)[part]
+        part = part[ok]
+        return Windows(h, at[ok], start[ok], np.array([t for t, _, _ in held])[part], (np.array([o for _, o, _ in held]) - begin)[part])
 
     for t, x in enumerate(texts):
         o = 0
         while len(x) - o >= LENGTH:
-            piece = x[o : o + size - total]
-            if len(piece) < LENGTH:
-                yield block()
-                held, total = [], 0
-                continue
-            held.append((t, o, piece))
-            total += len(piece)
-            o += len(piece) - LENGTH + 1  # every window start lies in one part
-            if size - total < LENGTH:
-                yield block()
+            part = x[o : o + size - total]
+            if len(part) >= LENGTH:
+                held.append((t, o, part))
+                total += len(part)
+                o += len(part) - LENGTH + 1  # every window start lies in one part
+            if size - total < LENGTH or len(part) < LENGTH:
+                yield piece()
                 held, total = [], 0
     if held:
-        yield block()
+        yield piece()
 
 
-def cover_columns() -> list[int]:
-    """Cover columns of a slot, up to the first one that serves the last window start."""
-    cols = [c for c in range(SLOT) if c % PERIOD in COVER]
-    return cols[: next(i for i, c in enumerate(cols) if c >= REACH - 1) + 1]
+def _segments(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each segment, one segment after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-class Suffixes:
-    """Aligned suffixes of anchors: gram hash, document, text hash, anchor, first and last window column, bytes."""
+class Runs:
+    """Runs of windows: key, document, text hash, anchor, first and last window column, and the bytes under the windows."""
 
-    NAMES = ("gram", "doc", "th", "at", "lo", "hi", "data")
-    TYPES = (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
+    NAMES = ("key", "doc", "th", "at", "lo", "hi")
 
-    def __init__(self, *columns: np.ndarray) -> None:
-        self.gram, self.doc, self.th, self.at, self.lo, self.hi, self.data = columns
+    def __init__(self, key: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: np.ndarray) -> None:
+        self.key, self.doc, self.th, self.at, self.lo, self.hi, self.data = key, doc, th, at, lo, hi, data
+        self.count = hi - lo + 1
+        self.width = self.count + LENGTH - 1
+        self.begin = np.cumsum(self.width) - self.width
 
     def __len__(self) -> int:
-        return len(self.gram)
+        return len(self.key)
 
-    def take(self, rows: np.ndarray) -> Suffixes:
-        return Suffixes(*(getattr(self, k)[rows] for k in self.NAMES))
+    def take(self, rows: np.ndarray) -> Runs:
+        return Runs(*(getattr(self, k)[rows] for k in self.NAMES), self.data[_segments(self.begin[rows], self.width[rows])])
+
+    def cut(self, lo: np.ndarray, hi: np.ndarray) -> Runs:
+        """The same runs from column lo to column hi of each."""
+        return Runs(self.key, self.doc, self.th, self.at, lo, hi, self.data[_segments(self.begin + lo - self.lo, hi - lo + LENGTH)])
 
     @staticmethod
-    def joined(parts: list[Suffixes]) -> Suffixes:
-        return Suffixes(*(np.concatenate([getattr(p, k) for p in parts]) for k in Suffixes.NAMES))
+    def joined(parts: list[Runs]) -> Runs:
+        return Runs(*(np.concatenate([getattr(p, k) for p in parts]) for k in (*Runs.NAMES, "data")))
 
-    def packed(self) -> tuple[bytes, ...]:
-        return tuple(np.ascontiguousarray(getattr(self, k)).tobytes() for k in self.NAMES)
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Run and column of each window."""
+        return np.repeat(np.arange(len(self)), self.count), _segments(self.lo, self.count)
 
-    @staticmethod
-    def unpacked(raw: list) -> Suffixes:
-        cols = [np.frombuffer(x, t) for x, t in zip(raw, Suffixes.TYPES, strict=True)]
-        return Suffixes(*cols[:-1], cols[-1].reshape(-1, SLOT))
-
-
-def suffixes_of(text: bytes, doc: int, th: int, gram: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Suffixes:
-    """Slots of the anchors of one text: column REACH - 1 is the gram's first byte; bytes outside the windows are 0."""
-    data = np.zeros(len(text) + 2 * SLOT, np.uint8)
-    data[SLOT : SLOT + len(text)] = np.frombuffer(text, np.uint8)
-    origin = at - (REACH - 1)
-    lo, hi = first - origin, last - origin
-    cols = np.arange(SLOT)
-    slots = data[origin[:, None] + SLOT + cols]
-    slots[(cols < lo[:, None]) | (cols >= hi[:, None] + LENGTH)] = 0
-    return Suffixes(gram, np.full(len(at), doc), np.full(len(at), th), at, lo.astype(np.uint8), hi.astype(np.uint8), slots)
-
-
-def _repeated_block(s: Suffixes) -> np.ndarray:
-    """(suffixes, REACH) marks of windows that occur earlier; s: whole groups of a gram, by (gram, doc, at)."""
-    n = len(s)
-    marks = np.zeros((n, REACH), bool)
-    group = np.cumsum(np.append(True, s.gram[1:] != s.gram[:-1]))
-    same = np.append(False, (s.doc[1:] == s.doc[:-1]) & (s.at[1:] == s.at[:-1]) & (group[1:] == group[:-1]))
-    turn = np.cumsum(~same)  # equal for rows that are the same place
-    columns = cover_columns()
-    for begin, col in zip([0, *(c + 1 for c in columns[:-1])], columns, strict=True):
-        # ranks of the suffixes at a cover column, and common prefixes of neighbours in that order
-        tails = np.zeros((n, 8 + LENGTH), np.uint8)
-        tails[:, :8] = group.astype(">u8").view(np.uint8).reshape(n, 8)
-        width = min(LENGTH, SLOT - col)
-        tails[:, 8 : 8 + width] = s.data[:, col : col + width]
-        order = np.argsort(tails.view(f"V{8 + LENGTH}").ravel(), kind="stable")
+
+def runs_of(text: np.ndarray, doc: int, th: int, key: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Runs:
+    """Runs of windows of one text; column REACH - 1 is the anchor's first byte."""
+    n, origin = len(key), at - (REACH - 1)
+    return Runs(key.view(np.int64), np.full(n, doc), np.full(n, th), at, first - origin, last - origin, text[_segments(first, last - first + LENGTH)])
+
+
+def _offsets() -> np.ndarray:
+    """For two residues the least offset at which both meet the cover."""
+    member = np.isin(np.arange(PERIOD), COVER)
+    place = (np.arange(PERIOD)[:, None] + np.arange(PERIOD)) % PERIOD  # residue, offset
+    return (member[place][:, None, :] & member[place][None, :, :]).argmax(2)
+
+
+OFFSETS = _offsets()
+_MEMBER = np.isin(np.arange(PERIOD), COVER)
+
+
+class CoverRanks:
+    """Ranks of the suffixes of data at chosen places of the difference cover, and a table for the least common prefix between two ranks."""
+
+    def __init__(self, data: np.ndarray, places: np.ndarray, group: np.ndarray) -> None:
+        tails = np.empty((len(places), 4 + LENGTH), np.uint8)
+        tails[:, :4] = group.astype(">u4").view(np.uint8).reshape(-1, 4)  # only suffixes of one group are ever compared
+        tails[:, 4:] = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(LENGTH, np.uint8)), LENGTH)[places]
+        order = np.argsort(tails.view(f"V{4 + LENGTH}").ravel(), kind="stable")
         ranked = tails[order]
         differ = ranked[1:] != ranked[:-1]
-        common = np.where(differ.any(1), differ.argmax(1) - 8, LENGTH)
-        for w in range(begin, min(col, REACH - 1) + 1):
-            k = col - w  # bytes before the cover column
-            name = np.empty(n, np.int64)
-            name[order] = np.cumsum(np.append(True, common < LENGTH - k))
-            own = np.flatnonzero((s.lo <= w) & (w <= s.hi))
-            if len(own) < 2:
-                continue
-            keys = [turn[own]]
-            for c in range(w, col, 8):
-                head = np.zeros((len(own), 8), np.uint8)
-                head[:, : min(8, col - c)] = s.data[own, c : min(c + 8, col)]
-                keys.append(head.view("<u8").ravel())
-            keys.append(name[own])
-            by = np.lexsort(keys)
-            equal = np.ones(len(own) - 1, bool)
-            for key in keys[1:]:
-                x = key[by]
-                equal &= x[1:] == x[:-1]
-            new = np.append(True, ~equal)
-            first = np.repeat(keys[0][by][new], np.diff(np.append(np.flatnonzero(new), len(own))))
-            marks[own[by], w] = keys[0][by] > first
+        common = np.zeros(len(order), np.uint8)
+        common[1:] = np.where(differ.any(1), np.maximum(differ.argmax(1) - 4, 0), LENGTH)
+        self.rank = np.zeros(len(data) + LENGTH, np.int32)
+        self.rank[places[order]] = np.arange(len(order))
+        self.least = [common]
+        while 2 * (k := 1 << len(self.least) - 1) <= len(common):
+            self.least.append(np.minimum(self.least[-1][:-k], self.least[-1][k:]))
+        self.flat, self.row = np.concatenate(self.least), np.cumsum([0, *(len(x) for x in self.least)])[:-1]
+
+    def compared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each two windows x, y that agree in their first PERIOD bytes."""
+        off = OFFSETS[x % PERIOD, y % PERIOD]
+        a, b = self.rank[x + off], self.rank[y + off]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        level = np.frexp(np.maximum(high - low, 1).astype(np.float64))[1] - 1
+        at = self.row[level]
+        least = np.minimum(self.flat[at + np.minimum(low + 1, high)], self.flat[at + high - (1 << level) + 1])
+        return np.where((a == b) | (least >= LENGTH - off), 0, np.sign(a - b))
+
+
+def _repeated_block(s: Runs) -> np.ndarray:
+    """Marks of the windows that occur earlier; s: whole buckets of a key, by (key, doc, at)."""
+    run, column = s.windows()
+    marks = np.zeros(len(run), bool)
+    group = np.cumsum(_edges(s.key)) - 1
+    turn = np.cumsum(_edges(group, s.doc, s.at))  # equal for rows that are the same place
+    x = s.begin[run] + column - s.lo[run]
+    bucket = group[run] * REACH + column
+    rows = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    if not len(rows):
+        return marks
+    eight = np.ndarray((len(s.data) - 7,), ">u8", np.ascontiguousarray(s.data), 0, (1,))
+    heads = [eight[x[rows] + k].astype(_U) for k in range(0, PERIOD + 1, 8)]
+    by = np.lexsort((*heads[::-1], bucket[rows]))
+    new = _edges(bucket[rows][by], *(k[by] for k in heads))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(by)))
+    tied = np.repeat(size > 1, size)
+    rows, tie = rows[by][tied], np.repeat(np.arange(len(size)), size)[tied]
+    if not len(rows):
+        return marks
+
+    some = np.zeros(len(s), bool)
+    some[run[rows]] = True
+    mine = np.flatnonzero(some)
+    places = _segments(s.begin[mine], s.count[mine] + PERIOD - 1)
+    owner = np.repeat(group[mine], s.count[mine] + PERIOD - 1)
+    sample = _MEMBER[places % PERIOD]
+    ranks = CoverRanks(s.data, places[sample], owner[sample])
+
+    leader = np.arange(len(rows))
+    left, part, where = leader, tie, x[rows]
+    while len(left):
+        begin = np.flatnonzero(_edges(part))
+        size = np.diff(np.append(begin, len(part)))
+        pivot = left[np.repeat(begin + size // 2, size)]
+        sign = ranks.compared(where[left], where[pivot])
+        leader[left[sign == 0]] = pivot[sign == 0]
+        rest = sign != 0
+        part = np.repeat(np.arange(len(size)), size)[rest] * 2 + (sign[rest] > 0)
+        by = np.argsort(part, kind="stable")
+        left, part = left[rest][by], part[by]
+        begin = np.flatnonzero(_edges(part))
+        size = np.diff(np.append(begin, len(part)))
+        several = np.repeat(size > 1, size)
+        left, part = left[several], part[several]
+    when = turn[run[rows]]
+    earliest = np.full(len(rows), np.iinfo(np.int64).max)
+    np.minimum.at(earliest, leader, when)
+    marks[rows] = when > earliest[leader]
     return marks
 
 
-def repeated(s: Suffixes) -> tuple[Suffixes, np.ndarray]:
-    """s by (gram, doc, at) and its marks; sorted one block of grams after the other."""
-    s = s.take(np.lexsort((s.at, s.doc, s.gram)))
-    marks = np.zeros((len(s), REACH), bool)
-    if not len(s):
-        return s, marks
-    starts = np.flatnonzero(np.append(True, s.gram[1:] != s.gram[:-1]))
+def repeated(s: Runs) -> tuple[Runs, np.ndarray]:
+    """s by (key, doc, at) and the marks of its windows; sorted one block of buckets after the other."""
+    s = s.take(np.lexsort((s.at, s.doc, s.key)))
+    begin = np.cumsum(s.count) - s.count
+    marks = np.zeros(int(s.count.sum()), bool)
+    starts = np.flatnonzero(_edges(s.key))
     sizes = np.diff(np.append(starts, len(s)))
-    many = np.repeat(sizes, sizes) > 1
-    rows = np.flatnonzero(many)  # grams of one suffix only repeat nothing
+    rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # a bucket of one run repeats nothing
     at = 0
     while at < len(rows):
-        end = min(at + SUFFIXES, len(rows))
-        while end < len(rows) and s.gram[rows[end]] == s.gram[rows[end - 1]]:
+        end = min(at + BLOCK, len(rows))
+        while end < len(rows) and s.key[rows[end]] == s.key[rows[end - 1]]:
             end += 1
         block = rows[at:end]
-        marks[block] = _repeated_block(s.take(block))
+        marks[_segments(begin[block], s.count[block])] = _repeated_block(s.take(block))
         at = end
     return s, marks
 
 
-def runs(s: Suffixes, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(s: Runs, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, th, start, end) of the bytes under marked windows, merged as far as they meet here."""
-    row, col = np.nonzero(marks)
-    doc, th, at = s.doc[row], s.th[row], s.at[row] - (REACH - 1) + col
+    run, column = s.windows()
+    run, column = run[marks], column[marks]
+    doc, th, at = s.doc[run], s.th[run], s.at[run] - (REACH - 1) + column
     order = np.lexsort((at, th, doc))
     doc, th, at = doc[order], th[order], at[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]) | (at[1:] > at[:-1] + LENGTH)) if len(at) else np.zeros(0, bool)
+    new = _edges(doc, th)
+    new[1:] |= at[1:] > at[:-1] + LENGTH
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     return doc[first], th[first], at[first], at[last] + LENGTH
 
 
@@ -257,127 +345,205 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
 
 
-def _cuts(gram: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(gram, np.arange(1 << bits, dtype=_U) << _U(64 - bits)), len(gram))
+def repeated_keys(rows: DataFrame, level: int, hot: int) -> DataFrame:
+    """doc_id, key, hot: each document's keys at a level that occur twice in all; rows may have wanted, the keys of the level before whose windows are dealt."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
 
-
-def _parts(rows: np.ndarray, size: int = 2048) -> list[np.ndarray]:
-    """Rows in parts that go to one bucket after the other."""
-    return [rows[i : i + size] for i in range(0, len(rows), size)]
-
-
-def repeated_grams(rows: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, grams: the document's anchors' hashes that occur at least twice in the corpus."""
-    bits = max(1, (buckets - 1).bit_length())
-    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("grams", pa.binary()), ("docs", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, docs, size, turn = [], [], 0, 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (key, document, 1) per run; of keys met more than `hot` times here a row (key, -, count), and (key, document, 0) as they are known."""
+        keys, docs, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            g, d = np.concatenate(grams), np.concatenate(docs)
-            o = np.argsort(g, kind="stable")
-            g, d = g[o], d[o]
-            new = np.append(True, g[1:] != g[:-1])
-            twice = ~new | np.append(~new[1:], False)
-            # what occurs twice here is known at once; one entry of it goes on for the others
-            out = [((turn + j) % (1 << bits), True, g[at].tobytes(), d[at].tobytes()) for j, at in enumerate(_parts(np.flatnonzero(twice)))]
-            g, d = g[new], np.where(twice, -1, d)[new]
-            cuts = _cuts(g, bits)
-            out += [(k, False, g[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            k, d = np.concatenate(keys), np.concatenate(docs)
+            o = np.argsort(k, kind="stable")
+            k, d = k[o], d[o]
+            first = np.flatnonzero(_edges(k))
+            n = np.diff(np.append(first, len(k)))
+            many = n > hot
+            state = np.where(np.repeat(many, n), 0, 1)
+            out = (np.append(k, k[first[many]]).view(np.int64), np.append(d, d[first[many]]), np.append(state, n[many]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
 
         for b in sliced(batches):
-            ids = b.column(0).to_numpy()
-            turn += len(ids)
-            for t, g, *_ in anchors([x.as_buffer().to_pybytes() for x in b.column(1)]):
-                grams.append(g)
-                docs.append(ids[t])
-                size += len(g)
-                if size >= RUN:
+            ids, texts = b.column(0).to_numpy(), [x.as_buffer().to_pybytes() for x in b.column(1)]
+            if level == 0:
+                found = ((ids[t], k) for t, k, *_ in (w.dealt(0) for w in pieces(texts)))
+            else:
+                found = _within(ids, texts, [x.values.to_numpy().view(_U) for x in b.column(2)], level)
+            for d, k in found:
+                docs.append(d)
+                keys.append(k)
+                size += len(k)
+                if size >= KEYS:
                     yield flush()
-                    grams, docs, size = [], [], 0
+                    keys, docs, size = [], [], 0
         if size:
             yield flush()
 
-    def merge(t: pa.Table) -> pa.Table:
-        known = t["known"].to_pylist()
-        get = lambda k, kind, want: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x, y in zip(t[k], known, strict=True) if y is want)])
-        g, d = get("grams", np.uint64, False), get("docs", np.int64, False)
-        o = np.argsort(g, kind="stable")
-        g, d = g[o], d[o]
-        new = np.append(True, g[1:] != g[:-1])[: len(g)]
-        some = (~new | np.append(~new[1:], False)[: len(g)]) & (d != -1)
-        g, d = np.append(g[some], get("grams", np.uint64, True)), np.append(d[some], get("docs", np.int64, True))
-        return pa.table({"doc_id": d, "gram": g.view(np.int64)})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key: a bucket is held only until it ends or is known to be hot."""
+        none = np.empty(0, np.int64)
+        held, known = (none, none, none), None
 
-    found = rows.select("doc_id", "raw").mapInArrow(run, "bucket int, known boolean, grams binary, docs binary")
-    return written(found.groupBy("bucket").applyInArrow(merge, "doc_id long, gram long").groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "repeated-grams")
+        def told(k: np.ndarray, d: np.ndarray, is_hot: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(is_hot, pa.bool_())], names=["doc_id", "key", "hot"])
 
+        def decided(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(_edges(k))
+            total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(k)))) if len(k) else n
+            some = (total > 1) & (n < 2)
+            return told(k[some], d[some], (total > hot)[some])
 
-def removed_runs(rows: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
+        for b in batches:
+            k, d, n = (b.column(i).to_numpy() for i in range(3))
+            if known is not None:  # this bucket is hot
+                n = np.where((k == known) & (n == 1), 0, n)
+                d, n, k = d[(k != known) | (n == 0)], n[(k != known) | (n == 0)], k[(k != known) | (n == 0)]
+            sure = n == 0
+            if sure.any():
+                yield told(k[sure], d[sure], np.ones(int(sure.sum()), bool))
+            if sure.all():
+                continue
+            k, d, n = (np.append(x, y[~sure]) for x, y in zip(held, (k, d, n), strict=True))
+            last = int(np.searchsorted(k, k[-1]))
+            yield decided(k[:last], d[:last], n[:last])
+            held, known = (k[last:], d[last:], n[last:]), None
+            if held[2].sum() > hot:
+                known = int(k[-1])
+                yield decided(*held)
+                held = (none, none, none)
+        yield decided(*held)
+
+    where = F.when(F.col("n") == 0, F.xxhash64("doc_id", "key")).otherwise(F.col("key"))
+    sent = rows.select("doc_id", "raw", *(["wanted"] * (level > 0))).mapInArrow(deal, "key long, doc_id long, n int")
+    return written(sent.repartition(where).sortWithinPartitions("key").mapInArrow(meet, "doc_id long, key long, hot boolean"), f"repeated-keys-{level}")
+
+
+def _within(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray], level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, keys) of the windows whose keys of the level before are wanted."""
+    for doc, text, want in zip(ids, texts, wanted, strict=True):
+        for w in pieces([text]):
+            _, above, *_, size = w.dealt(level - 1)
+            w = w.only(np.repeat(np.isin(above, want), size))
+            if len(w.at):
+                _, keys, *_ = w.dealt(level)
+                yield np.full(len(keys), doc), keys
+
+
+def wanted_keys(rows: DataFrame, hot: int) -> DataFrame:
+    """doc_id, wanted, levels: the keys whose runs a document sends, and how many levels they are of."""
+    collected, part = None, rows
+    for level in range(LEVELS):
+        met = repeated_keys(part, level, hot if level < LEVELS - 1 else 2**31 - 1)
+        use = met.where("not hot").select("doc_id", "key", F.lit(level + 1).alias("levels"))
+        collected = use if collected is None else collected.union(use)
+        again = met.where("hot")
+        if again.isEmpty():
+            break
+        part = rows.join(again.groupBy("doc_id").agg(F.collect_set("key").alias("wanted")), "doc_id")
+    return collected.groupBy("doc_id").agg(F.collect_set("key").alias("wanted"), F.max("levels").alias("levels"))
+
+
+def removed_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, th, start, end: runs of bytes to remove (they may meet or overlap)."""
-    bits = max(1, (buckets - 1).bit_length())
-    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *((k, pa.binary()) for k in Suffixes.NAMES)])
-    ddl = "bucket int, known boolean, " + ", ".join(f"{k} binary" for k in Suffixes.NAMES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Suffixes] = []
-        size = turn = 0
-
-        def flush() -> pa.RecordBatch:
-            s, marks = repeated(Suffixes.joined(held))
-            doc, th, start, end = runs(s, marks)
-            out = [((turn + j) % (1 << bits), True, b"", doc[at].tobytes(), th[at].tobytes(), start[at].tobytes(), b"", b"", end[at].tobytes()) for j, at in enumerate(_parts(np.arange(len(doc))))]
-            s = s.take(marks.sum(1) < s.hi.astype(int) - s.lo + 1)  # all windows marked: nothing left to ask
-            cuts = _cuts(s.gram, bits)
-            out += [(k, False, *s.take(slice(a, b)).packed()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+    names = ["doc_id", "th", "start", "end"]
+
+    def binary(data: np.ndarray, width: np.ndarray) -> pa.Array:
+        ends = np.append(0, np.cumsum(width)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per run; what is repeated here is known: (0, document, text, start, 0, length, no bytes)."""
+        held: list[Runs] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            s, marks = repeated(Runs.joined(held))
+            doc, th, start, end = spans(s, marks)
+            zero = np.zeros(len(doc), np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((zero, doc, th, start, zero, end - start), kinds, strict=True)), binary(np.empty(0, np.uint8), zero)], names=[*Runs.NAMES, "data"])
+            run, column = s.windows()
+            open_ = np.flatnonzero(~marks)
+            first = np.flatnonzero(_edges(run[open_]))
+            last = np.append(first[1:], len(open_))[: len(first)] - 1
+            left = s.take(run[open_[first]]).cut(column[open_[first]], column[open_[last]])  # all windows marked: nothing left to ask
+            yield pa.RecordBatch.from_arrays([*(pa.array(getattr(left, k), t) for k, t in zip(Runs.NAMES, kinds, strict=True)), binary(left.data, left.width)], names=[*Runs.NAMES, "data"])
 
         for b in batches:
-            for doc, th, raw, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                text, want = raw.as_buffer().to_pybytes(), want.values.to_numpy().view(np.uint64)
-                turn += 1
-                for _, g, at, first, last in anchors([text]):
-                    mine = np.isin(g, want)
-                    if mine.any():
-                        held.append(suffixes_of(text, doc, th, g[mine], at[mine], first[mine], last[mine]))
-                        size += len(held[-1])
-                if size >= SUFFIXES:
-                    yield flush()
-                    held, size = [], 0
+            for doc, th, raw, want, levels in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+                text, want = raw.as_buffer().to_pybytes(), want.values.to_numpy().view(_U)
+                flat = np.frombuffer(text, np.uint8)
+                for w in pieces([text]):
+                    for level in range(levels):
+                        _, key, at, first, last, _ = w.dealt(level)
+                        mine = np.isin(key, want)
+                        if mine.any():
+                            held.append(runs_of(flat, doc, th, key[mine], at[mine], first[mine], last[mine]))
+                            size += len(held[-1])
+                    if size >= RUNS:
+                        yield from flush()
+                        held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
-    def merge(t: pa.Table) -> pa.Table:
-        known = np.array(t["known"].to_pylist(), bool)
-        cols = {k: t[k].to_pylist() for k in Suffixes.NAMES}
-        done = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(cols[k][i], np.int64) for i in np.flatnonzero(known))]) for k in ("doc", "th", "at", "data")]
-        parts = [Suffixes.unpacked([cols[k][i] for k in Suffixes.NAMES]) for i in np.flatnonzero(~known)]
-        if parts:
-            done = [np.append(x, y) for x, y in zip(done, runs(*repeated(Suffixes.joined(parts))), strict=True)]
-        return pa.table(dict(zip(("doc_id", "th", "start", "end"), done, strict=True)))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs come by key, document and place; whole buckets are sorted together, a very large one goes on with its runs that nothing before repeats."""
+        held: list[Runs] = []
+        size = 0
 
-    sent = rows.join(grams, "doc_id").select("doc_id", "th", "raw", "grams").mapInArrow(run, ddl)
-    return sent.groupBy("bucket").applyInArrow(merge, "doc_id long, th long, start long, end long")
+        def found(s: Runs) -> tuple[pa.RecordBatch, Runs]:
+            s, marks = repeated(s)
+            left = np.add.reduceat(~marks, np.cumsum(s.count) - s.count) > 0 if len(s) else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in spans(s, marks)], names=names), s.take(np.flatnonzero(left))
 
-
-def suffix_dedup(docs: DataFrame, buckets: int | None = None, keep_bytes: bool = False) -> DataFrame:
+        for b in batches:
+            cols = [b.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            ends = np.frombuffer(b.column(6).buffers()[1], np.int32)[b.column(6).offset :][: b.num_rows + 1].astype(np.int64)
+            raw = b.column(6).buffers()[2]
+            flat = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+            known = np.diff(ends) == 0
+            if known.any():
+                doc, th, start, length = (cols[i][known] for i in (1, 2, 3, 5))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, th, start, start + length)], names=names)
+            if known.all():
+                continue
+            own = np.flatnonzero(~known)
+            held.append(Runs(*(c[own] for c in cols), flat[_segments(ends[own], np.diff(ends)[own])]))
+            size += len(own)
+            if size >= 2 * BLOCK:
+                s = Runs.joined(held)
+                whole = int(np.searchsorted(s.key, s.key[-1]))  # rows come by key
+                rest = s.take(np.arange(whole, len(s)))
+                if whole:
+                    yield found(s.take(np.arange(whole)))[0]
+                elif len(s) >= 4 * BLOCK:
+                    out, rest = found(s)
+                    yield out
+                held, size = [rest], len(rest) if whole else 0
+        if held:
+            yield found(Runs.joined(held))[0]
+
+    ddl = "key long, doc long, th long, at long, lo int, hi int, data binary"
+    where = F.when(F.octet_length("data") == 0, F.xxhash64("doc", "at")).otherwise(F.col("key"))
+    sent = rows.join(wanted, "doc_id").select("doc_id", "th", "raw", "wanted", "levels").mapInArrow(send, ddl)
+    return sent.repartition(where).sortWithinPartitions("key", "doc", "at").mapInArrow(merge, "doc_id long, th long, start long, end long")
+
+
+def suffix_dedup(docs: DataFrame, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay)."""
-    buckets = buckets or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs)
-    grams = repeated_grams(rows, buckets)
-    gone = removed_runs(rows, grams, buckets).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("gone"))
+    gone = removed_runs(rows, wanted_keys(rows, hot)).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("gone"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(5 + keep_bytes)]
-            for doc, th, raw, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for doc, th, raw, gaps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 text = raw.as_buffer().to_pybytes()
                 merged: list[list[int]] = []
-                if spans.is_valid:
-                    v = spans.values.flatten()
+                if gaps.is_valid:
+                    v = gaps.values.flatten()
                     mine = v[0].to_numpy() == th
                     for a, e in sorted(zip(v[1].to_numpy()[mine].tolist(), v[2].to_numpy()[mine].tolist(), strict=True)):
                         if merged and a <= merged[-1][1]:
@@ -388,8 +554,8 @@ def suffix_dedup(docs: DataFrame, buckets: int | None = None, keep_bytes: bool =
                 kept = b"".join(text[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
                 for c, x in zip(cols, (None if doc == NO_ID else doc, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     c.append(x)
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in out.split(", ")])
+            types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=[x.split()[0] for x in out.split(", ")])
 
     return rows.join(gone, "doc_id", "left").select("doc_id", "th", "raw", "gone").mapInArrow(cut, out)
 

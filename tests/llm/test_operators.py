@@ -40,7 +40,28 @@ def nothing(spark):
 def test_cover_has_every_difference():
     d, m = suffix_dedup.COVER, suffix_dedup.PERIOD
     assert {(a - b) % m for a in d for b in d} == set(range(m))
-    assert suffix_dedup.cover_columns()[-1] >= suffix_dedup.REACH - 1
+    for i in range(m):
+        for j in range(m):
+            o = suffix_dedup.OFFSETS[i, j]
+            assert (i + o) % m in d and (j + o) % m in d
+
+
+def test_windows_at_any_two_places_compare_through_the_cover():
+    rng = np.random.default_rng(4)
+    n, period = suffix_dedup.LENGTH, suffix_dedup.PERIOD
+    data = np.tile(rng.integers(0, 2, 400, dtype=np.uint8), 3)
+    data[700:] ^= rng.random(500) < 0.01
+    places = np.arange(len(data) - n)
+    ranks = suffix_dedup.CoverRanks(data, places[np.isin(places % period, suffix_dedup.COVER)], np.zeros(int(np.isin(places % period, suffix_dedup.COVER).sum()), int))
+    raw, seen = data.tobytes(), Counter()
+    for x in range(0, 900, 7):
+        for y in (x + 400, x + 1, x + 393, x):
+            if y + n + period < len(data) and raw[x : x + period] == raw[y : y + period]:
+                a, b = raw[x : x + n], raw[y : y + n]
+                got = int(ranks.compared(np.array([x]), np.array([y]))[0])
+                assert got == (a > b) - (a < b)
+                seen[got] += 1
+    assert len(seen) == 3
 
 
 def test_suffix_dedup(docs, rows):
@@ -52,6 +73,21 @@ def test_suffix_dedup_keeps_the_bytes_it_hashes(docs):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 8)
+    monkeypatch.setattr(suffix_dedup, "RUNS", 40)
+    monkeypatch.setattr(suffix_dedup, "KEYS", 200)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 100, n)))
+    shared, base = word(260), word(500)
+    rows = [(i, word(int(rng.integers(0, 60))) + shared[i % 4 :] + word(40)) for i in range(40)]
+    rows += [(100 + i, base[: 20 * i] + "X" + base[20 * i + 1 :]) for i in range(20)]
+    rows += [(200, "z" * 900), (201, "ab" * 300), (None, shared), (202, base), (203, base), (204, None), (200, "z" * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert H.same(suffix_dedup.suffix_dedup(docs, hot=hot).collect(), H.suffix_dedup(rows))
+
+
 def test_suffix_dedup_of_texts_longer_than_a_block(spark):
     rng = np.random.default_rng(1)
     long = "".join(map(chr, rng.integers(97, 123, 400_000)))
