@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,11 +13,13 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder that the driver and all executors share: of ``spark.checkpoint.dir``, or else the context's checkpoint folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="barline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = own.get()
     return at.rstrip("/")
 
 
@@ -33,6 +34,23 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application's queries have written; results not yet stored are lost with them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/barline/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as tell it from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_of(col: str = "text") -> Column:
     """Whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -6,9 +6,10 @@ archive's dictionary is trained on its first records and stored in a skippable f
 0x184D2A5D) before them. A file counts only if it stands in the table that the successful
 task attempts return, so retried and lost tasks leave no records behind.
 
-Reading: tasks take archives from that table, load the dictionary, walk the frames by their
-block headers, decode one frame per record, and check the version line, required headers,
-block length, record end, payload length and payload digest.
+Reading: archives of that table are dealt one to a task (up to ``READ_TASKS`` tasks). A task
+streams an archive: it loads the dictionary, follows the block headers to the end of the next
+frame, decodes that one record, and checks the version line, required headers, block length,
+record end, payload length and payload digest. It holds one record and a batch of results.
 
 Defined results: a null html is an empty payload; an empty table gives no archives and an
 empty result; repeated rows are records of their own, responses if they carry the smallest
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import struct
 import uuid
@@ -37,6 +39,8 @@ FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 64 << 20
 #: What a dictionary is trained on, at most: records and bytes.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 256, 1 << 20, 16 << 10
+#: Tasks that read archives, and records whose results make a batch.
+READ_TASKS, BATCH = 50_000, 2048
 #: Payloads of fewer bytes are never deduplicated.
 MIN_REVISIT_BYTES = 0
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest")
@@ -108,42 +112,57 @@ def parse(raw: bytes) -> tuple:
     return _page(h["WARC-Record-ID"]), size, sha1, h["WARC-Type"], refers, h.get("WARC-Target-URI", "")
 
 
-def frame_end(data: memoryview, at: int) -> int:
-    """Where the Zstandard frame at `at` ends, from its block headers."""
+def _exact(stream: io.RawIOBase, n: int) -> bytes:
+    data = stream.read(n)
+    if len(data) != n:
+        raise WarcError("cut archive")
+    return data
+
+
+def next_frame(stream: io.RawIOBase) -> bytes:
+    """The Zstandard frame that begins here, found by its block headers; nothing at the end of the stream."""
     import zstandard
 
-    params = zstandard.get_frame_parameters(bytes(data[at : at + 18]))
-    at += zstandard.frame_header_size(bytes(data[at : at + 18]))
-    while True:
-        if at + 3 > len(data):
-            raise WarcError("cut frame")
-        block = int.from_bytes(data[at : at + 3], "little")
-        at += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
-        if block & 1:
-            break
-    at += 4 * params.has_checksum
-    if at > len(data):
-        raise WarcError("cut frame")
-    return at
-
-
-def read_archive(data: bytes) -> Iterator[tuple]:
-    """RECORDS tuples of one archive."""
+    head = stream.read(5)
+    if not head:
+        return b""
+    if len(head) < 5 or int.from_bytes(head[:4], "little") != FRAME_MAGIC:
+        raise WarcError("frame magic")
+    parts = [head + _exact(stream, zstandard.frame_header_size(head) - 5)]
+    last = False
+    while not last:
+        mark = _exact(stream, 3)
+        block = int.from_bytes(mark, "little")
+        last = bool(block & 1)
+        parts += [mark, _exact(stream, 1 if block >> 1 & 3 == 1 else block >> 3)]
+    if zstandard.get_frame_parameters(parts[0]).has_checksum:
+        parts.append(_exact(stream, 4))
+    return b"".join(parts)
+
+
+def read_archive(stream: io.RawIOBase) -> Iterator[tuple]:
+    """RECORDS tuples of one archive, a frame at a time."""
     import zstandard
 
-    view, at, words = memoryview(data), 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICT_MAGIC:
-        size = struct.unpack_from("<I", data, 4)[0]
-        if 8 + size > len(data):
-            raise WarcError("cut dictionary")
-        words, at = zstandard.ZstdCompressionDict(data[8 : 8 + size], dict_type=zstandard.DICT_TYPE_FULLDICT), 8 + size
-    unpack = zstandard.ZstdDecompressor(dict_data=words) if words else zstandard.ZstdDecompressor()
-    while at < len(data):
-        if len(data) < at + 4 or struct.unpack_from("<I", data, at)[0] != FRAME_MAGIC:
-            raise WarcError("frame magic")
-        end = frame_end(view, at)
-        yield parse(unpack.decompress(view[at:end]))
-        at = end
+    head = stream.read(4)
+    unpack = zstandard.ZstdDecompressor()
+    if len(head) == 4 and struct.unpack("<I", head)[0] == DICT_MAGIC:
+        words = _exact(stream, struct.unpack("<I", _exact(stream, 4))[0])
+        unpack, head = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_FULLDICT)), b""
+    rest = _After(head, stream)
+    while frame := next_frame(rest):
+        yield parse(unpack.decompress(frame))
+
+
+class _After:
+    """Bytes already read, and then the stream."""
+
+    def __init__(self, head: bytes, stream: io.RawIOBase) -> None:
+        self.head, self.stream = head, stream
+
+    def read(self, n: int) -> bytes:
+        out, self.head = self.head[:n], self.head[n:]
+        return out + self.stream.read(n - len(out)) if len(out) < n else out
 
 
 def _dictionary(sample: list[bytes]):
@@ -230,16 +249,28 @@ def read_pages(archives: DataFrame) -> DataFrame:
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
         for b in batches:
             for path, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(name, compression=None) as f:
-                    rows = list(read_archive(f.read()))
-                if len(rows) != n:
-                    raise WarcError(f"{path}: {len(rows)} records, {n} written")
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return archives.select("path", "n_records").repartition(F.col("path")).mapInArrow(run, RECORDS)
+                rows, seen = [], 0
+                with system.open_input_stream(name, compression=None, buffer_size=1 << 20) as f:
+                    for row in read_archive(f):
+                        rows.append(row)
+                        seen += 1
+                        if len(rows) == BATCH:
+                            yield batch(rows)
+                            rows = []
+                if seen != n:
+                    raise WarcError(f"{path}: {seen} records, {n} written")
+                if rows:
+                    yield batch(rows)
+
+    # paths are tiny, so the number of tasks is given: by size alone all archives would go to one
+    tasks = max(1, min(READ_TASKS, archives.count()))
+    return archives.select("path", "n_records").repartitionByRange(tasks, "path").mapInArrow(run, RECORDS)
 
 
 def op8_warc(spark, sf_dir) -> DataFrame:

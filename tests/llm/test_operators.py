@@ -1,6 +1,7 @@
 """Each operator against a plain version, on awkward rows, empty tables and clashing columns."""
 
 import hashlib
+import io
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,29 @@ def test_suffix_dedup_keeps_the_bytes_it_hashes(docs):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+def test_blocks_do_not_change_the_marks(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(97, 99, 3000, dtype=np.uint8)
+    parts = []
+    for doc in range(30):
+        text = base.copy()
+        text[rng.integers(0, len(text), 12)] = 100
+        for w in suffix_dedup.pieces([text.tobytes()]):
+            for level in range(suffix_dedup.LEVELS):
+                _, key, at, first, last, _ = w.dealt(level)
+                parts.append(suffix_dedup.runs_of(text, doc, 0, key, at, first, last))
+    whole, marks = suffix_dedup.repeated(suffix_dedup.Runs.joined(parts))
+    run, column = whole.windows()
+    seen, want = set(), []
+    for k, x, c in zip(whole.key[run].tolist(), (whole.begin[run] + column - whole.lo[run]).tolist(), column.tolist(), strict=True):
+        w = (k, c, whole.data[x : x + suffix_dedup.LENGTH].tobytes())
+        want.append(w in seen)
+        seen.add(w)
+    assert marks.tolist() == want and 0 < sum(want) < len(want)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    assert (suffix_dedup.repeated(suffix_dedup.Runs.joined(parts))[1] == marks).all()
+
+
 @pytest.mark.parametrize("hot", [1, 3, 20])
 def test_suffix_dedup_of_hot_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 8)
@@ -364,18 +388,27 @@ def archive(tmp_path, n=600):
 def test_archive_has_a_dictionary_frame_first(tmp_path):
     data = archive(tmp_path)
     assert int.from_bytes(data[:4], "little") == warc.DICT_MAGIC
-    assert [r[0] for r in warc.read_archive(bytes(data))] == list(range(600))
+    assert [r[0] for r in warc.read_archive(io.BytesIO(data))] == list(range(600))
+
+
+def test_archives_are_dealt_one_to_a_task(spark):
+    parts = [warc.write_pages(spark.createDataFrame([(10 * k + i, "u", f"page {k} {i} " * 50) for i in range(5)], "page_id long, url string, html string")) for k in range(6)]
+    archives = parts[0]
+    for p in parts[1:]:
+        archives = archives.union(p)
+    each = warc.read_pages(archives).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(each) == 6 and {r["count"] for r in each} == {5}
 
 
 def test_broken_archives_are_told(tmp_path):
     data = archive(tmp_path)
-    for bad in (data[:-3], data[:6], data[: 8 + 100]):
-        with pytest.raises((warc.WarcError, Exception)):
-            list(warc.read_archive(bytes(bad)))
+    for bad in (data[:-3], data[:6], data[: 8 + 100], data[:3], data + b"\x28"):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(io.BytesIO(bad)))
     flipped = bytearray(data)
     flipped[-10] ^= 255
     with pytest.raises(Exception):  # noqa: B017  the frame's checksum or the record's digest
-        list(warc.read_archive(bytes(flipped)))
+        list(warc.read_archive(io.BytesIO(flipped)))
     good = warc.record(1, "u", b"body", None, False)
     for bad in (good.replace(b"WARC/1.1", b"WARC/9"), good[:-4], good.replace(b"body", b"bodi"), good.replace(b"WARC-Date: ", b"X: ")):
         with pytest.raises(warc.WarcError):
@@ -385,27 +418,47 @@ def test_broken_archives_are_told(tmp_path):
 # 9 exact dedup
 
 
-def test_exact_dedup(docs, rows):
+def plain_groups(rows):
     groups = defaultdict(list)
     for d, t in rows:
         groups[t or ""].append(d)
     keep = {t: max((d for d in ds if d is not None), default=None) for t, ds in groups.items()}
-    want = [(d, keep[t or ""], len(groups[t or ""]), d == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows]
-    assert H.same(exact_dedup.exact_dedup(docs, capacity=4).collect(), want)
+    return [(d, keep[t or ""], len(groups[t or ""]), d == keep[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows]
+
+
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda t: F.length(t).cast("long"), lambda t: F.lit(5).cast("long")])
+def test_exact_dedup(docs, rows, hashed):
+    assert H.same(exact_dedup.exact_dedup(docs, capacity=4, hashed=hashed).collect(), plain_groups(rows))
 
 
 def test_buckets_split_until_they_fit(spark):
     cells = spark.createDataFrame([(0, 5), (1, 5), (2, 1), (3, 1), (8, 90), (15, 1)], "cell long, n long")
     got = {r["cell"]: (r["depth"], r["bucket"]) for r in exact_dedup.directory_of(cells, 4, 6).collect()}
-    assert got == {0: (4, 0), 1: (4, 1), 2: (3, 1), 3: (3, 1), 8: (4, 8), 15: (2, 3)}
+    assert got == {0: (4, 0), 1: (4, 1), 2: (3, 2), 3: (3, 2), 8: (4, 8), 15: (2, 12)}
 
 
-def test_index_is_in_bucket_order_and_whole(docs, rows):
+def test_index_is_whole_and_in_buckets(docs, rows):
     index = exact_dedup.build_index(docs, capacity=4)
     entries = index.entries.collect()
     assert sum(r["group_size"] for r in entries) == len(rows) and len(entries) == len({t or "" for _, t in rows})
-    held = Counter((r["depth"], r["bucket"]) for r in entries)
-    assert max(held.values()) <= 4 or max(d for d, _ in held) == index.bits
+    held = Counter(r["bucket"] for r in entries)
+    depth = {r["bucket"]: r["depth"] for r in index.directory.collect()}
+    assert set(held) == set(depth) and all(n <= 4 or depth[b] == index.bits for b, n in held.items())
+    assert all(r["links"] == 1 for r in entries) and index.chains.isEmpty()
+
+
+def test_answers_come_from_the_buckets(docs, rows):
+    from dataclasses import replace
+
+    index = exact_dedup.build_index(docs, capacity=4)
+    whole = exact_dedup.look_up(docs, index)
+    one = index.entries.orderBy("bucket").first()["bucket"]
+    lost = index.entries.where(F.col("bucket") == one).agg(F.sum("group_size")).first()[0]
+    assert whole.count() == len(rows)
+    assert exact_dedup.look_up(docs, replace(index, entries=index.entries.where(F.col("bucket") != one))).count() == len(rows) - lost
+    assert exact_dedup.look_up(docs, replace(index, directory=index.directory.withColumn("bucket", F.col("bucket") + 1))).count() < len(rows)
+    wrong = replace(index, entries=index.entries.withColumn("keep_id", F.lit(-5).cast("long")))
+    assert {r["keep_id"] for r in exact_dedup.look_up(docs, wrong).collect()} == {-5}
 
 
 # 10 quality classifier
