@@ -2,13 +2,14 @@ r"""Mixing sources to target weights with a multivariate-hypergeometric splittin
 
 Every source is a stream: its documents in the order of a seeded hash, one word after the
 other, read again once it ends (two passes at most). A mix takes the first ``quota`` words of
-each stream, cut into blocks of ``block_words``. The tree hands the exact block quotas of all
-sources to the output shards: a node that covers shards [a, b) gives its left half as many
-blocks as those shards hold, drawn over the sources by a multivariate hypergeometric whose
-seed is the node; the rest goes right. So each shard gets a random share of every source,
-the quotas are met exactly, no two shards get the same block, and any task can walk down the
-tree for its own blocks without a table of all shards. Inside a shard the pieces are ordered
-by a seeded hash.
+each stream, cut into blocks of ``block_words``; a seeded bijection permutes the blocks of a
+source. The tree hands the exact block quotas of all sources to the output shards: a node that
+covers shards [a, b) gives its left half as many blocks as those shards hold, drawn over the
+sources by a multivariate hypergeometric whose seed is the node; the rest goes right. A shard
+thus draws a random share of every source, and the blocks of that share are neighbours in the
+permuted order, so they come from all over the source. The quotas are met exactly, no two
+shards get the same block, and any task can walk down the tree for its own blocks without a
+table of all shards. Inside a shard the blocks are shuffled by a seeded hash, their ``slot``.
 
 Word offsets within a source come from two small sums: within a hash range of about 512
 documents, and over the ranges of a source; no task sees a whole source's documents.
@@ -39,11 +40,12 @@ MAX_PASSES = 2
 BLOCK_WORDS = 1024
 SHARD_WORDS = 1 << 20
 SEED = 20240229
+_MASK = (1 << 64) - 1
 #: Documents of a hash range, about.
 RANGE_DOCS = 512
 
 RECIPE = "source string, idx int, source_size long, target double, quota long, bits int"
-PIECES = "array<struct<pass:int,start:long,words:long,shard:long>>"
+PIECES = "array<struct<pass:int,start:long,words:long,shard:long,slot:long>>"
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = MAX_PASSES) -> list[float]:
@@ -62,6 +64,31 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return out
 
 
+def hashed(*numbers: int) -> int:
+    """A 64-bit hash of some numbers."""
+    h = 0
+    for x in numbers:
+        h = (h + x + 0x9E3779B97F4A7C15) & _MASK
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & _MASK
+        h ^= h >> 31
+    return h
+
+
+def permuted(x: int, n: int, *seed: int) -> int:
+    """The place of x in a seeded permutation of range(n): a Feistel network on the next even number of bits, walked until it is below n."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    low = (1 << half) - 1
+    key = hashed(*seed)
+    while True:
+        left, right = x >> half, x & low
+        for turn in range(4):
+            left, right = right, left ^ hashed(key, turn, right) & low
+        x = left << half | right
+        if x < n:
+            return x
+
+
 @dataclass
 class SplitTree:
     """Block quotas of the sources split among shards; splits are drawn when first asked for."""
@@ -86,6 +113,7 @@ class SplitTree:
         return self.known[a, b]
 
     def shard(self, source: int, block: int) -> int:
+        """The shard of a permuted block of a source."""
         a, b, held = 0, self.shards, np.array(self.quotas, dtype=np.int64)
         while b - a > 1:
             left, right = self.split(a, b, held)
@@ -115,7 +143,7 @@ def placed(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, pieces (pass, first word, words, shard)."""
+    """One row per row of docs: doc_id, source, size, source_size, target, pieces (pass, first word, words, shard, slot), one for each block it lies in."""
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
     sizes = written(docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), F.xxhash64(F.lit(seed), doc_id).alias("h")), "mix-sizes")
@@ -135,12 +163,11 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
                 for p in range(MAX_PASSES):
                     x, end = p * w + a, min(p * w + a + n, q)
                     while x < end:
-                        stop = min(end, (x // block_words + 1) * block_words)
-                        shard = tree.shard(i, x // block_words)
-                        if pieces and pieces[-1]["pass"] == p and pieces[-1]["shard"] == shard:
-                            pieces[-1]["words"] += stop - x
-                        else:
-                            pieces.append({"pass": p, "start": x - p * w - a, "words": stop - x, "shard": shard})
+                        block = x // block_words
+                        stop = min(end, (block + 1) * block_words)
+                        shard = tree.shard(i, permuted(block, quotas[i], seed, i))
+                        slot = hashed(seed, shard, i, block) >> 1
+                        pieces.append({"pass": p, "start": x - p * w - a, "words": stop - x, "shard": shard, "slot": slot})
                         x = stop
                 out.append(pieces)
             yield pd.Series(out)
@@ -149,12 +176,12 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """The mix itself: a row per piece with shard and slot (a seeded order inside the shard)."""
+    """The mix itself: a row per piece, range-partitioned by shard and in the shuffled order of its blocks."""
     piece = drawn(docs, seed=seed, **how).select("doc_id", "source", F.inline("pieces"))
-    return piece.withColumn("slot", F.xxhash64(F.lit(seed + 1), "doc_id", "pass", "start"))
+    return piece.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot", "pass", "start")
 
 
 def op3_mixing(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return drawn(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.transform("pieces", lambda x: x["shard"]).alias("shards"))
+    return drawn(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "pieces")

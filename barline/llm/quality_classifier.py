@@ -43,17 +43,19 @@ SCORES = "doc_id long, score double"
 SAMPLE = "quality int, chunk binary, fill double"
 
 
-def chunks_of(raw: bytes, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chunk_starts(n: int) -> range:
+    """Where the chunks of a text of n bytes begin."""
+    return range(0, max(1, n - OVERLAP), CHUNK - OVERLAP)
+
+
+def chunks_at(raw: bytes, starts: range | list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, CHUNK) of byte numbers, PAD past the end; bytes that each chunk alone brings."""
-    step = CHUNK - OVERLAP
-    starts = np.arange(0, max(1, len(raw) - OVERLAP), step)
-    if most and len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-    flat = np.full(int(starts[-1]) + CHUNK, PAD, dtype=np.int16)
-    n = min(len(raw), len(flat))
-    flat[:n] = np.frombuffer(raw, np.uint8, n)
-    own = np.clip(len(raw) - starts, 0, step).astype(float)
-    return flat[starts[:, None] + np.arange(CHUNK)], np.maximum(own, 1)
+    x = np.full((len(starts), CHUNK), PAD, dtype=np.int16)
+    for row, at in zip(x, starts, strict=True):
+        part = np.frombuffer(raw[at : at + CHUNK], np.uint8)
+        row[: len(part)] = part
+    own = np.clip(len(raw) - np.array(starts), 0, CHUNK - OVERLAP).astype(float)
+    return x, np.maximum(own, 1)
 
 
 @dataclass
@@ -128,12 +130,12 @@ def fit(x: np.ndarray, fill: np.ndarray, y: np.ndarray, weight: np.ndarray, epoc
 def score(net: Network | None, raw: bytes) -> float:
     if net is None:
         return 0.5
-    x, own = chunks_of(raw)
-    out = 0.0
-    for i in range(0, len(x), 64 * AT_ONCE):  # bounded memory for very long texts
-        part, w = x[i : i + 64 * AT_ONCE], own[i : i + 64 * AT_ONCE]
-        out += float((net.logits(net.pooled(part)[0], (part != PAD).mean(1))[0] * w).sum())
-    return float(1 / (1 + np.exp(-np.clip(out / own.sum(), -30, 30))))
+    starts, out, weight = chunk_starts(len(raw)), 0.0, 0.0
+    for i in range(0, len(starts), AT_ONCE):  # only so many chunks exist at a time, however long the text
+        x, own = chunks_at(raw, starts[i : i + AT_ONCE])
+        out += float((net.logits(net.pooled(x)[0], (x != PAD).mean(1))[0] * own).sum())
+        weight += float(own.sum())
+    return float(1 / (1 + np.exp(-np.clip(out / weight, -30, 30))))
 
 
 def held_out() -> F.Column:
@@ -141,28 +143,32 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def training_chunks(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """SAMPLE rows of at most `most` labelled documents outside the held-out fold."""
+def training_chunks(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chunks: int | None = TRAIN_CHUNKS) -> DataFrame:
+    """SAMPLE rows of at most `most` labelled documents outside the held-out fold; all their chunks if `chunks` is None."""
     known = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     rows = docs.join(F.broadcast(some), "doc_id").select("quality", F.encode(text_of(), "UTF-8").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, chunks, fills = [], [], []
+            q, held, fills = [], [], []
             for label, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x, _ = chunks_of(raw.as_buffer().to_pybytes(), TRAIN_CHUNKS)
+                text = raw.as_buffer().to_pybytes()
+                starts = chunk_starts(len(text))
+                if chunks and len(starts) > chunks:
+                    starts = [starts[i] for i in np.linspace(0, len(starts) - 1, chunks).astype(int)]
+                x, _ = chunks_at(text, starts)
                 for c in x:
                     q.append(label)
-                    chunks.append(c.astype("<i2").tobytes())
+                    held.append(c.astype("<i2").tobytes())
                     fills.append(float((c != PAD).mean()) / len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(chunks, pa.binary()), pa.array(fills, pa.float64())], names=["quality", "chunk", "fill"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(held, pa.binary()), pa.array(fills, pa.float64())], names=["quality", "chunk", "fill"])
 
     return rows.mapInArrow(run, SAMPLE)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Network | None:
-    rows = training_chunks(docs, labels, most).toArrow().sort_by([("chunk", "ascending"), ("quality", "ascending"), ("fill", "ascending")])
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chunks: int | None = TRAIN_CHUNKS) -> Network | None:
+    rows = training_chunks(docs, labels, most, chunks).toArrow().sort_by([("chunk", "ascending"), ("quality", "ascending"), ("fill", "ascending")])
     if not rows.num_rows:
         return None
     x = np.stack([np.frombuffer(c, "<i2") for c in rows["chunk"].to_pylist()])

@@ -1,8 +1,9 @@
 r"""Line-first cleaning rules on native expressions.
 
 Words are ``[^\x20\x09-\x0D]+``. Each line is judged on its own: a line fails when it is
-navigation (three or more separators), boilerplate (a fixed phrase), mostly punctuation, or
-long without any ending mark. Failed lines are removed; a document that keeps fewer than
+navigation (three or more separators), boilerplate (a fixed phrase in a short line), mostly
+punctuation, or long without an ending mark near its end (a few closing quotes, brackets or
+marks may follow; the last line of a text may be cut short and needs none). Failed lines are removed; a document that keeps fewer than
 ``min_kept_pct`` percent of its words is rejected, as is one that fails the base rules.
 
 Repeated 3-word windows are found inside a row: each window's 64-bit hash carries its
@@ -12,7 +13,8 @@ only where some differ (the hash keeps 64 bits less those of the word count, so
 does it in very long texts) are the row's candidates sorted by their words. The count is exact.
 
 Defined results: null or empty texts have no words, fail the base rules and are not kept; an
-empty table gives an empty result; repeated rows are judged alike; ids are only passed on.
+empty table gives an empty result; repeated rows are judged alike; other columns pass by,
+whatever their names, but for those of the results, which replace them.
 """
 
 from __future__ import annotations
@@ -20,20 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE, text_of
+from .shared import WHITE, fresh, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MIN_KEPT_PCT = 50
-#: A line with at least so many words needs an ending mark somewhere (copies may have lost the last one).
-LONG_LINE = 8
+#: A line with at least so many words needs an ending mark; a phrase condemns a line of at most so many words.
+LONG_LINE, SHORT_LINE = 8, 16
 #: Percent of a line's non-blank characters that may be punctuation or symbols.
 MAX_MARK_PCT = 20
 SEPARATORS = "|›»•·"
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&|<>!?.,;:=+-_/~^@()[]{}\"'"
-ENDINGS = ".!?…。！？"
-BOILERPLATE = ("cookie", "all rights reserved", "javascript", "terms of use", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "click here", "alle rechte vorbehalten", "datenschutz", "tous droits réservés", "todos los derechos reservados")
+ENDINGS = ".!?…:;。！？"
+#: What may follow an ending mark.
+CLOSING = "\"'”’»)]}*_"
+BOILERPLATE = ("we use cookies", "accept cookies", "cookie policy", "cookie settings", "all rights reserved", "enable javascript", "requires javascript", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "sign up for our newsletter", "click here to", "alle rechte vorbehalten", "datenschutzerklärung", "tous droits réservés", "todos los derechos reservados")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -63,46 +67,51 @@ def parted(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), solid(x).alias("solid"), words(x).alias("words")))
 
 
-def line_fails(x: Column, long_line: int = LONG_LINE, max_mark_pct: int = MAX_MARK_PCT) -> Column:
-    """Whether a line (of `parted`) with at least one word is to be removed."""
+def line_fails(x: Column, is_last: Column, long_line: int = LONG_LINE, max_mark_pct: int = MAX_MARK_PCT) -> Column:
+    """Whether a line (of `parted`) with at least one word is to be removed; the last line of a text may lack an ending."""
     line = x["line"]
     navigation = _count(line, SEPARATORS) >= 3
     marks = _count(line, MARKS) * 100 > x["solid"] * max_mark_pct
-    unended = (x["words"] >= long_line) & ~_any(line, ENDINGS)
-    return navigation | unended | _any(x["low"], BOILERPLATE) | marks
+    ended = F.contains(F.lit(ENDINGS), F.right(F.rtrim(line, F.lit(WHITE + CLOSING)), F.lit(1)))
+    unended = (x["words"] >= long_line) & ~is_last & ~ended
+    return navigation | unended | ((x["words"] <= SHORT_LINE) & _any(x["low"], BOILERPLATE)) | marks
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the base measures, words of the removed lines and both verdicts."""
+    names = fresh(docs, "_words", "_p", "_s", "_c", "_e", "_d", "_lines", "_n")
+    words, p, s, c, e, d, lines, n = names
     text = text_of()
     bare = F.trim(text, F.lit(WHITE))
-    df = docs.withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
-    df = df.withColumn("n_words", F.size("_words").cast("long")).withColumn("_p", F.expr("shiftleft(1L, length(bin(n_words)))"))
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).bitwiseAND(-F.col("_p")).bitwiseOR(i.cast("long"))
-    df = df.withColumn("_s", F.sort_array(F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), window)).otherwise(F.array().cast("array<long>"))))
-    high = lambda x: x.bitwiseAND(-F.col("_p"))
-    twice = lambda x, j: (high(F.get("_s", j + 1)).eqNullSafe(high(x))) | ((j > 0) & high(F.get("_s", j - 1)).eqNullSafe(high(x)))
-    place = lambda x: x.bitwiseAND(F.col("_p") - 1)
-    word = lambda x, k: F.get("_words", place(x).cast("int") + k)
+    df = docs.withColumn(words, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
+    df = df.withColumn(n, F.size(words).cast("long")).withColumn(p, F.expr(f"shiftleft(1L, length(bin({n})))"))
+    mask, low = -F.col(p), F.col(p) - 1
+    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(mask).bitwiseOR(i.cast("long"))
+    df = df.withColumn(s, F.sort_array(F.when(F.col(n) >= 3, F.transform(F.sequence(F.lit(0), F.col(n).cast("int") - 3), window)).otherwise(F.array().cast("array<long>"))))
+    high = lambda x: x.bitwiseAND(mask)
+    twice = lambda x, j: (high(F.get(s, j + 1)).eqNullSafe(high(x))) | ((j > 0) & high(F.get(s, j - 1)).eqNullSafe(high(x)))
+    place = lambda x: x.bitwiseAND(low)
+    word = lambda x, k: F.get(words, place(x).cast("int") + k)
     differ = lambda x, y: (word(x, 0) != word(y, 0)) | (word(x, 1) != word(y, 1)) | (word(x, 2) != word(y, 2))
-    df = df.withColumn("_c", F.filter("_s", twice))
-    mixed = F.size(F.filter("_c", lambda x, j: (j > 0) & high(F.get("_c", j - 1)).eqNullSafe(high(x)) & differ(F.get("_c", j - 1), x))) > 0
-    by_words = F.sort_array(F.transform("_c", lambda x: F.struct(F.struct(word(x, 0), word(x, 1), word(x, 2)).alias("w"), place(x).alias("at"))))
-    same = lambda e, x, j: (F.get(e, j + 1)["w"].eqNullSafe(x["w"])) | ((j > 0) & F.get(e, j - 1)["w"].eqNullSafe(x["w"]))
-    df = df.withColumn("_e", F.when(mixed, by_words))
-    exact = F.transform(F.filter("_e", lambda x, j: same("_e", x, j)), lambda x: x["at"])
-    df = df.withColumn("_d", F.sort_array(F.when(F.col("_e").isNull(), F.transform("_c", place)).otherwise(exact)))
+    df = df.withColumn(c, F.filter(s, twice))
+    mixed = F.size(F.filter(c, lambda x, j: (j > 0) & high(F.get(c, j - 1)).eqNullSafe(high(x)) & differ(F.get(c, j - 1), x))) > 0
+    by_words = F.sort_array(F.transform(c, lambda x: F.struct(F.struct(word(x, 0), word(x, 1), word(x, 2)).alias("w"), place(x).alias("at"))))
+    same = lambda x, j: (F.get(e, j + 1)["w"].eqNullSafe(x["w"])) | ((j > 0) & F.get(e, j - 1)["w"].eqNullSafe(x["w"]))
+    df = df.withColumn(e, F.when(mixed, by_words))
+    exact = F.transform(F.filter(e, same), lambda x: x["at"])
+    df = df.withColumn(d, F.sort_array(F.when(F.col(e).isNull(), F.transform(c, place)).otherwise(exact)))
     zero = F.lit(0).cast("long")
-    covered = F.aggregate("_d", F.struct(F.lit(-3).cast("long").alias("last"), zero.alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
-    df = df.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != ""))
-    gone = F.aggregate(F.filter(parted(F.col("_lines")), lambda x: line_fails(x)), zero, lambda n, x: n + x["words"])
+    covered = F.aggregate(d, F.struct(F.lit(-3).cast("long").alias("last"), zero.alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
+    df = df.withColumn(lines, F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != ""))
+    gone = F.aggregate(F.filter(parted(F.col(lines)), lambda x, i: line_fails(x, i == F.size(lines) - 1)), zero, lambda a, x: a + x["words"])
     return df.withColumns({
+        "n_words": F.col(n),
         "word_chars": F.length(_without(text, WHITE)).cast("long"),
         "n_symbols": _count(text, SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": covered,
         "n_lost_words": gone.cast("long"),
-    }).drop("_words", "_p", "_s", "_c", "_e", "_d", "_lines")
+    }).drop(*names)
 
 
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, min_kept_pct: int = MIN_KEPT_PCT) -> DataFrame:
@@ -114,9 +123,11 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_pct: i
 
 def clean_text(docs: DataFrame) -> DataFrame:
     """docs with clean_text: the text without its failed lines (blank lines stay)."""
+    parts = parted(F.split(text_of(), "\n", -1))
     blank = lambda x: F.trim(x["line"], F.lit(WHITE)) == ""
-    lines = F.transform(F.filter(parted(F.split(text_of(), "\n", -1)), lambda x: blank(x) | ~line_fails(x)), lambda x: x["line"])
-    return docs.withColumn("clean_text", F.array_join(lines, "\n"))
+    last = F.size(F.split(F.rtrim(text_of(), F.lit(WHITE)), "\n", -1)) - 1
+    kept = F.transform(F.filter(parts, lambda x, i: blank(x) | ~line_fails(x, i == last)), lambda x: x["line"])
+    return docs.withColumn("clean_text", F.array_join(kept, "\n"))
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
@@ -137,16 +148,19 @@ twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id,
 cover AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
-lines AS (SELECT doc_id, white, unnest(string_split(text, chr(10))) AS line FROM t),
+lines AS (
+  SELECT doc_id, white, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM t),
 real AS (
   SELECT *, trim(line, white) AS bare, translate(line, white, '') AS solid,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+         pos = max(pos) OVER (PARTITION BY doc_id) AS is_last
   FROM lines WHERE trim(line, white) <> ''),
 judged AS (
   SELECT *, length(line) - length(translate(line, {_Q(SEPARATORS)}, '')) >= 3
-    OR regexp_matches(lower(line), {_Q("|".join(BOILERPLATE))})
+    OR (n <= {SHORT_LINE} AND regexp_matches(lower(line), {_Q("|".join(BOILERPLATE))}))
     OR (length(line) - length(translate(line, {_Q(MARKS)}, ''))) * 100 > length(solid) * {MAX_MARK_PCT}
-    OR (n >= {LONG_LINE} AND length(line) = length(translate(line, {_Q(ENDINGS)}, ''))) AS fails
+    OR (n >= {LONG_LINE} AND NOT is_last AND NOT contains({_Q(ENDINGS)}, right(rtrim(line, white || {_Q(CLOSING)}), 1))) AS fails
   FROM real),
 by_doc AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,

@@ -83,7 +83,7 @@ def test_blocks_do_not_change_the_marks(monkeypatch):
         text[rng.integers(0, len(text), 12)] = 100
         for w in suffix_dedup.pieces([text.tobytes()]):
             for level in range(suffix_dedup.LEVELS):
-                _, key, at, first, last, _ = w.dealt(level)
+                _, key, at, first, last = w.dealt(level)
                 parts.append(suffix_dedup.runs_of(text, doc, 0, key, at, first, last))
     whole, marks = suffix_dedup.repeated(suffix_dedup.Runs.joined(parts))
     run, column = whole.windows()
@@ -197,6 +197,39 @@ def test_split_tree_is_exact_and_repeatable():
     assert got[0] == got[1] == {j: total * (j + 1) // 7 - total * j // 7 for j in range(7)}
 
 
+def test_blocks_are_permuted():
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(mixing.permuted(x, n, 9, 1) for x in range(n)) == list(range(n))
+    got = [mixing.permuted(x, 1000, 9, 1) for x in range(1000)]
+    assert abs(np.corrcoef(range(1000), got)[0, 1]) < 0.1 and got != [mixing.permuted(x, 1000, 9, 2) for x in range(1000)]
+
+
+def test_mixing_equals_a_plain_walk_of_the_streams(spark, docs):
+    block, shard_words, seed = 16, 500, mixing.SEED
+    data = docs.withColumn("size", mixing.word_count(mixing.text_of())).withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id"))).select("doc_id", "source", "size", "hash").collect()
+    order = sorted({r["source"] for r in data}, key=lambda s: (s is None, s))
+    sizes = [sum(r["size"] for r in data if r["source"] == s) for s in order]
+    quotas = [round(t) for t in mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(sizes))]
+    blocks = tuple(-(-q // block) for q in quotas)
+    tree = mixing.SplitTree(blocks, max(1, -(-sum(quotas) // shard_words)), seed)
+    want = Counter()
+    for i, s in enumerate(order):
+        mine = sorted((r for r in data if r["source"] == s), key=lambda r: (r["hash"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+        stream = [(r["doc_id"], k, p) for p in range(2) for r in mine for k in range(r["size"])][: quotas[i]]
+        for x, (d, k, p) in enumerate(stream):
+            shard = tree.shard(i, mixing.permuted(x // block, blocks[i], seed, i))
+            want[d, s, p, shard, mixing.hashed(seed, shard, i, x // block) >> 1] += 1
+    got = Counter()
+    out = mixing.mixed(docs, block_words=block, shard_words=shard_words).collect()
+    for r in out:
+        got[r["doc_id"], r["source"], r["pass"], r["shard"], r["slot"]] += r["words"]
+    assert got == want and len({r["shard"] for r in out}) == tree.shards > 3
+    places = [(r["shard"], r["slot"]) for r in out]
+    assert places == sorted(places)  # shards in turn, each in its shuffled order
+    early = [r["pass"] for r in out if r["shard"] < tree.shards // 2]
+    assert 0 < sum(early) < len(early)  # repeats lie in early shards too
+
+
 def test_mixing(docs, rows):
     got = mixing.drawn(docs, block_words=16, shard_words=500).collect()
     again = mixing.drawn(docs, block_words=16, shard_words=500).collect()
@@ -287,8 +320,11 @@ def plain_lines(rows, least):
 
 @pytest.mark.parametrize("least", [2, 10])
 def test_line_dedup(docs, rows, least):
-    got = line_dedup.line_dedup(docs, min_docs=least).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
+    out = line_dedup.line_dedup(docs.withColumns({c: F.lit("clash") for c in ("dropped", "_id", "th")}), min_docs=least)
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect()
     assert H.same(got, plain_lines(rows, least))
+    others = [*H.CLASHING, "dropped", "_id"]
+    assert {tuple(r) for r in out.select(*others).distinct().collect()} == {("clash",) * len(others)}
 
 
 def test_line_bitmaps_beyond_one_word(spark):
@@ -310,8 +346,16 @@ def plain_measures(text):
 
 def test_quality_measures(docs, rows):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    plain = quality_rules.quality_rules(docs.drop("n_words", "kept").select("doc_id", "text"))
-    assert H.same(plain.select("doc_id", *names).collect(), [(d, *plain_measures(t)) for d, t in rows])
+    got = quality_rules.quality_rules(docs)
+    assert H.same(got.select("doc_id", *names).collect(), [(d, *plain_measures(t)) for d, t in rows])
+    passed_by = [c for c in H.CLASHING if c not in ("n_words", "kept")]
+    assert {tuple(r) for r in got.select(*passed_by).distinct().collect()} == {("clash",) * len(passed_by)}
+
+
+def test_no_repeats_in_a_text_of_many_distinct_words(spark):
+    doc = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3_000_000)), lambda i: F.concat(F.lit("w"), F.hex(i))), " ").alias("text"))
+    got = quality_rules.quality_rules(doc).first()
+    assert (got["n_words"], got["n_repeat_words"]) == (3_000_000, 0)
 
 
 def test_repeats_are_told_by_words_when_hashes_collide(spark, monkeypatch):
@@ -326,12 +370,21 @@ def test_repeats_are_told_by_words_when_hashes_collide(spark, monkeypatch):
 def test_line_rules(spark):
     good = "This line of plain prose says a thing and ends as it should."
     text = "\n".join([good] + [" ".join(f"word{i}{k}" for k in "abcdefghi") + "." for i in range(9)])
-    cases = {1: text, 2: "Home | About | Contact | Help\n" * 30 + good, 3: text.replace(".", ""), 4: "We use cookies here today.\n" + text, 5: "!!?? ## ** " * 40}
+    cases = {
+        1: text,
+        2: "Home | About | Contact | Help\n" * 30 + good,
+        3: text.replace(".", ""),
+        4: "We use cookies here today.\n" + text,
+        5: "!!?? ## ** " * 40,
+        6: text.replace(".", ' 3.5 example.com"') + " it is cut short here",
+        7: text.replace(".", '.")'),
+        8: "Bake each cookie for ten minutes and " + text.replace("\n", " ") + " read the terms of use with care.",
+    }
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
-    assert [got[i]["kept"] for i in sorted(cases)] == [True, False, False, True, False]
-    assert got[4]["n_lost_words"] == 5
-    clean = quality_rules.clean_text(spark.createDataFrame([(4, cases[4])], "doc_id long, text string")).first()["clean_text"]
-    assert clean == text
+    assert [got[i]["kept"] for i in sorted(cases)] == [True, False, False, True, False, False, True, True]
+    assert got[4]["n_lost_words"] == 5 and got[7]["n_lost_words"] == got[8]["n_lost_words"] == 0
+    clean = quality_rules.clean_text(spark.createDataFrame([(4, cases[4] + "\n \n"), (7, cases[7])], "doc_id long, text string"))
+    assert {r["doc_id"]: r["clean_text"] for r in clean.collect()} == {4: text + "\n \n", 7: cases[7]}
 
 
 # 7 token counts
@@ -488,10 +541,31 @@ def test_classifier_learns_and_covers_long_texts(spark):
 
 def test_chunks_cover_every_byte():
     for n in (0, 1, 63, 64, 1024, 1025, 5000):
-        x, own = quality_classifier.chunks_of(bytes(i % 251 for i in range(n)))
+        starts = quality_classifier.chunk_starts(n)
+        x, own = quality_classifier.chunks_at(bytes(i % 251 for i in range(n)), starts)
         assert (x != quality_classifier.PAD).any() == (n > 0) and len(x) == max(1, math.ceil((n - 64) / 960)) and len(own) == len(x)
         if n:
-            assert x[0, 0] == 0 and (n - 1) % 251 in x[-1]
+            assert x[0, 0] == 0 and (n - 1) % 251 in x[-1] and own.sum() >= n - 64
+
+
+def test_score_equals_a_plain_convolution():
+    rng = np.random.default_rng(7)
+    net = quality_classifier.Network.fresh(rng)
+    net.b2 = 0.3
+    for n in (0, 3, 700, 5000, 40_000):
+        raw = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        logit = weight = 0.0
+        for at in quality_classifier.chunk_starts(n):
+            chunk = [*raw[at : at + quality_classifier.CHUNK]]
+            fill, own = len(chunk) / quality_classifier.CHUNK, max(1, min(n - at, quality_classifier.CHUNK - quality_classifier.OVERLAP))
+            chunk += [quality_classifier.PAD] * (quality_classifier.CHUNK - len(chunk))
+            best = np.full(quality_classifier.FILTERS, -np.inf)
+            for i in range(len(chunk) - quality_classifier.WIDTH + 1):
+                best = np.maximum(best, sum(net.filters[k, chunk[i + k]] for k in range(quality_classifier.WIDTH)))
+            hidden = np.maximum(np.append(best, fill) @ net.w1 + net.b1, 0)
+            logit += float(hidden @ net.w2 + net.b2) * own
+            weight += own
+        assert quality_classifier.score(net, raw) == pytest.approx(1 / (1 + math.exp(-logit / weight)), abs=1e-4)
 
 
 def test_awkward_documents_score(spark, docs, rows):
