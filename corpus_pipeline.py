@@ -46,16 +46,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document for each pass that takes from it, cut after the words taken (a pass reads it from its first word).
 
-    Ids may be null or repeated, so a document is known by the hash of its id and text.
+    Documents come in the order of the shards, shuffled within each, by the block that holds
+    their first word. Ids may be null or repeated, so a document is known by the hash of its id
+    and text.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_of())
     draw = drawn(docs.select(key.alias("doc_id"), "source", "text")).select(F.col("doc_id").alias("key"), "size", F.inline("pieces"))
-    takes = draw.groupBy("key", "size", "pass").agg(F.sum("words").alias("taken"))
+    takes = draw.groupBy("key", "size", "pass").agg(F.sum("words").alias("taken"), F.min_by(F.struct("shard", "slot"), "start").alias("place"))
     both = docs.withColumn("key", key).join(takes, "key")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(first)
-    return both.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    out = both.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.repartitionByRange("place").sortWithinPartitions("place").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
