@@ -12,8 +12,9 @@ of smaller id, or before it in the same one).
    key, which streams its sorted rows and tells the documents. A key that occurs more than
    ``HOT`` times is not used: its windows are dealt again at the next level, so the edges of a
    passage that very many documents share, with other text around each, spread over keys of
-   their own. A task that alone sees a key more often than that tells its documents itself and
-   sends one row with the count.
+   their own; windows that a task sees to be repeated are marked before that and ask no more. A
+   task that alone sees a key more often than ``HOT`` tells its documents itself and sends one
+   row with the count.
 3. Suffix buckets. The runs of repeated keys are cut out of their documents and sent to the
    task of their key, a row per run. A task sorts one block of buckets at a time. It first
    ranks the suffixes at the places of a difference cover of the block's text (a sixth of
@@ -120,7 +121,7 @@ class Windows:
         return Windows(self.h, self.at[rows], self.start[rows], self.text[rows], self.shift[rows])
 
     def dealt(self, level: int) -> tuple[np.ndarray, ...]:
-        """(text number, key, anchor, first start, last start, windows) of each run at a level; places count from the text's begin."""
+        """(text number, key, anchor, first start, last start) of each run at a level; places count from the text's begin."""
         column = self.start - self.at + REACH - 1
         own = (self.start > self.at - GRAM) if level == 0 else column // CLASS if level == 1 else column
         first = np.flatnonzero(_edges(self.at, self.text, own))
@@ -136,7 +137,7 @@ class Windows:
         for g in gaps:
             key = _mixed(key * _U(_BASE) + self.h[begin + g])
         shift = self.shift[first]
-        return self.text[first], key, at + shift, self.start[first] + shift, self.start[first] + size - 1 + shift, size
+        return self.text[first], key, at + shift, self.start[first] + shift, self.start[first] + size - 1 + shift
 
 
 def pieces(texts: list[bytes]) -> Iterator[Windows]:
@@ -161,11 +162,10 @@ def pieces(texts: list[bytes]) -> Iterator[Windows]:
         o = 0
         while len(x) - o >= LENGTH:
             part = x[o : o + size - total]
-            if len(part) >= LENGTH:
-                held.append((t, o, part))
-                total += len(part)
-                o += len(part) - LENGTH + 1  # every window start lies in one part
-            if size - total < LENGTH or len(part) < LENGTH:
+            held.append((t, o, part))
+            total += len(part)
+            o += len(part) - LENGTH + 1  # every window start lies in one part
+            if size - total < LENGTH:
                 yield piece()
                 held, total = [], 0
     if held:
@@ -345,48 +345,83 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(raw).alias("th"), raw.alias("raw"))
 
 
+def open_keys(s: Runs, marks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, keys at a level) of the windows that are not marked."""
+    run, column = s.windows()
+    zero = np.zeros(len(run), np.int64)
+    w = Windows(gram_hashes(s.data), (s.begin + REACH - 1 - s.lo)[run], s.begin[run] + column - s.lo[run], run, zero).only(~marks)
+    run, keys, *_ = w.dealt(level)
+    return s.doc[run], keys
+
+
 def repeated_keys(rows: DataFrame, level: int, hot: int) -> DataFrame:
-    """doc_id, key, hot: each document's keys at a level that occur twice in all; rows may have wanted, the keys of the level before whose windows are dealt."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+    """doc_id, key, hot: each document's keys at a level that occur twice in all.
+
+    Beyond level 0 rows have wanted, the keys of the level before whose windows are dealt, and
+    the result has rows with th, start and stop instead: bytes that are known to be removed.
+    """
+    names = ["key", "doc_id", "n", *(["th", "start", "stop"] if level else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *([pa.int64()] * 3 if level else [])]
+
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns[0])
+        given = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
+        return pa.RecordBatch.from_arrays([*given, *(pa.nulls(n, t) for t in kinds[len(given) :])], names=names)
+
+    def counted(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """A row (key, document, 1) each; of keys met more than `hot` times here (key, document, 0), as they are known, and (key, -, count)."""
+        o = np.argsort(keys, kind="stable")
+        k, d = keys[o], docs[o]
+        first = np.flatnonzero(_edges(k))
+        n = np.diff(np.append(first, len(k)))
+        many = n > hot
+        state = np.where(np.repeat(many, n), 0, 1)
+        return batch(np.append(k, k[first[many]]).view(np.int64), np.append(d, d[first[many]]), np.append(state, n[many]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row (key, document, 1) per run; of keys met more than `hot` times here a row (key, -, count), and (key, document, 0) as they are known."""
         keys, docs, size = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            k, d = np.concatenate(keys), np.concatenate(docs)
-            o = np.argsort(k, kind="stable")
-            k, d = k[o], d[o]
-            first = np.flatnonzero(_edges(k))
-            n = np.diff(np.append(first, len(k)))
-            many = n > hot
-            state = np.where(np.repeat(many, n), 0, 1)
-            out = (np.append(k, k[first[many]]).view(np.int64), np.append(d, d[first[many]]), np.append(state, n[many]))
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema, strict=True)], schema=schema)
-
         for b in sliced(batches):
-            ids, texts = b.column(0).to_numpy(), [x.as_buffer().to_pybytes() for x in b.column(1)]
-            if level == 0:
-                found = ((ids[t], k) for t, k, *_ in (w.dealt(0) for w in pieces(texts)))
-            else:
-                found = _within(ids, texts, [x.values.to_numpy().view(_U) for x in b.column(2)], level)
-            for d, k in found:
-                docs.append(d)
+            ids = b.column(0).to_numpy()
+            for w in pieces([x.as_buffer().to_pybytes() for x in b.column(1)]):
+                t, k, *_ = w.dealt(0)
+                docs.append(ids[t])
                 keys.append(k)
                 size += len(k)
                 if size >= KEYS:
-                    yield flush()
+                    yield counted(np.concatenate(docs), np.concatenate(keys))
                     keys, docs, size = [], [], 0
         if size:
-            yield flush()
+            yield counted(np.concatenate(docs), np.concatenate(keys))
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Runs] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            s, marks = repeated(Runs.joined(held))
+            doc, th, start, stop = spans(s, marks)
+            yield batch(start, doc, np.full(len(doc), -1), th, start, stop)
+            yield counted(*open_keys(s, marks, level))
+
+        for b in batches:
+            for doc, th, raw, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                for s in wanted_runs(raw.as_buffer().to_pybytes(), doc, th, want.values.to_numpy().view(_U), (level - 1,)):
+                    held.append(s)
+                    size += len(s)
+                    if size >= RUNS:
+                        yield from flush()
+                        held, size = [], 0
+        if size:
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by key: a bucket is held only until it ends or is known to be hot."""
         none = np.empty(0, np.int64)
         held, known = (none, none, none), None
+        out = ["doc_id", "key", "hot", *names[3:]]
 
         def told(k: np.ndarray, d: np.ndarray, is_hot: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(is_hot, pa.bool_())], names=["doc_id", "key", "hot"])
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(is_hot, pa.bool_()), *(pa.nulls(len(k), t) for t in kinds[3:])], names=out)
 
         def decided(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(_edges(k))
@@ -396,9 +431,14 @@ def repeated_keys(rows: DataFrame, level: int, hot: int) -> DataFrame:
 
         for b in batches:
             k, d, n = (b.column(i).to_numpy() for i in range(3))
+            if level and (n < 0).any():
+                done = b.filter(pa.array(n < 0))
+                yield pa.RecordBatch.from_arrays([done.column(1), pa.nulls(done.num_rows, pa.int64()), pa.nulls(done.num_rows, pa.bool_()), *(done.column(i) for i in (3, 4, 5))], names=out)
+                k, d, n = k[n >= 0], d[n >= 0], n[n >= 0]
             if known is not None:  # this bucket is hot
                 n = np.where((k == known) & (n == 1), 0, n)
-                d, n, k = d[(k != known) | (n == 0)], n[(k != known) | (n == 0)], k[(k != known) | (n == 0)]
+                more = (k != known) | (n == 0)
+                k, d, n = k[more], d[more], n[more]
             sure = n == 0
             if sure.any():
                 yield told(k[sure], d[sure], np.ones(int(sure.sum()), bool))
@@ -414,40 +454,43 @@ def repeated_keys(rows: DataFrame, level: int, hot: int) -> DataFrame:
                 held = (none, none, none)
         yield decided(*held)
 
-    where = F.when(F.col("n") == 0, F.xxhash64("doc_id", "key")).otherwise(F.col("key"))
-    sent = rows.select("doc_id", "raw", *(["wanted"] * (level > 0))).mapInArrow(deal, "key long, doc_id long, n int")
-    return written(sent.repartition(where).sortWithinPartitions("key").mapInArrow(meet, "doc_id long, key long, hot boolean"), f"repeated-keys-{level}")
+    more = ", th long, start long, stop long" * (level > 0)
+    where = F.when(F.col("n") < 1, F.xxhash64("doc_id", "key")).otherwise(F.col("key"))
+    sent = rows.mapInArrow(deal_again, f"key long, doc_id long, n int{more}") if level else rows.select("doc_id", "raw").mapInArrow(deal, "key long, doc_id long, n int")
+    return written(sent.repartition(where).sortWithinPartitions("key").mapInArrow(meet, f"doc_id long, key long, hot boolean{more}"), f"repeated-keys-{level}")
 
 
-def _within(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray], level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(documents, keys) of the windows whose keys of the level before are wanted."""
-    for doc, text, want in zip(ids, texts, wanted, strict=True):
-        for w in pieces([text]):
-            _, above, *_, size = w.dealt(level - 1)
-            w = w.only(np.repeat(np.isin(above, want), size))
-            if len(w.at):
-                _, keys, *_ = w.dealt(level)
-                yield np.full(len(keys), doc), keys
+def wanted_runs(text: bytes, doc: int, th: int, want: np.ndarray, levels: tuple[int, ...] | range) -> Iterator[Runs]:
+    """The runs of a text whose keys are wanted."""
+    flat = np.frombuffer(text, np.uint8)
+    for w in pieces([text]):
+        for level in levels:
+            _, key, at, first, last = w.dealt(level)
+            mine = np.isin(key, want)
+            if mine.any():
+                yield runs_of(flat, doc, th, key[mine], at[mine], first[mine], last[mine])
 
 
-def wanted_keys(rows: DataFrame, hot: int) -> DataFrame:
-    """doc_id, wanted, levels: the keys whose runs a document sends, and how many levels they are of."""
-    collected, part = None, rows
+def wanted_keys(rows: DataFrame, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, wanted, levels: the keys whose runs a document sends, and of how many levels they are; tables doc_id, th, start, stop of what is removed already."""
+    collected, removed, part = None, [], rows
     for level in range(LEVELS):
         met = repeated_keys(part, level, hot if level < LEVELS - 1 else 2**31 - 1)
         use = met.where("not hot").select("doc_id", "key", F.lit(level + 1).alias("levels"))
         collected = use if collected is None else collected.union(use)
+        if level:
+            removed.append(met.where("hot is null").select("doc_id", "th", "start", "stop"))
         again = met.where("hot")
         if again.isEmpty():
             break
         part = rows.join(again.groupBy("doc_id").agg(F.collect_set("key").alias("wanted")), "doc_id")
-    return collected.groupBy("doc_id").agg(F.collect_set("key").alias("wanted"), F.max("levels").alias("levels"))
+    return collected.groupBy("doc_id").agg(F.collect_set("key").alias("wanted"), F.max("levels").alias("levels")), removed
 
 
 def removed_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, th, start, end: runs of bytes to remove (they may meet or overlap)."""
+    """doc_id, th, start, stop: runs of bytes to remove (they may meet or overlap)."""
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-    names = ["doc_id", "th", "start", "end"]
+    names = ["doc_id", "th", "start", "stop"]
 
     def binary(data: np.ndarray, width: np.ndarray) -> pa.Array:
         ends = np.append(0, np.cumsum(width)).astype(np.int32)
@@ -460,9 +503,9 @@ def removed_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             s, marks = repeated(Runs.joined(held))
-            doc, th, start, end = spans(s, marks)
+            doc, th, start, stop = spans(s, marks)
             zero = np.zeros(len(doc), np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((zero, doc, th, start, zero, end - start), kinds, strict=True)), binary(np.empty(0, np.uint8), zero)], names=[*Runs.NAMES, "data"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((zero, doc, th, start, zero, stop - start), kinds, strict=True)), binary(np.empty(0, np.uint8), zero)], names=[*Runs.NAMES, "data"])
             run, column = s.windows()
             open_ = np.flatnonzero(~marks)
             first = np.flatnonzero(_edges(run[open_]))
@@ -472,15 +515,9 @@ def removed_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for b in batches:
             for doc, th, raw, want, levels in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
-                text, want = raw.as_buffer().to_pybytes(), want.values.to_numpy().view(_U)
-                flat = np.frombuffer(text, np.uint8)
-                for w in pieces([text]):
-                    for level in range(levels):
-                        _, key, at, first, last, _ = w.dealt(level)
-                        mine = np.isin(key, want)
-                        if mine.any():
-                            held.append(runs_of(flat, doc, th, key[mine], at[mine], first[mine], last[mine]))
-                            size += len(held[-1])
+                for s in wanted_runs(raw.as_buffer().to_pybytes(), doc, th, want.values.to_numpy().view(_U), range(levels)):
+                    held.append(s)
+                    size += len(s)
                     if size >= RUNS:
                         yield from flush()
                         held, size = [], 0
@@ -527,13 +564,17 @@ def removed_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     ddl = "key long, doc long, th long, at long, lo int, hi int, data binary"
     where = F.when(F.octet_length("data") == 0, F.xxhash64("doc", "at")).otherwise(F.col("key"))
     sent = rows.join(wanted, "doc_id").select("doc_id", "th", "raw", "wanted", "levels").mapInArrow(send, ddl)
-    return sent.repartition(where).sortWithinPartitions("key", "doc", "at").mapInArrow(merge, "doc_id long, th long, start long, end long")
+    return sent.repartition(where).sortWithinPartitions("key", "doc", "at").mapInArrow(merge, "doc_id long, th long, start long, stop long")
 
 
 def suffix_dedup(docs: DataFrame, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay)."""
     rows = _rows(docs)
-    gone = removed_runs(rows, wanted_keys(rows, hot)).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("gone"))
+    wanted, removed = wanted_keys(rows, hot)
+    runs = removed_runs(rows, wanted)
+    for known in removed:
+        runs = runs.union(known)
+    gone = runs.groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "stop")).alias("gone"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
