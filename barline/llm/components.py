@@ -9,7 +9,7 @@ from .shared import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long) -> node, label: the smallest node reachable; only nodes with an edge.
+    """edges: a, b (of any type with an order) -> node, label: the smallest node reachable; only nodes with an edge.
 
     Each round gives a node the smallest label around it and then the label of its label, so
     paths halve. A node with very many edges is one row of a partial aggregation per task.

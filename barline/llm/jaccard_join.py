@@ -6,21 +6,27 @@ among the first n - T + 1 of both. The order comes from a count sketch of fixed
 documents: shingles that stand out are "long", all others "short" and ordered by hash; any
 order gives the same links, a good one keeps the lists short.
 
-1. Every document becomes a node, the hash of its set; equal sets are one node.
-2. The first n - T + 1 shingles of each node go to inverted lists; a task merges the sorted
-   runs of its range of shingles. Lists with one node end there; the nodes of the others go to
-   the group of the list's smallest node. Linked nodes share a list, so they share a group.
-   In a group of more than ``BLOCK`` nodes or ``SHINGLES`` shingles every node is first held
-   against the smallest one, a set at a time. Nodes linked to it are one class already; the
-   others are worked on by pairs of blocks, with one another and with those.
-3. In a group, nodes without any partner that could reach the overlap are dropped: sizes must
+1. Every document becomes a node, the 128-bit hash of its set; equal sets are one node.
+2. The first n - T + 1 shingles of each node go to inverted lists, a row per shingle and node
+   (by 64 bits of its hash, which may only add candidates). A task streams its sorted lists:
+   lists with one node end there, the nodes of the others go to the group of the list's first
+   node. Linked nodes share a list, so they share a group.
+3. In a group of more than ``TIE`` nodes or ``SHINGLES`` shingles every node is held against the
+   first one, in parts of the group, a set at a time. Nodes linked to it are one class already.
+   Jaccard distance is a metric, so a node further from the first than twice the allowed
+   distance links to none of these, and one at distance d only to those at d less the allowed
+   distance or more: near copies without such a neighbour need no search at all. What is left
+   is worked on by pairs of blocks of ``SHINGLES`` shingles.
+4. In a group, nodes without any partner that could reach the overlap are dropped: sizes must
    fit, and bitmaps of the sets must not differ in more bits than linked sets differ in
    shingles. Both tests are exact bounds.
-4. The sets of the nodes that stay are brought together and searched by DivideSkip: a node's
-   short inverted lists are merged into counts, nodes whose count cannot reach T with all long
-   lists drop out, and the long lists are probed for the rest by binary search, or merged where
-   that is less work. A group returns a spanning forest of its links, never all pairs.
-5. Links become classes by connected components.
+5. The sets of the nodes that stay are brought together and searched by DivideSkip: a node's
+   short inverted lists are merged (they are sorted runs, which a stable sort merges) and the
+   runs of equal members counted; members whose count cannot reach T with all long lists drop
+   out, and the long lists are probed for the rest by binary search, or merged where that is
+   less work. Nodes of one class need not be compared, so the queries are the nodes outside the
+   largest class. A group returns a spanning forest of its links, never all pairs.
+6. Links become classes by connected components.
 
 Defined results: a null text, an empty one or one without words has the empty set and stands
 alone; fewer than five words are one shingle; an empty table gives an empty result; repeated
@@ -49,14 +55,14 @@ PERCENT = 75
 COUNTERS, PARTS = 1 << 18, 16
 #: A shingle is long if its counter exceeds the mean by so much: a number, and standard deviations.
 LONG, LONG_SIGMAS = 64, 8
-#: List entries that a task sorts at once before it sends them off.
+#: Shingles that a task counts at once, and list entries that it sends off together.
 RUN = 1 << 19
 #: Nodes that a task remembers to have sent.
 SEEN = 100_000
-#: Nodes of a group that are searched at once (twice as many with those of another block).
-BLOCK = 2048
-#: Shingles of a block, but for its last node's.
-SHINGLES = 1 << 20
+#: A group of more nodes is first held against its first node.
+TIE = 256
+#: Nodes of a block, and its shingles but for its last node's.
+BLOCK, SHINGLES = 2048, 1 << 20
 #: A list in a group that is long enough to be probed instead of merged.
 LONG_LIST = 32
 NO_ID = 2**63 - 1
@@ -64,9 +70,14 @@ NO_ID = 2**63 - 1
 _U = np.uint64
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """The set's hash; 0 for the empty set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else 0
+def node_of(tokens: np.ndarray) -> bytes:
+    """The set's hash; nothing for the empty set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else b""
+
+
+def short_of(node: bytes) -> int:
+    """64 bits of a node."""
+    return int.from_bytes(node[:8], "little", signed=True)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -86,8 +97,13 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Documents (doc_id, node, n, bits, th: the text's hash), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("th", pa.int64()), ("part", pa.int32()), ("some", pa.int32()), ("counts", pa.binary())])
+    """Documents (doc_id, node, h: 64 bits of it, n, bits, th: the text's hash), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
+    names = ["doc_id", "node", "h", "n", "bits", "th", "part", "some", "counts"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    ddl = "doc_id long, node binary, h long, n long, bits binary, th long, part int, some int, counts binary"
+
+    def batch(size: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in zip(names, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
@@ -106,24 +122,22 @@ def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 if size > RUN:
                     count()
                     held, size = [], 0
-            n = len(nodes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), b.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield batch(len(nodes), doc_id=b.column(0), node=nodes, h=[short_of(x) for x in nodes], n=sizes, bits=bits, th=b.column(2))
         if held:
             count()
         task = TaskContext.get().partitionId()
-        none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(PARTS, pa.binary()), none, pa.array(range(PARTS), pa.int32()), pa.array([task // 256] * PARTS, pa.int32()), pa.array([x.tobytes() for x in counts.reshape(PARTS, -1)], pa.binary())], schema=schema)
+        yield batch(PARTS, part=range(PARTS), some=[task // 256] * PARTS, counts=[x.tobytes() for x in counts.reshape(PARTS, -1)])
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"])
         return pa.table({"part": t["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, "doc_id long, node long, n long, bits binary, th long, part int, some int, counts binary"), "shingle-counts")
+    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, ddl), "shingle-counts")
     each = made.where("part is not null").select("part", "some", "counts")
     sums = each.groupBy("part", "some").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
     found = sums.orderBy("part").toArrow()["counts"].to_pylist()
     counts = np.concatenate([np.frombuffer(x, np.int64) for x in found]) if found else np.zeros(COUNTERS, np.int64)
-    return made.where("part is null").select("doc_id", "node", "n", "bits", "th"), counts
+    return made.where("part is null").select("doc_id", "node", "h", "n", "bits", "th"), counts
 
 
 def long_counters(counts: np.ndarray) -> np.ndarray:
@@ -136,26 +150,17 @@ def ordered(tokens: np.ndarray, is_long: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens[~far], tokens[far]
 
 
-def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """Lists of two or more nodes: token, node, leader."""
-    spark = docs.sparkSession
-    bits = max(1, (buckets - 1).bit_length())
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary())])
-    told = spark.sparkContext.broadcast(np.packbits(is_long))  # COUNTERS bits
+def prefix_lists(docs: DataFrame, is_long: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """Members of lists of two or more nodes, each pair once: leader (the list's first node), h; both by 64 bits."""
+    told = docs.sparkSession.sparkContext.broadcast(np.packbits(is_long))  # COUNTERS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.unpackbits(told.value).astype(bool)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         tokens, nodes, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            t, v = np.concatenate(tokens), np.concatenate(nodes)
-            o = np.argsort(t)
-            t, v = t[o], v[o]
-            at = np.searchsorted(t, (np.arange(1 << bits, dtype=_U) << _U(64 - bits)))
-            cuts = np.append(at, len(t))
-            ks = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([t[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary()), pa.array([v[cuts[k] : cuts[k + 1]].tobytes() for k in ks], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "h"])
 
         for b in sliced(batches):
             for s in _sets(b.column(1)):
@@ -166,7 +171,7 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
                     seen.add(node)
                     first = np.concatenate(ordered(s, far))[: n - -(-percent * n // 100) + 1]
                     tokens.append(first)
-                    nodes.append(np.full(len(first), node, np.int64))
+                    nodes.append(np.full(len(first), short_of(node), np.int64))
                     size += len(first)
                     if size >= RUN:
                         yield flush()
@@ -174,45 +179,48 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, buckets: int, percent: in
         if size:
             yield flush()
 
-    def merge(t: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in t["tokens"]])
-        nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["nodes"]])
-        order = np.argsort(tokens, kind="stable")  # sorted runs are merged
-        tokens, nodes = tokens[order], nodes[order]
-        twice = np.zeros(len(tokens) + 1, bool)
-        twice[1:-1] = tokens[1:] == tokens[:-1]
-        some = twice[1:] | twice[:-1]
-        tokens, nodes = tokens[some], nodes[some]
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes = tokens[order], nodes[order]
-        new = np.ones(len(tokens), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes = tokens[new], nodes[new]
-        begin = np.ones(len(tokens), bool)
-        begin[1:] = tokens[1:] != tokens[:-1]
-        starts = np.flatnonzero(begin)
-        sizes = np.diff(np.append(starts, len(tokens)))
-        leader, many = np.repeat(nodes[starts], sizes), np.repeat(sizes, sizes) > 1
-        return pa.table({"token": pa.array(tokens[many].view(np.int64)), "node": pa.array(nodes[many]), "leader": pa.array(leader[many])})
-
-    runs = _rows(docs).mapInArrow(run, "bucket int, tokens binary, nodes binary")
-    return written(runs.groupBy("bucket").applyInArrow(merge, "token long, node long, leader long"), "shingle-lists")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries come by shingle and node: of each list only its first node is remembered."""
+        token = leader = None
+        for b in batches:
+            t, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(t):
+                continue
+            new = np.ones(len(t), bool)
+            new[1:] = t[1:] != t[:-1]
+            new[0] = token is None or t[0] != token
+            at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+            lead = np.where(at < 0, leader if leader is not None else 0, h[np.maximum(at, 0)])
+            token, leader = int(t[-1]), int(lead[-1])
+            some = lead != h
+            pairs = np.unique(np.stack([lead[some], h[some]], 1), axis=0) if some.any() else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "h"])
+
+    entries = _rows(docs).mapInArrow(run, "token long, h long")
+    return written(entries.repartition("token").sortWithinPartitions("token", "h").mapInArrow(meet, "leader long, h long").distinct(), "shingle-lists")
 
 
 def weighed(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """leader, node, weight: the nodes of each group, by shingles; leader, parts: groups that are too large for one block."""
+    """leader, node, n, weight: the nodes of each group, by shingles; leader, parts, first: groups that are held against their first node."""
     weight = F.greatest(F.col("n"), F.lit(-(-SHINGLES // BLOCK)).cast("long")).alias("weight")
-    groups = written(lists.select("leader", "node").distinct().join(nodes.select("node", "n"), "node").select("leader", "node", weight), "shingle-groups")
-    total = groups.groupBy("leader").agg(F.sum("weight").alias("total")).where(F.col("total") > SHINGLES)
-    return groups, written(total.select("leader", F.ceil(F.col("total") / SHINGLES).cast("int").alias("parts")), "shingle-large-groups")
+    pairs = lists.select("leader", "h").union(lists.select("leader", F.col("leader").alias("h"))).distinct()
+    groups = written(pairs.join(nodes.select("h", "node", "n"), "h").select("leader", "node", "n", weight, (F.col("h") == F.col("leader")).alias("leads")), "shingle-groups")
+    total = groups.groupBy("leader").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("held"), F.min(F.when(F.col("leads"), F.col("node"))).alias("first")).where((F.col("total") > SHINGLES) | (F.col("held") > TIE))
+    parts = F.greatest(F.ceil(F.col("total") / SHINGLES), F.ceil(F.col("held") / TIE)).cast("int").alias("parts")
+    return groups.drop("leads"), written(total.select("leader", parts, "first"), "shingle-large-groups")
+
 
+def blocks(groups: DataFrame, large: DataFrame, held: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """leader, i, j, side, node: the nodes of block i (side 0) and of block j (side 1).
 
-def blocks(groups: DataFrame, large: DataFrame, tied: DataFrame) -> DataFrame:
-    """leader, i, j, side, node: the nodes of block i (side 0) and of block j (side 1); tied: leader, node that are linked."""
-    zero = F.lit(0)
+    held: leader, node, tied, away of the nodes of large groups: whether they are linked to
+    the group's first node, and their distance from it.
+    """
+    zero, limit = F.lit(0), 1 - percent / 100
     small = groups.join(large, "leader", "left_anti").select("leader", zero.alias("i"), zero.alias("j"), zero.alias("side"), "node")
-    known = tied.select("leader", "node").distinct().withColumn("tied", F.lit(1))
-    rows = groups.join(large, "leader").join(known, ["leader", "node"], "left").select("leader", "node", "weight", F.coalesce("tied", zero).alias("tied"))
+    near = F.min(F.when((F.col("tied") == 0) & (F.col("away") <= 2 * limit + 1e-9), F.col("away"))).alias("near")
+    bound = held.groupBy("leader").agg(near)
+    rows = groups.join(held, ["leader", "node"]).join(bound, "leader").where((F.col("tied") == 0) | (F.col("away") >= F.col("near") - limit - 1e-9))
     upto = F.sum("weight").over(Window.partitionBy("leader", "tied").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     dealt = written(rows.select("leader", "node", "tied", F.floor((upto - F.col("weight")) / SHINGLES).cast("int").alias("own")), "shingle-blocks")
     count = lambda x: F.coalesce(F.max(F.when(F.col("tied") == x, F.col("own"))) + 1, zero)
@@ -240,35 +248,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def may_link(sides: np.ndarray, sizes: np.ndarray, bits: list[bytes], cross: bool, percent: int = PERCENT) -> np.ndarray:
     """Which nodes of a group have a partner that sizes and bitmaps allow."""
     order = np.argsort(sizes, kind="stable")
-    n = sizes[order]
+    n, side = sizes[order], sides[order]
     spread = (100 - percent) / (100 + percent)  # linked sets differ in at most this share of n + m
-    maps: dict[int, np.ndarray] = {}
-
-    def folded(size: int) -> np.ndarray:
-        """All bitmaps of at least `size` bytes, folded to it; others are not used with it."""
-        if size not in maps:
-            out = np.zeros((len(n), size), np.uint8)
-            for r, k in enumerate(order):
-                if len(bits[k]) >= size:
-                    out[r] = np.bitwise_or.reduce(np.frombuffer(bits[k], np.uint8).reshape(-1, size), axis=0)
-            maps[size] = out.view(np.uint64)
-        return maps[size]
-
+    width = np.array([len(bits[k]) for k in order])
     ok = np.zeros(len(n), bool)
-    side = sides[order]
     ends = np.searchsorted(n, n * 100 // percent, "right")
-    for r in range(len(n) - 1):
-        e = int(ends[r])
-        if e <= r + 1:
-            continue
-        m = folded(len(bits[order[r]]))
-        differ = np.bitwise_count(m[r + 1 : e] ^ m[r]).sum(1)
-        fits = differ <= spread * (n[r + 1 : e] + n[r]) + 1e-6
-        if cross:
-            fits &= side[r + 1 : e] != side[r]
-        if fits.any():
-            ok[r] = True
-            ok[r + 1 : e] |= fits
+    for size in np.unique(width):
+        # bitmaps of this size and the next, folded to this size; a partner's is not larger, and those of equal size follow one another
+        lo, hi = np.searchsorted(width, [size, 2 * size + 1])
+        maps = np.empty((hi - lo, size), np.uint8)
+        for r in range(lo, hi):
+            maps[r - lo] = np.bitwise_or.reduce(np.frombuffer(bits[order[r]], np.uint8).reshape(-1, size), axis=0)
+        maps = maps.view(np.uint64)
+        for r in range(lo, int(np.searchsorted(width, size, "right"))):
+            e = int(ends[r])
+            if e <= r + 1:
+                continue
+            differ = np.bitwise_count(maps[r + 1 - lo : e - lo] ^ maps[r - lo]).sum(1)
+            fits = differ <= spread * (n[r + 1 : e] + n[r]) + 1e-6
+            if cross:
+                fits &= side[r + 1 : e] != side[r]
+            if fits.any():
+                ok[r] = True
+                ok[r + 1 : e] |= fits
     out = np.zeros(len(n), bool)
     out[order] = ok
     return out
@@ -282,43 +284,56 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
     keys = np.sort(ids * m + owner)  # the lists one after the other, each by member
     members, counts = keys % m, np.bincount(ids)
     begins, cuts = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
-    root, out = list(range(m)), []
+    label, asked, out = np.arange(m), np.zeros(m, bool), []
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def merged(lists: np.ndarray) -> np.ndarray:
+    def merged(lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of sorted lists and how many of the lists hold them."""
         k = counts[lists]
         at = np.arange(k.sum()) + np.repeat(begins[lists] - (np.cumsum(k) - k), k)
-        return np.bincount(members[at], minlength=m)
+        found = np.sort(members[at], kind="stable")
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
+        return found[first], np.diff(np.append(first, len(found)))
 
-    for q in range(m - 1):
+    def query() -> int | None:
+        """A node that may have a link to another class; a link is known once either end has been a query."""
+        left = np.flatnonzero(~asked)
+        if cross:
+            one, two = left[sides[left] == 0], left[sides[left] == 1]
+            left = one if len(one) <= len(two) else two
+            if not len(one) or not len(two) or len(np.unique(label[np.append(one, two)])) == 1:
+                return None
+            return int(left[0])
+        classes, size = np.unique(label[left], return_counts=True)
+        if len(classes) < 2:
+            return None
+        return int(left[label[left] != classes[size.argmax()]][0])
+
+    while (q := query()) is not None:
+        asked[q] = True
         own = ids[cuts[q] : cuts[q] + sizes[q]]
         least = -(-percent * int(sizes[q]) // 100)
         by = np.argsort(counts[own], kind="stable")
         n_long = min(least - 1, int((counts[own] >= LONG_LIST).sum()))
         short, far = own[by[: len(own) - n_long]], own[by[len(own) - n_long :]]
-        seen = merged(short)
-        need = -(-percent * (sizes + sizes[q]) // (100 + percent))
-        fits = (seen >= need - n_long) & (np.minimum(sizes, sizes[q]) >= need)
-        fits[: q + 1] = False
+        cand, seen = merged(short)
+        need = -(-percent * (sizes[cand] + sizes[q]) // (100 + percent))
+        fits = (seen >= need - n_long) & (np.minimum(sizes[cand], sizes[q]) >= need) & ~asked[cand] & (label[cand] != label[q])
         if cross:
-            fits &= sides != sides[q]
-        cand = np.flatnonzero(fits)
+            fits &= sides[cand] != sides[q]
+        cand, seen, need = cand[fits], seen[fits], need[fits]
         if n_long and len(cand):
             if len(cand) * n_long <= counts[far].sum():
                 probes = far[None, :] * m + cand[:, None]
                 at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
-                total = seen[cand] + (keys[at] == probes).sum(1)
+                seen = seen + (keys[at] == probes).sum(1)
             else:
-                total = seen[cand] + merged(far)[cand]
-            cand = cand[total >= need[cand]]
+                more, k = merged(far)
+                at = np.minimum(np.searchsorted(more, cand), len(more) - 1)
+                seen = seen + np.where(more[at] == cand, k[at], 0)
+            cand = cand[seen >= need]
         for c in cand.tolist():
-            if (a := find(q)) != (b := find(c)):
-                root[a] = b
+            if label[c] != label[q]:
+                label[label == label[c]] = label[q]
                 out.append((q, c))
     return out
 
@@ -339,22 +354,22 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
             yield _batch(out)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=[*key, "side", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[*key, "side", "node"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The set of each text that makes its node (rows with the same id may hold other texts)."""
         for b in sliced(batches):
             rows = [(node, s.tobytes()) for node, s in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True) if node_of(s) == node]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
 
     def sets_of(some: DataFrame) -> DataFrame:
         """node, tokens of the nodes of some."""
         need = written(some.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
-        return _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node long, tokens binary")
+        return _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node binary, tokens binary")
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes linked to their leader, whose row comes first in each part."""
+        """Whether nodes are linked to the first of their group, whose row begins each part, and how far they are from it."""
         first = np.empty(0, _U)
         for b in batches:
             found = []
@@ -363,11 +378,12 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
                     first = np.frombuffer(x.as_py(), _U)
                     continue
                 s = np.frombuffer(x.as_buffer(), _U)
-                least = -(-percent * (len(s) + len(first)) // (100 + percent))
-                if min(len(s), len(first)) >= least and len(np.intersect1d(s, first, assume_unique=True)) >= least:
-                    found.append((leader, node))
+                total, small = len(s) + len(first), min(len(s), len(first))
+                # sets of too different sizes are further apart than any distance that matters
+                both = len(np.intersect1d(s, first, assume_unique=True)) if 100 * small >= (2 * percent - 100) * (total - small) else 0
+                found.append((leader, node, int(100 * both >= percent * (total - both)), 1 - both / (total - both)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["leader", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.float64()), strict=True)], names=["leader", "node", "tied", "away"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
@@ -375,46 +391,45 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
             g = list(seen.values())
             found = forest([np.frombuffer(r[5], _U) for r in g], np.array([r[3] for r in g]), g[0][1] != g[0][2], percent)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([g[x][4] for x, _ in found], pa.int64()), pa.array([g[y][4] for _, y in found], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[x][4] for x, _ in found], pa.binary()), pa.array([g[y][4] for _, y in found], pa.binary())], names=["a", "b"])
 
     info = nodes.select("node", "n", "bits")
     groups, large = weighed(lists, nodes)
-    tied = docs.sparkSession.createDataFrame([], "leader long, node long")
+    held = docs.sparkSession.createDataFrame([], "leader long, node binary, tied int, away double")
     if not large.isEmpty():
-        members = groups.join(large, "leader").select("leader", "node", "parts", (F.col("node") != F.col("leader")).cast("int").alias("other"))
+        members = groups.join(large, "leader").select("leader", "node", "parts", (F.col("node") != F.col("first")).cast("int").alias("other"))
         own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
         parts = F.when(F.col("other") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-        held = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
-        tied = written(held.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, "leader long, node long"), "shingle-ties")
-    placed = blocks(groups, large, tied.union(large.select("leader", F.col("leader").alias("node")))).join(info, "node").select(*key, "side", "node", "n", "bits")
-    kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node long"), "shingle-screened")
+        met = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
+        held = written(met.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, "leader long, node binary, tied int, away double").distinct(), "shingle-ties")
+    placed = blocks(groups, large, held, percent).join(info, "node").select(*key, "side", "node", "n", "bits")
+    kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node binary"), "shingle-screened")
     met = kept.join(sets_of(kept), "node").select(*key, "side", "node", "tokens")
-    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
-    return written(found.union(tied.select(F.col("leader").alias("a"), F.col("node").alias("b"))), "shingle-links")
+    found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a binary, b binary")
+    tied = held.where("tied = 1").join(large, "leader").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return written(found.union(tied), "shingle-links")
 
 
-def _labelled(docs: DataFrame, percent: int, buckets: int | None) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of count_sketch; node, doc_id, label: the class of each node that isn't the empty set."""
-    spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, counts = count_sketch(docs)
     is_long = long_counters(counts)
-    lists = prefix_lists(docs, is_long, buckets, percent)
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    lists = prefix_lists(docs, is_long, percent)
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     labels = components(links(lists, classes, docs, percent))
     return rows, classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
 
 
-def class_leaders(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+def class_leaders(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id (NO_ID for null), th: the first by id and hash of text of each class of docs (doc_id, text); rows without words are left out."""
-    rows, least = _labelled(docs, percent, buckets)
+    rows, least = _labelled(docs, percent)
     of_class = rows.where("n > 0").join(least.select("node", "label"), "node").groupBy("label")
     return of_class.agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.doc_id", "first.th")
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    rows, least = _labelled(docs, percent, buckets)
+    rows, least = _labelled(docs, percent)
     smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(smallest, "label").select("node", "component_id")
     known = rows.where("n > 0").join(of_node, "node").select("doc_id", "n", "component_id")

@@ -269,21 +269,71 @@ def test_jaccard_near_the_threshold_and_split_groups(spark, monkeypatch):
 def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHINGLES", 500)
     size = {k: 40 + k for k in range(60)}
-    lists = spark.createDataFrame([(0, k) for k in size], "leader long, node long")
-    nodes = spark.createDataFrame(list(size.items()), "node long, n long")
+    lists = spark.createDataFrame([(0, k) for k in size if k], "leader long, h long")
+    nodes = spark.createDataFrame([(k, k, n) for k, n in size.items()], "h long, node long, n long")
     groups, large = jaccard_join.weighed(lists, nodes)
-    for linked in (range(1), range(30), range(60)):
+    for linked, away in ((range(1), 0.3), (range(30), 0.3), (range(30), 0.9), (range(60), 0.3)):
         held, met = Counter(), defaultdict(set)
-        for r in jaccard_join.blocks(groups, large, spark.createDataFrame([(0, k) for k in linked], "leader long, node long")).collect():
+        known = spark.createDataFrame([(0, k, int(k in linked), 0.1 if k in linked else away) for k in size], "leader long, node long, tied int, away double")
+        for r in jaccard_join.blocks(groups, large, known).collect():
             held[r["i"], r["j"], r["side"]] += size[r["node"]]
             met[r["i"], r["j"]].add((r["side"], r["node"]))
         assert max(held.values(), default=0) < 500 + 100
         pairs = {(a, b) for (i, j), x in met.items() for s, a in x for t, b in x if a < b and (i == j or s != t)}
-        assert {(a, b) for a in size for b in size if a < b and not (a in linked and b in linked)} <= pairs
+        far = away > 0.5
+        assert {(a, b) for a in size for b in size if a < b and not (a in linked and b in linked) and not (far and a in linked)} <= pairs
         if len(linked) == 60:
             assert not met
 
 
+def test_near_copies_around_a_first_node(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TIE", 3)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for k in rng.integers(0, 60, int(rng.integers(0, 6))):
+            w[k] = f"x{rng.integers(0, 4)}"
+        rows.append((i, " ".join(w[int(rng.integers(0, 9)) :])))
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert H.same(got, H.classes(rows)) and len({r["component_id"] for r in got}) > 1
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_forest_spans_the_links(cross):
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        m = int(rng.integers(2, 60))
+        base = rng.choice(1 << 40, 200, replace=False).astype(np.uint64)
+        sets = [np.unique(np.append(base[: int(rng.integers(20, 200))], rng.choice(1 << 40, int(rng.integers(1, 40))).astype(np.uint64))) for _ in range(m)]
+        sides = rng.integers(0, 2, m)
+        found = jaccard_join.forest(sets, sides, cross)
+        link = lambda a, b: 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - k)
+        root, got = list(range(m)), list(range(m))
+        for a in range(m):
+            for b in range(a):
+                if (not cross or sides[a] != sides[b]) and link(a, b):
+                    root = [root[a] if x == root[b] else x for x in root]
+        for a, b in found:
+            assert link(a, b) and (not cross or sides[a] != sides[b])
+            assert got[a] != got[b]
+            got = [got[a] if x == got[b] else x for x in got]
+        assert len({(x, y) for x, y in zip(root, got, strict=True)}) == len(set(root)) == len(set(got))
+
+
+def test_screen_keeps_all_that_can_link():
+    rng = np.random.default_rng(10)
+    base = rng.choice(1 << 60, 3000, replace=False).astype(np.uint64)
+    sets = [np.unique(np.append(base[: int(rng.integers(1, 3000))], rng.choice(1 << 60, int(rng.integers(0, 300))).astype(np.uint64))) for _ in range(120)]
+    ok = jaccard_join.may_link(np.zeros(120), np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets], False)
+    for a in range(120):
+        for b in range(a):
+            k = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+                assert ok[a] and ok[b]
+
+
 def test_jaccard_classes_of_groups_with_many_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SHINGLES", 150)
     w = [f"w{i}" for i in range(40)]
