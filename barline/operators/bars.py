@@ -113,12 +113,19 @@ def with_history(bars: DataFrame, least: int) -> DataFrame:
 
 
 def next_bar(wanted: DataFrame, bars: DataFrame) -> DataFrame:
-    """wanted (symbol, wanted date `on`) with the first bar on or after the date, else the last bar."""
-    b = with_bar(bars).select("symbol", "date", "bar")
-    both = wanted.join(b, "symbol")
-    late = F.when(F.col("date") >= F.col("on"), F.col("bar"))
-    out = both.groupBy("symbol", "on").agg(F.coalesce(F.min(late), F.max("bar")).alias("bar"))
-    return out.join(b, ["symbol", "bar"])
+    """wanted (symbol, wanted date `on`) with the first bar on or after the date, else the last bar; symbols without bars are left out.
+
+    Wanted dates stand among the bars of their symbol, newest first, and take the last bar
+    passed, so each row is sorted once and none is multiplied.
+    """
+    have = with_bar(bars).select("symbol", "date", F.lit(None).cast("date").alias("on"), "bar")
+    ask = wanted.select("symbol", F.col("on").alias("date"), "on", F.lit(None).cast("int").alias("bar"))
+    order = Window.partitionBy("symbol").orderBy(F.col("date").desc(), F.col("bar").desc_nulls_last())
+    at = F.struct("bar", "date")
+    ahead = F.last(F.when(F.col("bar").isNotNull(), at), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.max(F.when(F.col("bar").isNotNull(), at)).over(Window.partitionBy("symbol"))
+    found = have.unionByName(ask).withColumn("_at", F.coalesce(ahead, newest))
+    return found.where(F.col("on").isNotNull() & F.col("_at").isNotNull()).select("symbol", F.col("_at.bar").alias("bar"), "on", F.col("_at.date").alias("date"))
 
 
 def lookback(bars: DataFrame, n: int) -> DataFrame:

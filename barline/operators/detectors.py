@@ -17,6 +17,8 @@ from ..plans import config
 from ..plans.config import BreakoutConfig, ParabolicConfig, PivotConfig, SetupConfig
 from .plan import trade_plan
 
+#: Bars before a pivot in which its impulse can begin.
+IMPULSE = 90
 PLAN = ("entry", "raw_stop", "stop", "stop_capped_by_adr", "risk_pct", "risk_in_adr", "shares", "position_value", "target_2r", "target_3r")
 
 
@@ -50,7 +52,7 @@ def prior_move(cfg: BreakoutConfig) -> Column:
 
 def pivots(df: DataFrame, cfg: BreakoutConfig) -> DataFrame:
     """df with the base's pivot (first highest high of the bars before today) and the low its impulse began at."""
-    leg = F.min(F.struct("low", "bar")).over(by_bar().rowsBetween(-90, 0))
+    leg = F.min(F.struct("low", "bar")).over(by_bar().rowsBetween(-IMPULSE, 0))
     df = df.withColumn("_leg", leg)
     top = F.max(F.struct("high", (-F.col("bar")).alias("back"), "_leg")).over(by_bar().rowsBetween(-cfg.max_base_len, -1))
     return df.withColumn("_top", top).withColumns({
@@ -59,36 +61,39 @@ def pivots(df: DataFrame, cfg: BreakoutConfig) -> DataFrame:
     }).withColumn("impulse_gain", measure(ratio(F.col("pivot"), F.col("impulse_low")) - 1.0)).drop("_leg", "_top")
 
 
-def segments(df: DataFrame, wanted: Column) -> DataFrame:
-    """symbol, bar and the measures of the base [pivot, bar-1] and the impulse before it, for the rows wanted.
+def segments(df: DataFrame, wanted: Column, cfg: BreakoutConfig) -> DataFrame:
+    """df with the measures of the base [pivot, bar-1] and the impulse before it, for the rows wanted.
 
-    Only these rows meet their bars again, by one equi-join on (symbol, bar).
+    The window already sorts a symbol's bars, so each row takes the few bars that its base and
+    impulse can reach (IMPULSE + max_base_len) along as a bounded array: no join, no shuffle.
     """
-    first = F.least(F.col("impulse_bar"), F.col("pivot_bar"))
-    ask = df.where(wanted).select("symbol", F.col("bar").alias("at"), "pivot_bar", "impulse_bar", "base_len", F.explode(F.sequence(first, F.col("bar") - 1)).alias("bar"))
     gap = lambda m: F.abs(F.col("close") - F.col(m)) / F.col("close")
-    have = df.select("symbol", "bar", "low", "volume", "range_pct", *[gap(m).alias(f"_{m}") for m in ("ma_fast", "ma_mid", "ma_slow")])
-    half = F.col("pivot_bar") + F.floor(F.col("base_len") / 2)
-    back = F.col("pivot_bar") + F.greatest(F.lit(1), F.floor(F.col("base_len") / 2))
-    base = F.col("bar") >= F.col("pivot_bar")
-    x = F.when(base, F.col("bar").cast("double"))
-    low = F.when(base, F.col("low"))
-    out = ask.join(have, ["symbol", "bar"]).groupBy("symbol", F.col("at").alias("bar")).agg(
-        F.min(F.when(F.col("bar") > F.col("pivot_bar"), F.col("low"))).alias("base_low"),
-        F.avg(F.when(base & (F.col("bar") >= half), F.col("range_pct"))).alias("_back"),
-        F.avg(F.when(base & (F.col("bar") < half), F.col("range_pct"))).alias("_front"),
-        F.regr_slope(low, x).alias("_slope"), F.avg(low).alias("_low"), F.count(low).alias("_n"),
-        F.avg(F.when(F.col("bar") >= back, F.col("volume"))).alias("_quiet"),
-        F.avg(F.when((F.col("bar") >= F.col("impulse_bar")) & (F.col("bar") <= F.col("pivot_bar")), F.col("volume"))).alias("_loud"),
-        *[F.avg(F.when(base, F.col(f"_{m}"))).alias(f"_{m}") for m in ("ma_fast", "ma_mid", "ma_slow")],
-    )
-    return out.select(
-        "symbol", "bar", "base_low",
-        measure(ratio(F.col("_back"), F.col("_front"))).alias("contraction_ratio"),
-        measure(F.when(F.col("_n") < 3, 0.0).otherwise(F.coalesce(ratio(F.col("_slope"), F.col("_low")) * 100.0, F.lit(0.0)))).alias("low_slope"),
-        measure(ratio(F.col("_quiet"), F.col("_loud"))).alias("vol_dryup"),
-        *[measure(F.col(f"_{m}")).alias(f"surf_{m}") for m in ("ma_fast", "ma_mid", "ma_slow")],
-    )
+    averages = ("ma_fast", "ma_mid", "ma_slow")
+    bar = F.struct("low", "volume", "range_pct", *[gap(m).alias(m) for m in averages])
+    df = df.withColumn("_near", F.collect_list(bar).over(by_bar().rowsBetween(-(IMPULSE + cfg.max_base_len), -1)))
+    df = df.withColumn("_near", F.when(wanted, F.col("_near")))
+    n = F.col("base_len")
+    begin = F.size("_near") - n  # bars of the array before the pivot
+    leg = F.greatest(F.col("pivot_bar") - F.col("impulse_bar"), F.lit(0)) + 1
+    df = df.withColumns({"_base": F.slice("_near", begin + 1, n), "_leg": F.slice("_near", begin - leg + 2, F.when(F.col("impulse_bar") <= F.col("pivot_bar"), leg).otherwise(0))})
+    half = F.floor(n / 2).cast("int")
+    field = lambda part, c: F.filter(F.transform(part, lambda x: x[c]), lambda x: x.isNotNull())
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    avg = lambda xs: ratio(total(xs), F.size(xs).cast("double"))
+    base = F.col("_base")
+    front, back = F.slice(base, F.lit(1), half), F.slice(base, half + 1, n - half)
+    quiet = F.slice(base, F.greatest(F.lit(1), half) + 1, n)
+    df = df.withColumns({"_lows": F.filter(F.transform(base, lambda x, i: F.struct(x["low"].alias("y"), i.cast("double").alias("x"))), lambda p: p["y"].isNotNull()), "base_low": F.array_min(F.transform(F.slice(base, F.lit(2), n), lambda x: x["low"]))})
+    df = df.withColumns({"_x": avg(F.transform("_lows", lambda p: p["x"])), "_y": avg(F.transform("_lows", lambda p: p["y"]))})
+    spread = F.aggregate("_lows", F.lit(0.0), lambda a, p: a + (p["x"] - F.col("_x")) * (p["x"] - F.col("_x")))
+    joint = F.aggregate("_lows", F.lit(0.0), lambda a, p: a + (p["x"] - F.col("_x")) * (p["y"] - F.col("_y")))
+    slope = F.when(F.size("_lows") < 3, 0.0).otherwise(F.coalesce(ratio(ratio(joint, spread), F.col("_y")) * 100.0, F.lit(0.0)))
+    return df.withColumns({
+        "contraction_ratio": measure(ratio(avg(field(back, "range_pct")), avg(field(front, "range_pct")))),
+        "low_slope": F.when(wanted, measure(slope)),
+        "vol_dryup": measure(ratio(avg(field(quiet, "volume")), avg(field(F.col("_leg"), "volume")))),
+        **{f"surf_{m}": measure(avg(field(base, m))) for m in averages},
+    }).drop("_near", "_base", "_leg", "_lows", "_x", "_y")
 
 
 def breakout(annotated: DataFrame, cfg: BreakoutConfig) -> DataFrame:
@@ -105,7 +110,7 @@ def breakout(annotated: DataFrame, cfg: BreakoutConfig) -> DataFrame:
         ("base_too_long", F.col("base_len") > cfg.max_base_len),
     ]
     df = df.withColumn("_early", first_reason(*cheap))
-    df = df.join(segments(df, F.col("_early") == ""), ["symbol", "bar"], "left")
+    df = segments(df, F.col("_early") == "", cfg)
     surf = [F.col(f"surf_{m}") for m in ("ma_fast", "ma_mid", "ma_slow")]
     df = df.withColumns({
         "base_depth": measure(ratio(F.col("pivot") - F.col("base_low"), F.col("pivot"))),

@@ -42,7 +42,7 @@ daily AS (
 walk AS (
   SELECT *, 20 * exp(sum(0.9::DOUBLE * (disc - 0.05::DOUBLE) + gap0 - (SELECT avg(gap0) FROM daily)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS c FROM daily),
 opened AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol ORDER BY date), 20::DOUBLE) * exp(gap0) AS o FROM walk),
-bars AS (
+bars AS MATERIALIZED (
   SELECT symbol, date, round(o, 4) AS open, round(greatest(o, c) * (1 + tax / 2), 4) AS high, round(least(o, c) * (1 - tax / 2), 4) AS low,
          round(c, 4) AS close, q * 1e5::DOUBLE * CASE WHEN gap0 > 0 THEN 6 ELSE 1 END AS volume,
          (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1)::INTEGER AS bar
@@ -73,7 +73,7 @@ ann0 AS (
          round(close / {_lag("close", 21)} - 1, 9) AS ret_1m, round(close / {_lag("close", 63)} - 1, 9) AS ret_3m, round(close / {_lag("close", 126)} - 1, 9) AS ret_6m,
          {_mean("close", 10, 10)} AS ma_fast, {_mean("close", 20, 20)} AS ma_mid, {_mean("close", 50, 50)} AS ma_slow
   FROM bars),
-ann AS (SELECT *, {_slope("ma_mid", 20)} AS ma_mid_slope, {_slope("ma_slow", 50)} AS ma_slow_slope FROM ann0)"""
+ann AS MATERIALIZED (SELECT *, {_slope("ma_mid", 20)} AS ma_mid_slope, {_slope("ma_slow", 50)} AS ma_slow_slope FROM ann0)"""
 
 
 def _pct(x: str, by: str) -> str:
@@ -143,7 +143,7 @@ imp0 AS (SELECT symbol, bar, min(low) OVER {_win(91)} AS impulse_low FROM bars),
 imp AS (
   SELECT i.symbol, i.bar AS pivot_bar, any_value(impulse_low) AS impulse_low, min(b.bar) AS impulse_bar
   FROM imp0 i JOIN bars b ON b.symbol = i.symbol AND b.bar BETWEEN i.bar - 90 AND i.bar AND b.low = i.impulse_low GROUP BY 1, 2),
-loc AS (
+loc AS MATERIALIZED (
   SELECT t.*, pivot_bar, (t.bar - pivot_bar)::INTEGER AS base_len, impulse_low, impulse_bar, round(pivot / impulse_low - 1, 9) AS impulse_gain
   FROM top t LEFT JOIN piv USING (symbol, bar) LEFT JOIN imp USING (symbol, pivot_bar)),
 early AS (
@@ -292,7 +292,7 @@ def trades(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return O.simulate_trades(kept(spark, sf_dir, name), annotated(spark, sf_dir))
 
 
-DATES = ("date", "fill_date", "exit_date", "on", "first_date", "latest_date")
+DATES = ("date", "fill_date", "exit_date", "on", "first_date", "latest_date", "start", "end")
 
 
 def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, dates: tuple[str, ...] = ("date",)) -> None:
@@ -394,10 +394,69 @@ def _trading() -> None:
         register(f"trade_summary_{name}", lambda s, d, n=name: O.summarise(trades(s, d, n)), f"WITH RECURSIVE {_trades_sql(name)}, rs AS (SELECT outcome, CASE WHEN outcome <> 'no_trigger' THEN r_multiple END AS r FROM trades) SELECT {stats} FROM rs", dates=())
     b = _trades_sql("breakout")
     register("best_worst_trades", lambda s, d: O.best_and_worst(trades(s, d, "breakout"), 10).select(*K, "r_multiple"), f"WITH RECURSIVE {b}, t AS (SELECT *, row_number() OVER (ORDER BY r_multiple DESC, symbol, bar) AS a, row_number() OVER (ORDER BY r_multiple, symbol, bar) AS z FROM trades WHERE r_multiple IS NOT NULL) SELECT {KEY}, r_multiple FROM t WHERE a <= 10 OR z <= 10")
-    book = lambda s, d: P.replay(trades(s, d, "breakout"))
-    register("portfolio_replay", lambda s, d: book(s, d).where("kind = 'trade'").drop("kind", "seq", "open_positions", "exposure"))
-    register("equity_drawdown", lambda s, d: P.equity_curve(book(s, d)))
-    register("portfolio_stats", lambda s, d: P.account_stats(book(s, d)))
+    book = lambda s, d: P.replay(trades(s, d, "breakout").withColumn("sleeve", F.col("symbol").cast("int") % 4), account="sleeve")
+    ledger = _ledger_sql()
+    register("portfolio_replay", lambda s, d: book(s, d).where("kind = 'trade'").drop("kind", "seq", "open_positions", "exposure"), f"WITH RECURSIVE {ledger} SELECT account, symbol, setup, direction, exit_date AS date, fill_date, exit_date, days_held, shares, fill, risk_dollars, r_multiple, pnl, equity, score FROM ended", dates=("date", "fill_date", "exit_date"))
+    register("equity_drawdown", lambda s, d: P.equity_curve(book(s, d)), f"WITH RECURSIVE {ledger} SELECT * FROM curve")
+    register("portfolio_stats", lambda s, d: P.account_stats(book(s, d)), f"WITH RECURSIVE {ledger} {_STATS_SQL}", dates=("start", "end"))
+
+
+def _ledger_sql() -> str:
+    """CTEs ended (trades of the accounts), skipped and curve: events in order, one a step of a recursive query, with the open positions in a list."""
+    a = P.AccountConfig()
+    return f"""{_trades_sql("breakout")},
+fill_rows AS (
+  SELECT (symbol::INT % 4)::VARCHAR AS account, fill_date AS day, 1 AS turn, symbol, score, fill, coalesce(stop, 0) AS stop, r_multiple, direction, greatest(exit_date, fill_date) AS exit_date
+  FROM trades WHERE fill_date IS NOT NULL AND exit_date IS NOT NULL AND fill IS NOT NULL AND r_multiple IS NOT NULL),
+day_rows AS (SELECT account, fill_date AS day FROM (SELECT account, day AS fill_date FROM fill_rows UNION SELECT account, exit_date FROM fill_rows)),
+event AS (
+  SELECT *, row_number() OVER (PARTITION BY account ORDER BY day, turn, score DESC, symbol) AS k FROM (
+    SELECT account, day, turn, symbol, score, fill, stop, r_multiple, direction, exit_date FROM fill_rows
+    UNION ALL SELECT account, day, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM day_rows
+    UNION ALL SELECT account, day, 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM day_rows
+    UNION ALL SELECT DISTINCT account, DATE '9999-12-31', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM day_rows)),
+book AS (
+  SELECT DISTINCT account, 0::BIGINT AS k, {a.starting_equity}::DOUBLE AS equity, {a.starting_equity}::DOUBLE AS before,
+         []::STRUCT(symbol VARCHAR, fill_date DATE, exit_date DATE, fill DOUBLE, r_multiple DOUBLE, score DOUBLE, direction INTEGER, shares DOUBLE, risk DOUBLE)[] AS held,
+         []::STRUCT(symbol VARCHAR, fill_date DATE, exit_date DATE, fill DOUBLE, r_multiple DOUBLE, score DOUBLE, direction INTEGER, shares DOUBLE, risk DOUBLE)[] AS over, ''::VARCHAR AS what
+  FROM event
+  UNION ALL
+  SELECT account, k, equity + coalesce(list_sum(list_transform(over, lambda p: p.risk * p.r_multiple)), 0), equity,
+         CASE WHEN turn = 0 THEN staying WHEN what = 'taken' THEN list_append(held, {{'symbol': symbol, 'fill_date': day, 'exit_date': exit_date, 'fill': fill, 'r_multiple': r_multiple, 'score': score, 'direction': direction, 'shares': shares, 'risk': shares * each}}) ELSE held END,
+         over, what
+  FROM (
+    SELECT *, CASE WHEN turn <> 1 THEN '' WHEN len(held) >= {a.max_positions} THEN 'no_slot' WHEN shares <= 0 THEN 'no_capital' ELSE 'taken' END AS what
+    FROM (
+      SELECT *, trunc(greatest(0, least({a.risk_pct} * equity / each, {a.max_position_pct} * equity / fill, ({a.max_exposure_pct} * equity - invested) / fill))) AS shares
+      FROM (
+        SELECT e.*, b.equity, b.held, coalesce(list_sum(list_transform(b.held, lambda p: p.shares * p.fill)), 0) AS invested,
+               CASE WHEN abs(e.fill - e.stop) > 0 THEN abs(e.fill - e.stop) ELSE 0.05 * e.fill END AS each,
+               CASE WHEN e.turn = 0 THEN list_filter(b.held, lambda p: p.exit_date <= e.day) ELSE [] END AS over, list_filter(b.held, lambda p: p.exit_date > e.day) AS staying
+        FROM book b JOIN event e ON e.account = b.account AND e.k = b.k + 1)))),
+ended AS (
+  SELECT account, p.symbol AS symbol, 'breakout' AS setup, p.direction AS direction, p.fill_date AS fill_date, p.exit_date AS exit_date,
+         len(list_filter(generate_series(p.fill_date::TIMESTAMP, p.exit_date::TIMESTAMP - INTERVAL 1 DAY, INTERVAL 1 DAY), lambda x: isodow(x) < 6))::INTEGER AS days_held,
+         p.shares AS shares, p.fill AS fill, round(p.risk, 2) AS risk_dollars, p.r_multiple AS r_multiple, round(p.risk * p.r_multiple, 2) AS pnl,
+         round(before + list_sum(list_transform(over[1:i], lambda q: q.risk * q.r_multiple)), 2) AS equity, p.score AS score, k, i
+  FROM (SELECT account, k, before, over, unnest(range(1, len(over) + 1)) AS i, unnest(over) AS p FROM book)),
+curve AS (
+  SELECT *, round(equity / max(equity) OVER (PARTITION BY account ORDER BY date) - 1, 5) AS drawdown
+  FROM (
+    SELECT account, day AS date, round(b.equity, 2) AS equity, len(held)::INTEGER AS open_positions, round(coalesce(list_sum(list_transform(held, lambda p: p.shares * p.fill)), 0), 2) AS exposure
+    FROM book b JOIN event e USING (account, k) WHERE e.turn = 2))"""
+
+
+_STATS_SQL = f"""SELECT account, trades_taken, final_equity, win_rate, avg_r, avg_win_r, avg_loss_r, profit_factor, best_trade, worst_trade, avg_days_held, start, "end", max_drawdown, avg_open_positions, max_open_positions,
+  skipped_no_slot, skipped_no_capital, {P.AccountConfig().starting_equity}::DOUBLE AS starting_equity, round(final_equity / {P.AccountConfig().starting_equity} - 1, 4) AS total_return, round(span, 2) AS years,
+  round(CASE WHEN final_equity > 0 THEN pow(final_equity / {P.AccountConfig().starting_equity}, 1 / span) - 1 ELSE -1 END, 4) AS cagr
+FROM (
+  SELECT account, count(*) AS trades_taken, arg_max(equity, k * 1000 + i) AS final_equity, round(avg((r_multiple > 0)::INT), 3) AS win_rate, round(avg(r_multiple), 3) AS avg_r,
+    coalesce(round(avg(r_multiple) FILTER (WHERE r_multiple > 0), 2), 0) AS avg_win_r, coalesce(round(avg(r_multiple) FILTER (WHERE r_multiple <= 0), 2), 0) AS avg_loss_r,
+    round(sum(pnl) FILTER (WHERE r_multiple > 0) / nullif(abs(sum(pnl) FILTER (WHERE r_multiple <= 0)), 0), 2) AS profit_factor, max(pnl) AS best_trade, min(pnl) AS worst_trade, round(avg(days_held), 1) AS avg_days_held
+  FROM ended GROUP BY account) JOIN (
+  SELECT account, min(date) AS start, max(date) AS "end", round(min(drawdown), 4) AS max_drawdown, round(avg(open_positions), 2) AS avg_open_positions, max(open_positions) AS max_open_positions,
+    greatest((max(date) - min(date)) / 365.25, 1e-9) AS span FROM curve GROUP BY account) USING (account) JOIN (
+  SELECT account, count(*) FILTER (WHERE what = 'no_slot') AS skipped_no_slot, count(*) FILTER (WHERE what = 'no_capital') AS skipped_no_capital FROM book GROUP BY account) USING (account)"""
 
 
 def _smoothing() -> None:
