@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DataError
 from ..functions.columns import finite, ratio
 from ..functions.indicators import with_bar
 
@@ -78,7 +79,7 @@ def normalized(df: DataFrame, order: str | None = None) -> DataFrame:
     """
     df = adjusted(tidy_names(df))
     if missing := [c for c in CANONICAL if c not in df.columns]:
-        raise ValueError(f"missing columns: {missing}")
+        raise DataError(f"missing columns: {missing}")
     number = lambda c: finite(F.col(c).try_cast("double")).alias(c)
     rows = df.select(F.col("symbol").cast("string").alias("symbol"), day_of("date").alias("date"), *[number(c) for c in (*OHLC, "volume")], *([F.col(order)] if order else [])).where("date IS NOT NULL")
     if order:

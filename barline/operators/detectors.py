@@ -259,7 +259,7 @@ class Setup:
     states: tuple[str, ...]
 
     def config(self, preset: str = "default", **changes) -> SetupConfig:
-        return self.presets[preset].with_overrides(**changes)
+        return config.settings(self.presets[preset], changes)
 
     def scan(self, bars: DataFrame, cfg: SetupConfig | None = None, keep_rejects: bool = False, rs: bool = False) -> DataFrame:
         """Detector rows of all bars (or only those that pass)."""

@@ -3,74 +3,117 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bars as B
 
 OVERLAP_BARS = 10
 MANIFEST = "symbol string, first_date date, last_date date, rows long, failures int, last_failure date, last_error string, last_readjust date, last_check date"
+BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
 FAILURES, BENCH_DAYS = 3, 7
+#: Action tables of past updates that are kept.
+UPDATES = 10
 
 
 class PriceStore:
-    """Bars under root/prices (partitioned by year) and root/manifest.
+    """Bars under root/prices (partitioned by year) and versions of the manifest under root/manifest.
 
-    An update stages its rows before it replaces the years they touch, so a failed write
-    leaves the old years whole and a retry finds the staged ones.
+    An update reads only the years it touches and stages their new rows before it replaces
+    them, so a failed write leaves the old years whole. A manifest is a new folder beside the
+    last one and counts once it is complete; if it cannot be read, the one before it is.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _files(self, path: str):
+        """The path and its file system, for listing and deleting."""
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._files(path)
+        return fs.exists(p)
+
+    def _names(self, path: str) -> list[str]:
+        p, fs = self._files(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _remove(self, path: str) -> None:
+        p, fs = self._files(path)
+        fs.delete(p, True)
+
+    @contextmanager
+    def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a table and reads it back; the tables go when the block ends."""
+        folder = f"{self.root}/staging/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            self._remove(folder)
 
     def load(self, start: str | None = None, end: str | None = None) -> DataFrame:
         """Bars; a date range prunes to its years and is pushed to the files."""
-        if not self._exists(f"{self.root}/prices"):
-            return self.spark.createDataFrame([], "symbol string, date date, open double, high double, low double, close double, volume double")
-        df = self.spark.read.parquet(f"{self.root}/prices")
+        df = self._prices()
         for bound, side in ((start, "ge"), (end, "le")):
             if bound:
                 day = F.lit(bound).cast("date")
                 df = df.where((F.col("date") >= day) & (F.col("year") >= F.year(day)) if side == "ge" else (F.col("date") <= day) & (F.col("year") <= F.year(day)))
         return df.select(*B.CANONICAL)
 
-    def manifest(self) -> DataFrame:
-        if not self._exists(f"{self.root}/manifest"):
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+    def _prices(self, years: list[int] | None = None) -> DataFrame:
+        """Bars with year; of some years, which prunes to their folders."""
+        if not self._exists(f"{self.root}/prices"):
+            return self.spark.createDataFrame([], f"{BARS}, year int")
+        df = self.spark.read.parquet(f"{self.root}/prices")
+        return df if years is None else df.where(F.col("year").isin(years) if years else F.lit(False))
 
-    def _staged(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/staging/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+    def manifest(self) -> DataFrame:
+        for name in reversed(self._names(f"{self.root}/manifest")):
+            path = f"{self.root}/manifest/{name}"
+            if not self._exists(f"{path}/_SUCCESS"):
+                continue
+            try:
+                df = self.spark.read.schema(MANIFEST).parquet(path)
+                df.count()  # reads the footers
+                df.foreach(lambda _: None)
+                return df
+            except Exception:  # damaged: the version before it counts
+                continue
+        return self.spark.createDataFrame([], MANIFEST)
 
     def replace(self, rows: DataFrame) -> None:
-        """Write rows over the years they touch."""
-        staged = self._staged(rows.select(*B.CANONICAL).withColumns({c: F.round(c, 6) for c in B.OHLC}).withColumn("year", F.year("date")))
-        staged.repartition("year").sortWithinPartitions("symbol", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{self.root}/prices")
+        """Write rows over the years they touch; a year's symbols are spread over files by ranges."""
+        out = rows.select(*B.CANONICAL).withColumns({c: F.round(c, 6) for c in B.OHLC}).withColumn("year", F.year("date"))
+        with self.staging() as stage:
+            ranged = stage(out).repartitionByRange("year", "symbol").sortWithinPartitions("year", "symbol", "date")
+            ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{self.root}/prices")
 
     def wanted(self, symbols: DataFrame, today: str, force: bool = False) -> DataFrame:
         """symbol, start: what to ask a provider for; benched symbols are left out, the last bars asked for again."""
-        m = self.manifest()
-        benched = (F.col("failures") >= FAILURES) & (F.datediff(F.lit(today), "last_failure") < BENCH_DAYS)
-        both = symbols.select("symbol").join(m, "symbol", "left")
+        both = symbols.select("symbol").join(self.manifest(), "symbol", "left")
         if not force:
-            both = both.where(~F.coalesce(benched, F.lit(False)))
+            both = both.where(~benched(today))
         from_ = F.date_sub("last_date", OVERLAP_BARS * 7 // 5 + 4)
         return both.where(F.col("last_date").isNull() | (F.col("last_date") < F.lit(today).cast("date"))).select("symbol", from_.alias("start"))
 
     def actions(self, fresh: DataFrame) -> DataFrame:
-        """symbol, action (created, appended, readjusted, unchanged), new_rows for fresh bars."""
-        old = self.load()
-        have = old.groupBy("symbol").agg(F.count(F.lit(1)).alias("had"))
+        """symbol, action (created, appended, readjusted, unchanged), new_rows for fresh bars; reads the years of fresh."""
+        old = self._prices(_years(fresh))
+        known = self.manifest().where("rows IS NOT NULL").select("symbol").union(old.select("symbol")).distinct().withColumn("had", F.lit(True))
         new = fresh.join(old.select("symbol", "date"), ["symbol", "date"], "left_anti").groupBy("symbol").agg(F.count(F.lit(1)).alias("new_rows"))
         moved = B.drift(old, fresh).select("symbol", "readjusted")
-        df = fresh.select("symbol").distinct().join(have, "symbol", "left").join(new, "symbol", "left").join(moved, "symbol", "left")
+        df = fresh.select("symbol").distinct().join(known, "symbol", "left").join(new, "symbol", "left").join(moved, "symbol", "left")
         n = F.coalesce("new_rows", F.lit(0))
         action = F.when(F.col("had").isNull(), "created").when(F.col("readjusted"), "readjusted").when(n > 0, "appended").otherwise("unchanged")
         return df.select("symbol", action.alias("action"), n.alias("new_rows"))
@@ -80,62 +123,78 @@ class PriceStore:
 
         Returns symbol, action, new_rows, with action `failed` for the failed ones.
         """
-        fresh = self._staged(fresh.select(*B.CANONICAL))
-        done = self._staged(self.actions(fresh))
-        rewritten = done.where("action = 'readjusted'").select("symbol")
-        news = fresh.join(done.where("action IN ('created', 'appended')").select("symbol"), "symbol", "left_semi")
-        whole = (full if full is not None else fresh).join(rewritten, "symbol", "left_semi")
-        old = self.load().join(rewritten, "symbol", "left_anti") if full is not None else self.load()
-        rows = self._staged(B.upsert(old, news.unionByName(whole.select(*B.CANONICAL))))
-        years = news.unionByName(whole.select(*B.CANONICAL)).select(F.year("date").alias("year")).distinct()
-        if full is not None:
-            years = years.union(self.load().join(rewritten, "symbol", "left_semi").select(F.year("date"))).distinct()
-        touched = rows.withColumn("year", F.year("date")).join(F.broadcast(years), "year", "left_semi")
-        if not news.isEmpty() or not rewritten.isEmpty():
-            self.replace(touched)
-        self._record(done, today, failed)
-        out = done.select("symbol", "action", "new_rows")
-        return out if failed is None else out.unionByName(failed.select("symbol", F.lit("failed").alias("action"), F.lit(0).cast("long").alias("new_rows")))
+        with self.staging() as stage:
+            fresh = stage(fresh.select(*B.CANONICAL))
+            done = stage(self.actions(fresh))
+            rewritten = done.where("action = 'readjusted'").select("symbol")
+            news = fresh.join(done.where("action IN ('created', 'appended')").select("symbol"), "symbol", "left_semi")
+            whole = (full if full is not None else fresh).join(rewritten, "symbol", "left_semi").select(*B.CANONICAL)
+            incoming = stage(news.unionByName(whole))
+            years = _years(incoming)
+            if full is not None:  # years in which the old history leaves as well
+                kept = self.manifest().join(rewritten, "symbol", "left_semi").select(F.explode(F.sequence(F.year("first_date"), F.year("last_date"))).alias("year"))
+                years = sorted({*years, *(r["year"] for r in kept.distinct().collect())})
+            if years:
+                old = self._prices(years)
+                old = old.join(rewritten, "symbol", "left_anti") if full is not None else old
+                self.replace(B.upsert(old, incoming))
+            self._record(done, today, failed)
+            log = f"{self.root}/updates/{len(self._names(f'{self.root}/updates')):09d}-{uuid.uuid4().hex[:8]}"
+            out = done.select("symbol", "action", "new_rows")
+            gone = None if failed is None else failed.select("symbol", F.lit("failed").alias("action"), F.lit(0).cast("long").alias("new_rows"))
+            (out if gone is None else out.unionByName(gone)).write.parquet(log)
+        for name in self._names(f"{self.root}/updates")[:-UPDATES]:
+            self._remove(f"{self.root}/updates/{name}")
+        return self.spark.read.parquet(log)
 
     def _record(self, done: DataFrame, today: str, failed: DataFrame | None) -> None:
+        """The next version of the manifest; only symbols with news are counted again."""
         day = F.lit(today).cast("date")
-        span = self.load().groupBy("symbol").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("rows"))
+        changed = done.where("action <> 'unchanged'").select("symbol")
+        span = self._prices().join(changed, "symbol", "left_semi").groupBy("symbol").agg(F.min("date").alias("_first"), F.max("date").alias("_last"), F.count(F.lit(1)).alias("_rows"))
         bad = failed.groupBy("symbol").agg(F.first("error").alias("error")) if failed is not None else self.spark.createDataFrame([], "symbol string, error string")
-        m = self.manifest().drop("first_date", "last_date", "rows")
-        both = span.join(m, "symbol", "full").join(done.select("symbol", "action"), "symbol", "left").join(bad, "symbol", "full")
+        both = self.manifest().join(span, "symbol", "full").join(done.select("symbol", "action"), "symbol", "full").join(bad, "symbol", "full")
         failing, seen = F.col("error").isNotNull(), F.col("action").isNotNull()
         keep = lambda test, new, name: F.when(test, new).otherwise(F.col(name)).alias(name)
         out = both.select(
-            "symbol", "first_date", "last_date", "rows",
+            "symbol", F.coalesce("_first", "first_date").alias("first_date"), F.coalesce("_last", "last_date").alias("last_date"), F.coalesce("_rows", "rows").alias("rows"),
             F.when(failing, F.coalesce("failures", F.lit(0)) + 1).when(seen, 0).otherwise(F.coalesce("failures", F.lit(0))).cast("int").alias("failures"),
             keep(failing, day, "last_failure"), keep(failing, F.col("error"), "last_error"), keep(F.col("action") == "readjusted", day, "last_readjust"), keep(seen | failing, day, "last_check"),
         )
-        self._staged(out).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest")
+        have = self._names(f"{self.root}/manifest")
+        turn = int(have[-1].split("-")[0]) + 1 if have else 0
+        out.coalesce(1).write.parquet(f"{self.root}/manifest/{turn:09d}-{uuid.uuid4().hex[:8]}")
+        for name in have[:-1]:  # the new version and the one before it stay
+            self._remove(f"{self.root}/manifest/{name}")
 
     def coverage(self) -> DataFrame:
         m = self.manifest()
         return m.agg(F.count("rows").alias("symbols_on_disk"), F.count(F.lit(1)).alias("symbols_tracked"), F.count_if((F.col("failures") < FAILURES) & F.col("rows").isNotNull()).alias("symbols_healthy"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"), F.max("last_date").alias("latest_date"))
 
 
+def benched(today: str):
+    """Whether a symbol of the manifest has failed so often of late that it is left alone for some days."""
+    return F.coalesce((F.col("failures") >= FAILURES) & (F.datediff(F.lit(today), "last_failure") < BENCH_DAYS), F.lit(False))
+
+
+def _years(df: DataFrame) -> list[int]:
+    """The calendar years of some bars: a short list."""
+    return sorted(r["year"] for r in df.select(F.year("date").alias("year")).where("year IS NOT NULL").distinct().collect())
+
+
 def counters(actions: DataFrame) -> DataFrame:
     """action, symbols, new_rows."""
     return actions.groupBy("action").agg(F.count(F.lit(1)).alias("symbols"), F.sum("new_rows").alias("new_rows"))
 
 
 def health(coverage: dict, actions: dict[str, int], today, max_failure_ratio: float = 0.5, max_stale_days: int = 5) -> list[str]:
-    """What is wrong with the database, in words."""
-    problems, checked = [], sum(actions.values())
-    failed = actions.get("failed", 0)
-    if checked and failed / checked > max_failure_ratio:
-        problems.append(f"{failed}/{checked} fetches failed ({failed / checked:.0%} > {max_failure_ratio:.0%} allowed)")
-    latest = coverage.get("latest_date")
-    if latest is None:
-        problems.append("price database is empty")
-    elif (today - latest).days > max_stale_days:
-        problems.append(f"newest bar is {latest} ({(today - latest).days} days old)")
-    return problems
-
-
-def samples(failed: DataFrame, n: int = 5) -> Column:
-    """The first n errors as an array column of one aggregate."""
-    return F.slice(F.array_sort(F.collect_set(F.struct("symbol", "error"))), 1, n)
+    """What is wrong with the database, in words: checks of a measured value against the most that is allowed."""
+    asked, latest = sum(actions.values()), coverage.get("latest_date")
+    share = actions.get("failed", 0) / asked if asked else 0.0
+    age = (today - latest).days if latest else 0
+    checks = (
+        (not latest, True, "no bars are stored"),
+        (share, max_failure_ratio, f"{actions.get('failed', 0)} of {asked} fetches failed, more than {max_failure_ratio:.0%}"),
+        (age, max_stale_days, f"the last bar, of {latest}, is {age} days old, more than {max_stale_days}"),
+    )
+    return [words for value, most, words in checks if (value is most if isinstance(most, bool) else value > most)]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import measure, ratio
 from .bars import last_bars
 
-RETURNS = ("ret_1m", "ret_3m", "ret_6m")
+RETURNS, RANKS = ("ret_1m", "ret_3m", "ret_6m"), ("rank_1m", "rank_3m", "rank_6m")
+#: Cells a radian, into which the ranks of a whole universe are counted.
+CELLS = 2000
 
 
 def percent_rank_of(c: str, *by: str) -> Column:
@@ -19,23 +21,44 @@ def percent_rank_of(c: str, *by: str) -> Column:
     return F.when(F.col(c).isNotNull(), rank * 100.0 / F.count(c).over(group))
 
 
-def composite_rank(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), by: str = "date") -> DataFrame:
-    """df with rank_1m, rank_3m, rank_6m and rs_rank; a missing horizon's weight goes to the others."""
-    ranks = [f"rank_{c.removeprefix('ret_')}" for c in RETURNS]
-    df = df.withColumns({r: percent_rank_of(c, by) for r, c in zip(ranks, RETURNS, strict=True)})
-    some = F.lit(0.0)
-    total = F.lit(0.0)
-    for r, w in zip(ranks, weights, strict=True):
+def percent_rank_of_all(df: DataFrame, c: str, name: str, scale: float = 1.0) -> DataFrame:
+    """df with percent_rank_of c among all its rows, without bringing them together.
+
+    Values fall into at most 3.2 * CELLS cells in their order; a row's rank is the count of the
+    cells before its own (a table of that bounded size) and its rank inside the cell.
+    """
+    cell = F.floor(F.atan(F.col(c) / scale) * CELLS)
+    df = df.withColumn("_cell", F.coalesce(cell, F.lit(-(10**9)) - F.pmod(F.xxhash64("symbol"), F.lit(1000))))
+    cells = df.where(F.col(c).isNotNull()).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.select("_cell", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    rank = F.rank().over(Window.partitionBy("_cell").orderBy(c)) + (F.count(c).over(Window.partitionBy("_cell", c)) - 1) / 2
+    out = df.join(F.broadcast(cells), "_cell", "left").withColumn(name, F.when(F.col(c).isNotNull(), (F.col("_before") + rank) * 100.0 / F.col("_total")))
+    return out.drop("_cell", "_before", "_total")
+
+
+def _blended(df: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """df with _blend of its ranks; a missing horizon's weight goes to the others."""
+    some = total = F.lit(0.0)
+    for r, w in zip(RANKS, weights, strict=True):
         some = some + F.coalesce(F.col(r), F.lit(0.0)) * w
         total = total + F.when(F.col(r).isNotNull(), w).otherwise(0.0)
-    df = df.withColumn("_blend", measure(ratio(some, total)))
-    shown = {r: measure(F.col(r)) for r in ranks}
+    return df.withColumn("_blend", measure(ratio(some, total)))
+
+
+def composite_rank(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), by: str = "date") -> DataFrame:
+    """df with rank_1m, rank_3m, rank_6m and rs_rank among the rows of a date."""
+    df = _blended(df.withColumns({r: percent_rank_of(c, by) for r, c in zip(RANKS, RETURNS, strict=True)}), weights)
+    shown = {r: measure(F.col(r)) for r in RANKS}
     return df.withColumns({**shown, "rs_rank": measure(percent_rank_of("_blend", by))}).drop("_blend")
 
 
 def latest_ranks(annotated: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), common_date: bool = True) -> DataFrame:
     """Ranks on each symbol's newest bar; with common_date only symbols that have the universe's newest date."""
-    last = last_bars(annotated)
+    df = last_bars(annotated)
     if common_date:
-        last = last.join(F.broadcast(last.agg(F.max("date").alias("date"))), "date")
-    return composite_rank(last.withColumn("_all", F.lit(0)), weights, "_all").drop("_all")
+        df = df.join(F.broadcast(df.agg(F.max("date").alias("date"))), "date")
+    for r, c in zip(RANKS, RETURNS, strict=True):
+        df = percent_rank_of_all(df, c, r)
+    df = percent_rank_of_all(_blended(df, weights), "_blend", "rs_rank", 100.0)
+    return df.withColumns({r: measure(F.col(r)) for r in (*RANKS, "rs_rank")}).drop("_blend")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indicators import annotate
+from ..functions.indicators import annotate, with_bar
 from ..operators import bars as B
 from ..operators import outcomes as O
 from ..operators import portfolio as P
 from ..operators.detectors import SETUPS, Setup
 from ..operators.strength import composite_rank, latest_ranks
-from .config import AccountConfig, SetupConfig, TradeRules
+from .config import AccountConfig, SetupConfig, TradeRules, settings
 
 #: Fewest bars of a symbol for a scan of the newest bar and for a sweep.
 SCAN_BARS, SWEEP_BARS = 140, 200
@@ -42,6 +42,8 @@ def scan(bars: DataFrame, setup: str | Setup, cfg: SetupConfig | None = None, as
         near = near.drop("bar", "history")
     ann = annotate(near, cfg)
     ranks = latest_ranks(ann, cfg.rs_weights).select("symbol", "rs_rank")
+    if cfg.min_rs_rank is not None and len(ranks.where("rs_rank IS NOT NULL").take(2)) < 2:
+        cfg = settings(cfg, {"min_rs_rank": None})  # too few symbols to rank: the gate is off
     if shift is not None:
         ann = ann.join(shift, "symbol").withColumn("bar", F.col("bar") + F.col("first_bar")).drop("first_bar")
     ann = ann.join(ranks, "symbol", "left")
@@ -85,8 +87,7 @@ def explain(bars: DataFrame, setup: str | Setup, symbol: str, on: str | None = N
 
 
 def around(bars: DataFrame, signals: DataFrame, before: int = 90, after: int = 45) -> DataFrame:
-    """The bars around each signal (for charts), with `at`, the signal's bar."""
-    from ..functions.indicators import with_bar
-
+    """The bars around each signal (for charts), with `at`, the signal's bar; bars may have their positions already."""
+    have = bars if "bar" in bars.columns else with_bar(bars)
     span = signals.select("symbol", F.col("bar").alias("at"), F.explode(F.sequence(F.col("bar") - before, F.col("bar") + after)).alias("bar"))
-    return span.join(with_bar(bars), ["symbol", "bar"])
+    return span.join(have, ["symbol", "bar"])

@@ -15,6 +15,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..errors import DataError
+
 Bar = tuple[date, float, float, float, float, float]
 SCHEMA = "symbol string, date date, open double, high double, low double, close double, volume double, error string"
 
@@ -134,7 +136,7 @@ class PriceBars(DataSource):
 def fetch(spark: SparkSession, provider: str, symbols: list[str], start: date, end: date, **options) -> tuple[DataFrame, DataFrame]:
     """Bars, and the symbols that failed (symbol, error)."""
     if provider not in PROVIDERS:
-        raise ValueError(f"unknown provider {provider!r}; there are {sorted(PROVIDERS)}")
+        raise DataError(f"unknown provider {provider!r}; there are {sorted(PROVIDERS)}")
     spark.dataSource.register(PriceBars)
     given = {"provider": provider, "symbols": ",".join(symbols), "start": str(start), "end": str(end)} | {k: str(v) for k, v in options.items()}
     got = spark.read.format("price_bars").options(**given).load()

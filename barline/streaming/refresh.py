@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.bars import keep_last
-from ..operators.store import PriceStore
-
-BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
+from ..operators.bars import CANONICAL, keep_last
+from ..operators.store import BARS, PriceStore, benched
 
 
 def bar_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    """Parquet bars that are dropped into folder."""
-    return spark.readStream.schema(BARS).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    """Parquet bars that are dropped into folder, with `arrived`: when and in which file."""
+    files = spark.readStream.schema(BARS).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    return files.select("*", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("arrived"))
+
 
+def refresh(stream: DataFrame, store: PriceStore, today: str, checkpoint: str, history: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Merge each micro-batch; of two bars of a day that of the later file stays, so a batch that is run again writes the same rows.
 
-def refresh(stream: DataFrame, store: PriceStore, today: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch; a batch that is run again writes the same rows."""
+    Bars of benched symbols are passed over until their time is up. A symbol whose prices a
+    batch has rewritten gets its whole history from `history` (symbols -> bars), if given.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            store.update(keep_last(batch.withColumn("ord", F.monotonically_increasing_id())).drop("ord"), today)
+        if batch.isEmpty():
+            return
+        order = [F.col("arrived"), F.monotonically_increasing_id()] if "arrived" in batch.columns else [F.monotonically_increasing_id()]
+        resting = store.manifest().where(benched(today)).select("symbol")
+        with store.staging() as stage:
+            rows = stage(keep_last(batch.withColumn("ord", F.struct(*order)), "ord").join(resting, "symbol", "left_anti").select(*CANONICAL))
+            moved = store.actions(rows).where("action = 'readjusted'").select("symbol") if history else None
+            full = stage(history(moved).select(*CANONICAL)) if moved is not None and not moved.isEmpty() else None
+            store.update(rows, today, full=full)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -315,11 +315,29 @@ def test_drift_tolerates_noise(spark):
 
 
 def test_health():
-    assert health({"latest_date": None}, {}, date(2024, 1, 9)) == ["price database is empty"]
+    assert health({"latest_date": None}, {}, date(2024, 1, 9)) == ["no bars are stored"]
     assert len(health({"latest_date": date(2024, 1, 1)}, {"failed": 6, "appended": 4}, date(2024, 1, 9))) == 2
     assert health({"latest_date": date(2024, 1, 8)}, {"failed": 1, "appended": 9}, date(2024, 1, 9)) == []
 
 
+def test_store_leaves_no_staging_and_survives_a_damaged_manifest(spark, tmp_path):
+    store = PriceStore(spark, str(tmp_path / "db"))
+    a = series("A", line(10, 20, 300))
+    store.update(frame(spark, a[:200]), "2021-12-01")
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices" / "year=2021").glob("*.parquet")}
+    store.update(frame(spark, a[270:]), "2022-03-01")  # bars of 2022 only
+    assert untouched == {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices" / "year=2021").glob("*.parquet")}
+    assert not list((tmp_path / "db" / "staging").iterdir()) and store.load().count() == 230
+    versions = sorted((tmp_path / "db" / "manifest").iterdir())
+    assert len(versions) == 2 and store.manifest().first()["rows"] == 230
+    for f in versions[-1].glob("*.parquet"):
+        f.write_bytes(b"broken")
+        f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    assert store.manifest().first()["rows"] == 200
+    (versions[0] / "_SUCCESS").unlink()
+    assert store.manifest().count() == 0
+
+
 def test_streaming_refresh_and_cooldown(spark, tmp_path):
     a = series("A", line(10, 20, 60))
     for i in range(3):
@@ -336,6 +354,39 @@ def test_streaming_refresh_and_cooldown(spark, tmp_path):
     assert weekly(stream).isStreaming
 
 
+def test_streaming_refetches_rewritten_histories_and_rests_benched_symbols(spark, tmp_path):
+    a = series("A", line(10, 20, 60))
+    half = [(s, d, o / 2, h / 2, lo / 2, c / 2, v) for s, d, o, h, lo, c, v in a]
+    store = PriceStore(spark, str(tmp_path / "db"))
+    store.update(frame(spark, a[:50]), "2021-06-01")
+    failed = spark.createDataFrame([("Z", "boom")], "symbol string, error string")
+    for day in ("2021-06-02", "2021-06-03", "2021-06-04"):
+        store.update(frame(spark, a[40:50]), day, failed)
+    frame(spark, half[45:] + series("Z", line(1, 2, 20))).coalesce(1).write.parquet(str(tmp_path / "in" / "p0"))
+    asked = []
+
+    def history(symbols):
+        asked.extend(r["symbol"] for r in symbols.collect())
+        return frame(spark, half)
+
+    refresh(bar_stream(spark, str(tmp_path / "in" / "*")), store, "2021-06-05", str(tmp_path / "cp"), history).awaitTermination()
+    assert asked == ["A"] and store.load().count() == 60 and store.load().agg(F.max("close")).first()[0] <= 10
+
+
+def test_the_later_file_wins_in_a_stream(spark, tmp_path):
+    import os
+
+    a = series("A", line(10, 20, 5))
+    later = [(s, d, o * 1.0001, h * 1.0001, lo * 1.0001, c * 1.0001, 7.0) for s, d, o, h, lo, c, v in a]
+    for name, rows, age in (("p0", later, 0), ("p1", a, 1000)):  # the file listed last is the older one
+        frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        for f in (tmp_path / "in" / name).glob("*.parquet"):
+            os.utime(f, (f.stat().st_mtime - age, f.stat().st_mtime - age))
+    store = PriceStore(spark, str(tmp_path / "db"))
+    refresh(bar_stream(spark, str(tmp_path / "in" / "*")), store, "2021-06-01", str(tmp_path / "cp")).awaitTermination()
+    assert {r["volume"] for r in store.load().collect()} == {7.0}
+
+
 def test_page_is_self_contained_and_escaped(spark):
     df = spark.createDataFrame([("<A&B>", "setup", 71.25, 0.051), ("C", "breakout", None, None)], "symbol string, state string, score double, risk_pct double")
     html = report.page(df, ["symbol", "state", "score", "risk_pct", "absent"], "T <x>", coverage={"symbols_healthy": 3, "total_rows": 1000}, problems=["bad & old"])
@@ -343,15 +394,136 @@ def test_page_is_self_contained_and_escaped(spark):
 
 
 def test_settings():
-    assert TradeRules.from_dict({"max_hold": 5, "other": 1}).max_hold == 5
-    with pytest.raises(ValueError, match="nope"):
-        BreakoutConfig().with_overrides(nope=1)
+    from barline.cli import chosen, parser, years_before
+    from barline.plans.config import settings
+
+    assert settings(TradeRules, {"max_hold": 5, "other": 1}, lenient=True).max_hold == 5
+    for bad in ({"nope": 1}, {"min_price": "five"}, {"require_ma_stack": 1}, {"move_lookbacks": 3}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            settings(BreakoutConfig(), bad)
+    assert settings(BreakoutConfig(), {"move_lookbacks": [[21, 0.5]], "min_rs_rank": 90}).move_lookbacks == ((21, 0.5),)
     with pytest.raises(ValueError):
         setup("nope")
-    from barline.cli import parser, settings, years_before
-
     a = parser().parse_args(["scan", "--setup", "ep", "--min-price", "7", "--max-base-len", "9", "--set", "min_gap=0.3"])
-    assert (settings(a).min_price, settings(a).min_gap) == (7.0, 0.3) and years_before(date(2024, 2, 29), 1) == date(2023, 2, 28)
+    assert (chosen(a).min_price, chosen(a).min_gap) == (7.0, 0.3) and years_before(date(2024, 2, 29), 1) == date(2023, 2, 28)
+
+
+def csvs(folder, rows, end=None):
+    """A TICKER.csv for each symbol of rows, moved so that the last bar is at `end`."""
+    folder.mkdir(parents=True, exist_ok=True)
+    for symbol in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == symbol]
+        shift = (end or date.today()) - own[-1][1]
+        lines = ["Date,Open,High,Low,Close,Volume", *(f"{r[1] + shift},{','.join(f'{x:.4f}' for x in r[2:])}" for r in own)]
+        (folder / f"{symbol}.csv").write_text("\n".join(lines))
+
+
+def run_cli(capsys, *args):
+    import json
+
+    from barline.cli import main
+
+    capsys.readouterr()
+    code = main(list(args))
+    said = capsys.readouterr()
+    told = [x for x in said.out.splitlines() if x.startswith("{")]
+    return code, json.loads(told[-1]) if told else {}, said.err
+
+
+def test_daily_refreshes_scans_draws_and_reports(spark, tmp_path, capsys):
+    rows = coiled() + coiled("BRK", 34.3) + series("DOWN", line(60, 22, 200))
+    csvs(tmp_path / "csv", rows)
+    base = ["daily", "--csv-dir", str(tmp_path / "csv"), "--repo", str(tmp_path / "db"), "--out", str(tmp_path / "out"), "--universe", "COIL,BRK,DOWN"]
+    code, told, _ = run_cli(capsys, *base, "--charts", "3", "--contact-sheet")
+    assert code == 0 and told["problems"] == [] and told["universe"] == 3 and told["actions"] == {"created": 3} and told["elapsed_sec"] > 0
+    pictures = list((tmp_path / "out" / "charts").rglob("*_*-*.svg"))
+    assert told["charts"] == len(pictures) == told["candidates"] >= 1 and (pictures[0].parent / "contact_sheet.svg").is_file()
+    page = open(told["report"]).read()
+    assert "data:image/svg+xml;base64," in page and page == open(told["latest"]).read()
+    found = {r["symbol"] for r in spark.read.option("header", True).csv(told["csv"]).collect()}
+    assert "DOWN" not in found and found <= {"COIL", "BRK"}
+    code, told, _ = run_cli(capsys, *base, "--skip-update", "--min-score", "99.9")
+    assert (code, told["candidates"]) == (0, 0) and "No candidates passed the filters" in open(told["report"]).read()
+    csvs(tmp_path / "old", rows, date.today() - timedelta(days=30))
+    stale = ["daily", "--csv-dir", str(tmp_path / "old"), "--repo", str(tmp_path / "db2"), "--out", str(tmp_path / "out2"), "--universe", "COIL,BRK,NONE1,NONE2,NONE3"]
+    code, told, _ = run_cli(capsys, *stale)
+    assert code == 1 and len(told["problems"]) == 2 and any("days old" in p for p in told["problems"]) and any("fetches failed" in p for p in told["problems"])
+
+
+def test_commands_and_their_exit_codes(spark, tmp_path, capsys):
+    csvs(tmp_path / "csv", coiled() + coiled("BRK", 34.3))
+    folder = ["--csv-dir", str(tmp_path / "csv"), "--out", str(tmp_path / "out")]
+    code, told, _ = run_cli(capsys, "scan", *folder, "--charts", "1", "--preset", "relaxed")
+    assert code == 0 and told["charts"] == 1 and date.today().isoformat() in told["csv"]
+    code, told, _ = run_cli(capsys, "scan", *folder, "--universe", "BRK", "--preset", "strict")  # one symbol: no strength to rank
+    assert code == 0
+    code, told, _ = run_cli(capsys, "backtest", *folder, "--charts", "2", "--years", "1", "--set", "max_base_len=59")
+    assert code == 0 and list((tmp_path / "out").glob("equity_*.svg")) or told["signals"] == 0
+    code, told, _ = run_cli(capsys, "explain", *folder, "--symbol", "brk", "--chart")
+    assert code == 0 and told["symbol"] == "BRK" and list((tmp_path / "out" / "charts").glob("BRK_*.svg"))
+    for bad in (["explain", *folder, "--symbol", "NONE"], ["scan", "--out", str(tmp_path)], ["scan", *folder, "--set", "nope=1"], ["daily", *folder]):
+        code, _, err = run_cli(capsys, *bad)
+        assert code == 2 and err.strip().splitlines()[-1].startswith("data error: ")
+
+
+def test_headers_of_their_own(spark, tmp_path):
+    at = tmp_path / "csv"
+    at.mkdir()
+    (at / "0BROKEN.csv").write_text("date,foo,bar\n2024-01-02,1,2\n")
+    (at / "PLAIN.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,50,52,49,51,10\n")
+    (at / "OTHER.csv").write_text("\ufeff\"Date\",Close,Open,High,Low,Volume,Dividends\r\n2024-01-02,50,51,52,49,7,0\r\n2024-01-02,50.5,51,52,49,8,0\r\n")
+    (at / "ADJ.csv").write_text(" Volume , Adj Close ,LOW,HIGH,OPEN,CLOSE,timestamp\n100,5,8,12,10,10,2024-01-02\n")
+    (at / "ONLYADJ.csv").write_text("When,open,high,low,adj_close,volume\n2024-01-02,5,6,4,5.5,100\n")
+    (at / "EMPTY.csv").write_text("date,open,high,low,close,volume\n")
+    (at / "NOTHING.csv").write_text("")
+    bars, left_out = files.csv_folder(spark, str(at))
+    got = {r["symbol"]: tuple(r)[2:] for r in bars.collect()}
+    assert got == {"PLAIN": (50, 52, 49, 51, 10), "OTHER": (51, 52, 49, 50.5, 8), "ADJ": (5, 6, 4, 5, 100), "ONLYADJ": (5, 6, 4, 5.5, 100)}
+    told = {r["file"]: r["problem"] for r in left_out.collect()}
+    assert set(told) == {"0BROKEN.csv", "EMPTY.csv"} and "volume" in told["0BROKEN.csv"]
+
+
+def test_cache_keeps_fresh_bars_and_falls_back_on_stale_ones(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timezone
+
+    from barline.sources import cache
+
+    calls, bad = [], set()
+
+    def fetch(spark, provider, symbols, start, end, **how):
+        calls.append(sorted(symbols))
+        rows = [r for s in symbols if s not in bad for r in series(s, line(10, 20, 30))]
+        return frame(spark, rows), spark.createDataFrame([(s, "down") for s in symbols if s in bad], "symbol string, error string")
+
+    monkeypatch.setattr(cache.providers, "fetch", fetch)
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    store = cache.CachedBars(spark, str(tmp_path), "stooq")
+    window = (date(2021, 1, 1), date(2021, 1, 15))
+    bars, failed = store.get(["A", "b"], *window, now=at)
+    assert bars.groupBy("symbol").count().count() == 2 and bars.count() == 20 and failed.isEmpty() and calls == [["A", "B"]]
+    store.get(["A", "C"], *window, now=at + timedelta(hours=1))
+    assert calls[1:] == [["C"]]
+    bad |= {"A", "D"}
+    heard = []
+    bars, failed = store.get(["A", "B", "D"], *window, now=at + timedelta(hours=13), on_error=lambda s, e: heard.append((s, e)))
+    assert calls[2] == ["A", "B", "D"] and sorted(heard) == [("A", "down"), ("D", "down")]
+    assert {r["symbol"] for r in bars.collect()} == {"A", "B"} and [tuple(r) for r in failed.collect()] == [("D", "down")]
+    store.get(["B"], *window, now=at + timedelta(hours=13), refresh=True)
+    assert calls[3] == ["B"]
+    offline = cache.CachedBars(spark, str(tmp_path), "stooq", offline=True)
+    bars, failed = offline.get(["A", "E"], *window, now=at + timedelta(days=9))
+    assert bars.count() == 10 and failed.first()["symbol"] == "E" and len(calls) == 4
+    with pytest.raises(ValueError, match="nobody"):
+        cache.CachedBars(spark, str(tmp_path), "nobody")
+
+
+def test_ranks_of_a_whole_universe_equal_those_of_one_window(spark):
+    from barline.operators.strength import percent_rank_of, percent_rank_of_all
+
+    values = [None, None, 0.1, 0.1, -0.9, 3.5, 0.1000001, 80.0, -0.2, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "symbol string, v double")
+    one = {r["symbol"]: r["p"] for r in df.withColumn("_all", F.lit(0)).withColumn("p", percent_rank_of("v", "_all")).collect()}
+    assert {r["symbol"]: r["p"] for r in percent_rank_of_all(df, "v", "p").collect()} == one
 
 
 def test_plans_end_to_end(market):
