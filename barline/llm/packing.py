@@ -2,9 +2,11 @@
 
 Each source is a queue of tokens: the documents of a scan partition in the order read, the
 partitions one after the other. The stream of windows is cut into spans of ``span_windows``
-windows. Span p takes from source s the tokens [floor(p*G*N_s/N), floor((p+1)*G*N_s/N)) of
-its queue (G tokens a span, N_s of the source's, N of all), so the fractions that a source is
-owed pass from span to span, and so from partition to partition, by arithmetic alone. Inside a
+windows. Span p takes from source s the tokens [floor(p*G*w_s/W), floor((p+1)*G*w_s/W)) of
+its queue (G tokens a span, w_s the source's weight of W; once a queue is empty the others
+share its part), so the fractions that a source is owed pass from span to span, and so from
+partition to partition, by arithmetic alone. Without given weights a source weighs what it
+holds, which uses up all queues together. Inside a
 span, deficit round-robin fills one window after the other: every queue is credited its share,
 gives the whole part of its deficit, and the rest of the window goes to the largest deficits;
 what is over or short is carried to the next window. The filling depends on counts only, so
@@ -27,6 +29,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +47,7 @@ END_ID = 1
 CACHE_WORDS = 300_000
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&@+=~^/()\[\]{}\"_-]*)")
 
 TOKENS = "doc_id long, source string, chunk int, start long, n long, ids binary"
@@ -74,6 +77,7 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         self.model, self.letters = self.tok.model, byte_letters()
+        self.written = [i.to_bytes(2, "little") for i in range(self.tok.get_vocab_size())]
         self.known, self.older = _Known(self.make), {}
         self.marks = _Known(self._whole)
         self.marks[""] = b""
@@ -82,24 +86,31 @@ class WordIds:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return b"".join([x.id.to_bytes(2, "little") for x in self.model.tokenize(spelt)])
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)  # ASCII letters are spelt by themselves
+        ids = self.written
+        return b"".join([ids[x.id] for x in self.model.tokenize(spelt)])
 
     def make(self, word: str) -> bytes:
         """The ids of a word that is not known; the letters' ids are kept with it."""
         if (ids := self.older.get(word)) is not None:
             return ids
-        if (m := SIMPLE.fullmatch(word)) is None:
+        marks = ""
+        if word.isascii() and word.isalpha():
+            core = word.lower()
+        elif (m := SIMPLE.fullmatch(word)) is not None:
+            core, marks = m[1].lower(), m[2]
+        else:
             return self._whole(word)
-        core = m[1].lower()
-        if (ids := self.known.get(core)) is None:
-            ids = self.known[core] = self._piece(core)
-        return ids + self.marks[m[2]]
+        if (ids := self.known.get(core)) is None and (ids := self.older.get(core)) is None:
+            ids = self._piece(core)
+            if core != word:
+                self.known[core] = ids
+        return ids + self.marks[marks]
 
     def of(self, text: str) -> bytes:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = _Known(self.make), self.known
-        words = WORD.findall(text) if ODD.search(text) else text.split()
+        words = WORD.findall(text) if any(c in text for c in ODD) else text.split()
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -147,19 +158,52 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
 
 class Spans:
-    """What each window of each span takes from each queue; totals: tokens of the sources."""
+    """What each window of each span takes from each queue; totals: tokens of the sources.
 
-    def __init__(self, totals: list[int], window: int = WINDOW, span_windows: int = SPAN_WINDOWS) -> None:
+    Windows hold the sources in the proportion of weights, by default that of all their tokens,
+    so that no queue ends before another. With other weights a queue may run dry: from there on
+    the others share its part by their weights; queues of weight 0 come when no other is left.
+    """
+
+    def __init__(self, totals: list[int], window: int = WINDOW, span_windows: int = SPAN_WINDOWS, weights: list[int] | None = None) -> None:
         self.totals, self.all, self.window, self.size = totals, sum(totals), window, window * span_windows
         self.stride = (self.size + len(totals)) // window + window.bit_length() + 1
         self.known: dict[int, tuple[list[list[int]], list[list[int]]]] = {}
+        self.phases = list(self._phases(weights or totals))
+        self.begins = [float(x) for x, *_ in self.phases]
+
+    def _phases(self, weights: list[int]) -> Iterator[tuple[Fraction, list[Fraction], list[int], int]]:
+        """(tokens of all sources before, of each source before, shares, their sum), until every queue is empty."""
+        at, taken = Fraction(0), [Fraction(0)] * len(self.totals)
+        while left := [s for s, t in enumerate(self.totals) if taken[s] < t]:
+            shares = [w if s in left else 0 for s, w in enumerate(weights)]
+            if not sum(shares):
+                shares = [self.totals[s] if s in left else 0 for s in range(len(self.totals))]
+            whole = sum(shares)
+            yield at, taken, shares, whole
+            step = min(Fraction((self.totals[s] - taken[s]) * whole, shares[s]) for s in left if shares[s])
+            taken = [t + step * w / whole for t, w in zip(taken, shares, strict=True)]
+            at += step
+
+    def taken(self, s: int, p: int) -> Fraction | int:
+        """What is due from source s before span p."""
+        x = min(p * self.size, self.all)
+        k = max(0, bisect_right(self.begins, x) - 1)
+        while k and self.phases[k][0] > x:
+            k -= 1
+        begin, before, shares, whole = self.phases[k]
+        return before[s] + (x - begin) * Fraction(shares[s], whole)
 
     def bound(self, s: int, p: int) -> int:
         """Tokens of source s before span p."""
-        return min(p * self.size * self.totals[s] // self.all, self.totals[s])
+        if len(self.phases) == 1:
+            return min(p * self.size, self.all) * self.phases[0][2][s] // self.phases[0][3]
+        return min(int(self.taken(s, p)), self.totals[s])
 
     def of(self, s: int, at: int) -> int:
         """The span of token `at` of source s."""
+        if len(self.phases) > 1:
+            return bisect_right(range(-(-self.all // self.size)), at, key=lambda p: self.bound(s, p + 1))
         p = at * self.all // (self.size * self.totals[s])
         while self.bound(s, p + 1) <= at:
             p += 1
@@ -174,7 +218,7 @@ class Spans:
         n = len(self.totals)
         low = [self.bound(s, p) for s in range(n)]
         held = np.array([self.bound(s, p + 1) - low[s] for s in range(n)], dtype=np.int64)
-        owed = np.array([(p * self.size * t % self.all) / self.all for t in self.totals])
+        owed = np.array([float(self.taken(s, p) - low[s]) for s in range(n)])
         deficit, left, total = owed - owed.mean(), held.copy(), int(held.sum())
         rest = total % self.window
         sizes = [self.window] * (total // self.window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
@@ -218,17 +262,18 @@ class Spans:
                 w += 1
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW, span_windows: int = SPAN_WINDOWS, end_id: int = END_ID) -> DataFrame:
-    """PIECES of all rows of docs (doc_id, source, text)."""
+def packed(docs: DataFrame, path: str, window: int = WINDOW, span_windows: int = SPAN_WINDOWS, end_id: int = END_ID, weights: dict[str | None, int] | None = None) -> DataFrame:
+    """PIECES of all rows of docs (doc_id, source, text); weights: target proportions by source (sources left out have 0)."""
     spark = docs.sparkSession
     tokens = tokenised(docs, path, end_id)
     queues = tokens.groupBy("source", "chunk").agg(F.sum("n").alias("held"))
     bases = written(queues.select("source", "chunk", (F.sum("held").over(Window.partitionBy("source").orderBy("chunk")) - F.col("held")).alias("base"), "held"), "packing-bases")
     totals = sorted(((r["source"], r["n"]) for r in bases.groupBy("source").agg(F.sum("held").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     index, counts = {s: i for i, (s, _) in enumerate(totals)}, [n for _, n in totals]
+    shares = None if weights is None else [weights.get(s, 0) for s, _ in totals]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans(counts, window, span_windows)
+        spans = Spans(counts, window, span_windows, shares)
         _word_ids.cache_clear()  # a worker that made tokens needs its words no more
         pa.default_memory_pool().release_unused()
         for b in sliced(batches):

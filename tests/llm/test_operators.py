@@ -175,6 +175,37 @@ def test_windows_hold_the_target_proportions():
     assert taken.tolist() == totals
 
 
+@pytest.mark.parametrize(("totals", "weights"), [([4000, 12_000], [1, 1]), ([9000, 500, 7000, 3], [1, 4, 2, 0]), ([5, 0, 3000], [1, 1, 1]), ([100, 200], [0, 0])])
+def test_windows_hold_given_proportions_until_a_queue_is_empty(totals, weights):
+    spans, window = packing.Spans(totals, 64, 4, weights), 64
+    taken = np.zeros(len(totals), int)
+    for p in range(-(-sum(totals) // spans.size)):
+        takes = np.diff(np.array(spans.fill(p)[0]), axis=1)
+        for w in takes.T:
+            open_ = [s for s in range(len(totals)) if totals[s] - taken[s] > window + 8 and weights[s]]
+            if w.sum() == window and len(open_) == sum(1 for s in range(len(totals)) if totals[s] > taken[s] and weights[s]) and open_:
+                share = np.array([weights[s] / sum(weights[k] for k in open_) if s in open_ else 0 for s in range(len(totals))])
+                assert (abs(w - window * share) < 4).all()
+            taken += w
+    assert taken.tolist() == totals
+    for s, t in enumerate(totals):
+        got = [x for x in spans.pieces(s, 0, t)] if t else []
+        assert sum(k for _, k, *_ in got) == t
+        for at in range(0, t, 97):
+            p = spans.of(s, at)
+            assert spans.bound(s, p) <= at < spans.bound(s, p + 1)
+
+
+def test_packing_by_weights(docs, rows):
+    pieces = packing.packed(docs, WORD_BPE, window=64, span_windows=4, weights={"s1": 1, "s2": 1, None: 2}).collect()
+    assert sum(p["length"] for p in pieces) == sum(len(x) for x in plain_ids([t for _, t in rows]))
+    fills = defaultdict(Counter)
+    for p in pieces:
+        fills[p["sequence_id"]][p["source"]] += p["length"]
+    first = fills[min(fills)]
+    assert abs(first["s1"] - 16) < 4 and abs(first["s2"] - 16) < 4 and abs(first[None] - 32) < 4 and not first["s3"]
+
+
 def test_sequences(docs):
     got = packing.sequences(packing.packed(docs, WORD_BPE, window=256)).collect()
     assert all(sum(x["length"] for x in r["parts"]) == r["n_tokens"] <= 256 for r in got)
