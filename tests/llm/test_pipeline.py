@@ -95,3 +95,25 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
         taken += len(H.words(t))
     size = sum(len(H.words(t)) for _, t in want)
     assert taken == round(1.5 * size) and len(passes) == 6 and max(passes.values()) <= 2
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], H.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_pass_over_columns_with_clashing_names(spark, sf_dir):
+    docs = H.table(spark)
+    for name, stage in cp.STAGES[1:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == list(cp.COLUMNS) and out.count() > 0
+    assert cp.packing(spark, docs, sf_dir).count() > 0 and cp.quality(spark, docs, sf_dir).columns == list(cp.COLUMNS)
+
+
+def test_the_mix_shares_its_takes_among_repeated_rows(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in [(1, text(1)), (1, text(1)), (1, text(1)), (None, text(2)), (2, text(3))]], H.SCHEMA)
+    out = rows(cp.mixture(spark, docs, ""))
+    assert sum(len(H.words(t)) for _, t, *_ in out) == 300 and sum(len(H.words(t)) for d, t, *_ in out if d == 1) <= 240
+    assert max(Counter(d for d, *_ in out).values()) <= 6
