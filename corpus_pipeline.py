@@ -7,7 +7,7 @@ of documents (the last one returns packed pieces). n_chars follows the text.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm.jaccard_join import NO_ID, class_leaders
@@ -53,7 +53,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_of())
     draw = drawn(docs.select(key.alias("doc_id"), "source", "text")).select(F.col("doc_id").alias("key"), "size", F.inline("pieces"))
     takes = draw.groupBy("key", "size", "pass").agg(F.sum("words").alias("taken"), F.min_by(F.struct("shard", "slot"), "start").alias("place"))
-    both = docs.withColumn("key", key).join(takes, "key")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("source", "lang", "n_chars")) - 1  # rows that agree in id and text share what is taken
+    both = docs.select(key.alias("key"), *COLUMNS).withColumn("copy", copy).join(takes, "key")
+    both = both.withColumn("taken", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))).where("taken > 0")
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), "")
     text = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(first)
