@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, text_of
+from .shared import broadcast_few, new_path, text_of
 
 #: Entries that a bucket holds before it splits.
 CAPACITY = 4096
@@ -62,6 +62,11 @@ def _sha(text: str = "text") -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """rows whose h is one of hashes; where these are counted to be few, no text is shuffled for it."""
+    return rows.join(broadcast_few(hashes), "h", "left_semi")
+
+
 def directory_of(cells: DataFrame, bits: int, capacity: int) -> DataFrame:
     """cells: cell (first `bits` bits of the hash), n -> cell, depth, bucket (its first cell).
 
@@ -94,7 +99,7 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, hashed: Callable[[Col
     linked = owned.withColumns({"link": F.row_number().over(chain.orderBy("text_sha256")), "links": F.count(F.lit(1)).over(chain)})
     entries = stored(linked.select("bucket", "h", "link", "links", "text_sha256", "n_bytes", "keep_id", "group_size"), "entries")
     shared_hash = entries.where("links > 1").select("h").distinct()
-    chains = stored(_hashed(docs, hashed).join(shared_hash, "h").select("h", "text").distinct().select("h", _sha().alias("text_sha256"), "text"), "chains")
+    chains = stored(_among(_hashed(docs, hashed), shared_hash).select("h", "text").distinct().select("h", _sha().alias("text_sha256"), "text"), "chains")
     return ExactIndex(path, directory, entries, chains, bits, hashed)
 
 
@@ -106,7 +111,7 @@ def look_up(docs: DataFrame, index: ExactIndex) -> DataFrame:
     single = probes.join(index.entries.where("links = 1"), ["bucket", "h"]).select(*found)
     # several texts share the hash: the row's bytes are compared with those of each link
     along = index.entries.where("links > 1").join(index.chains, ["h", "text_sha256"]).select("bucket", "h", "text_sha256", "keep_id", "group_size", F.col("text").alias("link_text"))
-    colliding = rows.join(index.chains.select("h").distinct(), "h").withColumn("cell", index.cell()).join(index.directory.select("cell", "bucket"), "cell")
+    colliding = _among(rows, index.chains.select("h").distinct()).withColumn("cell", index.cell()).join(index.directory.select("cell", "bucket"), "cell")
     chained = colliding.join(along, ["bucket", "h"]).where(F.col("text") == F.col("link_text")).select(*found)
     return single.union(chained)
 

@@ -51,6 +51,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a few numbers each that are few enough to be sent to every task.
+FEW = 200_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have at most FEW rows; df: a written table of narrow rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def text_of(col: str = "text") -> Column:
     """Whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
