@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, text_of, written
+from .shared import broadcast_few, sliced, text_of, written
 from .shingles import shingle_sets
 
 #: Least similarity in percent.
@@ -59,12 +59,14 @@ LONG, LONG_SIGMAS = 64, 8
 RUN = 1 << 19
 #: Nodes that a task remembers to have sent.
 SEEN = 100_000
-#: A group of more nodes is first held against its first node.
-TIE = 256
 #: Nodes of a block, and its shingles but for its last node's.
 BLOCK, SHINGLES = 2048, 1 << 20
+#: A group of more nodes, or of more shingles than a block, is first held against its first node.
+TIE = BLOCK
 #: A list in a group that is long enough to be probed instead of merged.
 LONG_LIST = 32
+#: Bytes of the groups' first sets that are few enough to be sent to every task.
+FIRST_BYTES = 32 << 20
 NO_ID = 2**63 - 1
 
 _U = np.uint64
@@ -364,26 +366,42 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
 
     def sets_of(some: DataFrame) -> DataFrame:
-        """node, tokens of the nodes of some."""
+        """node, tokens of the nodes of some; where these are counted to be few, no text is shuffled for it."""
         need = written(some.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
-        return _rows(docs).join(need, "doc_id").select("node", "raw").mapInArrow(to_sets, "node binary, tokens binary")
+        return _rows(docs).join(broadcast_few(need), "doc_id").select("node", "raw").mapInArrow(to_sets, "node binary, tokens binary")
+
+    def distance(s: np.ndarray, first: np.ndarray) -> tuple[int, float]:
+        """Whether a set is linked to the first one of its group, and how far it is from it."""
+        total, small = len(s) + len(first), min(len(s), len(first))
+        # sets of too different sizes are further apart than any distance that matters
+        both = len(np.intersect1d(s, first, assume_unique=True)) if 100 * small >= (2 * percent - 100) * (total - small) else 0
+        return int(100 * both >= percent * (total - both)), 1 - both / (total - both)
+
+    def ties(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.float64()), strict=True)], names=["leader", "node", "tied", "away"])
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whether nodes are linked to the first of their group, whose row begins each part, and how far they are from it."""
+        """Sets come to the first one of their group, whose row begins each part."""
         first = np.empty(0, _U)
         for b in batches:
             found = []
             for leader, other, node, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                if not other:
+                if other:
+                    found.append((leader, node, *distance(np.frombuffer(x.as_buffer(), _U), first)))
+                else:
                     first = np.frombuffer(x.as_py(), _U)
-                    continue
-                s = np.frombuffer(x.as_buffer(), _U)
-                total, small = len(s) + len(first), min(len(s), len(first))
-                # sets of too different sizes are further apart than any distance that matters
-                both = len(np.intersect1d(s, first, assume_unique=True)) if 100 * small >= (2 * percent - 100) * (total - small) else 0
-                found.append((leader, node, int(100 * both >= percent * (total - both)), 1 - both / (total - both)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.float64()), strict=True)], names=["leader", "node", "tied", "away"])
+                yield ties(found)
+
+    def tie_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first sets have come to the texts."""
+        for b in sliced(batches):
+            found = []
+            for leader, node, s, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b.column(2)), b.column(3), strict=True):
+                if node_of(s) == node:
+                    found.append((leader, node, *distance(s, np.frombuffer(first.as_buffer(), _U))))
+            if found:
+                yield ties(found)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
@@ -398,13 +416,20 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
     held = docs.sparkSession.createDataFrame([], "leader long, node binary, tied int, away double")
     if not large.isEmpty():
         members = groups.join(large, "leader").select("leader", "node", "parts", (F.col("node") != F.col("first")).cast("int").alias("other"))
-        own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
-        parts = F.when(F.col("other") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-        met = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
-        held = written(met.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, "leader long, node binary, tied int, away double").distinct(), "shingle-ties")
+        firsts = written(members.where("other = 0").join(sets_of(members.where("other = 0")), "node").select("leader", "tokens"), "shingle-firsts")
+        out = "leader long, node binary, tied int, away double"
+        if (firsts.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= FIRST_BYTES:
+            asked = written(members.where("other = 1").join(nodes.select("node", "doc_id"), "node").select("leader", "node", "doc_id"), "shingle-asked")
+            met = _rows(docs).join(broadcast_few(asked), "doc_id").join(F.broadcast(firsts), "leader").select("leader", "node", "raw", "tokens").mapInArrow(tie_here, out)
+        else:
+            own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
+            parts = F.when(F.col("other") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+            sent = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
+            met = sent.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, out)
+        held = written(met.distinct(), "shingle-ties")
     placed = blocks(groups, large, held, percent).join(info, "node").select(*key, "side", "node", "n", "bits")
     kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node binary"), "shingle-screened")
-    met = kept.join(sets_of(kept), "node").select(*key, "side", "node", "tokens")
+    met = sets_of(kept).join(broadcast_few(kept), "node").select(*key, "side", "node", "tokens")
     found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a binary, b binary")
     tied = held.where("tied = 1").join(large, "leader").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return written(found.union(tied), "shingle-links")

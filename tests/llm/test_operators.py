@@ -317,8 +317,10 @@ def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
             assert not met
 
 
-def test_near_copies_around_a_first_node(spark, monkeypatch):
+@pytest.mark.parametrize("first_bytes", [0, jaccard_join.FIRST_BYTES])
+def test_near_copies_around_a_first_node(spark, monkeypatch, first_bytes):
     monkeypatch.setattr(jaccard_join, "TIE", 3)
+    monkeypatch.setattr(jaccard_join, "FIRST_BYTES", first_bytes)
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(60)]
     rows = []
