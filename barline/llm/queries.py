@@ -7,10 +7,12 @@ from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .mixing import op3_mixing
 from .packing import op2_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
+from .vector_search import op13_vector_search
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_vector_search": op13_vector_search,
 }
 
 ORACLE_SQL = {
@@ -32,4 +36,5 @@ ORACLE_SQL = {
     "op6_quality_rules": OP6_SQL,
     "op8_warc": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
