@@ -10,6 +10,7 @@ from .packing import op2_packing
 from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .source_divergence import OP12_SQL, op12_source_divergence
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
 from .vector_search import op13_vector_search
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
     "op13_vector_search": op13_vector_search,
 }
 
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op8_warc": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
