@@ -135,8 +135,11 @@ def refresh(spark: SparkSession, a: argparse.Namespace, store: PriceStore) -> di
         if not a.csv_dir:
             return providers.fetch(spark, a.provider, some, start, today + timedelta(days=1), pause=a.pause, per_partition=max(1, -(-len(some) // a.workers)))
         wanted = spark.createDataFrame([(s,) for s in some], "symbol string")
-        bars = files.csv_directory(spark, a.csv_dir).join(wanted, "symbol", "left_semi").where(F.col("date") >= F.lit(start))
-        return bars, wanted.join(bars.select("symbol").distinct(), "symbol", "left_anti").select("symbol", F.lit("no CSV").alias("error"))
+        bars, left_out = files.csv_folder(spark, a.csv_dir)
+        bars = bars.join(wanted, "symbol", "left_semi").where(F.col("date") >= F.lit(start))
+        problems = left_out.select(F.upper(F.regexp_replace("file", r"(?i)\.csv$", "")).alias("symbol"), "problem")
+        lacking = wanted.join(bars.select("symbol").distinct(), "symbol", "left_anti").join(problems, "symbol", "left")
+        return bars, lacking.select("symbol", F.coalesce("problem", F.lit("no CSV")).alias("error"))
 
     seed, old = [s for s, d in ask.items() if d is None], {s: d for s, d in ask.items() if d}
     parts = ([get(seed, first)] if seed else []) + ([get(list(old), min(old.values()))] if old else [])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
-import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,69 +71,42 @@ def csv_directory(spark: SparkSession, path: str) -> DataFrame:
     return csv_folder(spark, path)[0]
 
 
-def csv_directory(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical bars of a folder of TICKER.csv files; the date is the first column so named, else the first one."""
-    raw = spark.read.option("header", True).csv(path).withColumn("_file", F.col("_metadata.file_name"))
-    names = {c.strip().lower(): c for c in reversed(raw.columns)}
-    date = next((names[n] for n in ("date", "datetime", "timestamp") if n in names), raw.columns[0])
-    symbol = F.upper(F.regexp_replace("_file", r"(?i)\.csv$", ""))
-    rest = [F.col(f"`{c}`") for c in raw.columns if c not in (date, "_file") and c.strip().lower() != "symbol"]
-    return normalized(raw.select(symbol.alias("symbol"), F.col(f"`{date}`").alias("date"), *rest))
-
-
-def _members(path: str, content: bytes) -> Iterator[tuple[str, io.TextIOBase]]:
-    if path.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for info in z.infolist():
-                if not info.is_dir() and info.filename.lower().endswith(TABULAR):
-                    with z.open(info) as f:
-                        yield info.filename, io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline="")
-    else:
-        yield path, io.TextIOWrapper(io.BytesIO(content), "utf-8-sig", errors="replace", newline="")
-
-
 VENDOR = "member string, line long, problem string, symbol string, date string, open string, high string, low string, close string, `adj close` string, volume string"
 _VENDOR_NAMES = ["member", "line", "problem", "symbol", "date", "open", "high", "low", "close", "adj close", "volume"]
+_VENDOR_TYPES = [pa.int64() if n == "line" else pa.string() for n in _VENDOR_NAMES]
+
+
+def vendor_lines(member: str, f: io.TextIOBase) -> Iterator[tuple]:
+    """Rows of VENDOR of an open vendor file of any separator; one row with `problem` if it lacks a column."""
+    head = f.readline()
+    mark = "\t" if member.lower().endswith(".tsv") else max(",;|\t", key=head.count)
+    at = canonical(next(csv.reader([head], delimiter=mark), []))
+    if missing := [c for c in REQUIRED if c not in at]:
+        yield (member, 0, f"missing columns {missing}", *[None] * 8)
+        return
+    stem = re.sub(r"\.[^.]*$", "", member.rsplit("/", 1)[-1]).upper().split(".")[0].strip()
+    for i, cells in enumerate(csv.reader(f, delimiter=mark)):
+        get = lambda k, cells=cells: cells[at[k]].strip() or None if k in at and at[k] < len(cells) else None
+        symbol = (get("symbol") or "").upper() if "symbol" in at else stem
+        yield (member, i + 1, None, symbol or None, *(get(k) for k in _VENDOR_NAMES[4:]))
+
+
+def in_batches(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _VENDOR_TYPES, strict=True)], names=_VENDOR_NAMES)
 
 
 def vendor_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows of vendor files (zip archives, folders or single files) under canonical names, as text.
 
-    Archives are spread over tasks, their members stream. A member that lacks a column is one
-    row with `problem` set. Files that are not archives can be of any separator.
+    Every member of an archive is read by a range of its own, so tasks share an archive and hold
+    none of it. A member that lacks a column or is damaged is one row with `problem` set. Files
+    that are not archives can be of any separator.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    files = files.where(F.lower("path").rlike(r"\.(zip|csv|txt|tsv)$")).select("path", "content").repartition(F.col("path"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            types = [pa.int64() if n == "line" else pa.string() for n in _VENDOR_NAMES]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=_VENDOR_NAMES)
-
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for member, f in _members(path, content):
-                    head = f.readline()
-                    mark = "\t" if member.lower().endswith(".tsv") else max(",;|\t", key=head.count)
-                    at = canonical(next(csv.reader([head], delimiter=mark), []))
-                    if missing := [c for c in REQUIRED if c not in at]:
-                        rows.append((member, 0, f"missing columns {missing}", *[None] * 8))
-                        continue
-                    stem = re.sub(r"\.[^.]*$", "", member.rsplit("/", 1)[-1]).upper().split(".")[0].strip()
-                    for i, cells in enumerate(csv.reader(f, delimiter=mark)):
-                        get = lambda k, cells=cells, at=at: cells[at[k]].strip() or None if k in at and at[k] < len(cells) else None
-                        symbol = (get("symbol") or "").upper() if "symbol" in at else stem
-                        rows.append((member, i + 1, None, symbol or None, *(get(k) for k in _VENDOR_NAMES[4:])))
-                        if len(rows) >= 10_000:
-                            yield batch()
-                            rows = []
-        if rows:
-            yield batch()
-
-    return files.mapInArrow(run, VENDOR)
+    from .archives import VendorFiles  # it is built on this module
+
+    spark.dataSource.register(VendorFiles)
+    return spark.read.format("vendor_files").option("paths", json.dumps([str(p) for p in paths])).load()
 
 
 def ingest(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
