@@ -177,12 +177,16 @@ def say(**what) -> None:
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConfig) -> int:
-    bars, left_out = files.ingest(spark, *a.sources)
-    done = PriceStore(spark, a.repo).update(bars, str(date.today()), full=bars if a.no_merge else None)
-    names = bars.select("symbol").distinct()
-    names.orderBy("symbol").coalesce(1).write.mode("overwrite").text(str(out / "universe"))
-    count = names.count()
-    say(symbols=count, actions={r["action"]: r["symbols"] for r in counters(done).collect()}, skipped=[tuple(r) for r in left_out.limit(a.limit).collect()])
+    store = PriceStore(spark, a.repo)
+    with store.staging() as stage:
+        rows = stage(files.vendor_rows(spark, *a.sources))  # archives are read once
+        bars, left_out = files.usable_rows(rows)
+        bars, left_out = stage(bars), stage(left_out)
+        done = store.ingest(bars, str(date.today()), merge=not a.no_merge)
+        names = bars.select("symbol").distinct()
+        names.orderBy("symbol").coalesce(1).write.mode("overwrite").text(str(out / "universe"))
+        count, read = names.count(), rows.where("problem IS NULL").select("member").distinct().count()
+        say(symbols=count, rows=bars.count(), files_read=read, actions={r["action"]: r["symbols"] for r in counters(done).collect()}, skipped=left_out.count(), skipped_sample=[tuple(r) for r in left_out.orderBy("member").limit(min(a.limit, 8)).collect()])
     return int(count == 0)
 
 

@@ -111,7 +111,11 @@ def vendor_rows(spark: SparkSession, *paths: str) -> DataFrame:
 
 def ingest(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """Canonical bars of vendor files, and what was left out (member, problem)."""
-    rows = vendor_rows(spark, *paths)
+    return usable_rows(vendor_rows(spark, *paths))
+
+
+def usable_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of rows of VENDOR."""
     good = rows.where("problem IS NULL AND symbol IS NOT NULL").withColumn("ord", F.struct("member", "line"))
     bars = normalized(good.drop("member", "line", "problem"), "ord")
     dated = good.groupBy("member").agg(F.count(day_of("date")).alias("n")).where("n = 0").select("member", F.lit("no parseable dates").alias("problem"))

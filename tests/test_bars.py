@@ -324,9 +324,9 @@ def test_store_leaves_no_staging_and_survives_a_damaged_manifest(spark, tmp_path
     store = PriceStore(spark, str(tmp_path / "db"))
     a = series("A", line(10, 20, 300))
     store.update(frame(spark, a[:200]), "2021-12-01")
-    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices" / "year=2021").glob("*.parquet")}
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices").glob("*/year=2021/*.parquet")}
     store.update(frame(spark, a[270:]), "2022-03-01")  # bars of 2022 only
-    assert untouched == {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices" / "year=2021").glob("*.parquet")}
+    assert untouched and untouched == {p: p.stat().st_mtime_ns for p in (tmp_path / "db" / "prices").glob("*/year=2021/*.parquet")}
     assert not list((tmp_path / "db" / "staging").iterdir()) and store.load().count() == 230
     versions = sorted((tmp_path / "db" / "manifest").iterdir())
     assert len(versions) == 2 and store.manifest().first()["rows"] == 230
