@@ -121,7 +121,9 @@ def _score(*parts: tuple[str, float]) -> str:
 
 
 def _breakout_sql(c=CFG) -> str:
-    seg = ", ".join(f"round(avg(abs(b.close - b.{m}) / b.close) FILTER (WHERE b.bar >= pivot_bar), 9) AS surf_{m}" for m in ("ma_fast", "ma_mid", "ma_slow"))
+    over = lambda first, last: f"OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN greatest(0, coalesce({first}, 0)) PRECEDING AND greatest(0, coalesce({last}, 0)) PRECEDING)"
+    base, half = over("base_len", "1"), "greatest(1, base_len // 2)"
+    seg = ", ".join(f"round(avg(abs(close - {m}) / close) {base}, 9) AS surf_{m}" for m in ("ma_fast", "ma_mid", "ma_slow"))
     moves = ", ".join(f"(close / {_lag('close', n)} - 1) / {t}::DOUBLE" for n, t in c.move_lookbacks)
     part = lambda x, top, span: _clamp(f"({top}::DOUBLE - ({x})) / {max(1e-9, span)}::DOUBLE")
     given = lambda x, y: f"CASE WHEN {x} IS NULL THEN 0.6 ELSE {y} END"
@@ -151,16 +153,18 @@ early AS (
     WHEN move_ratio IS NULL OR move_ratio < 1 THEN 'no_prior_move' WHEN base_len < {c.min_base_len} THEN 'base_too_short' WHEN base_len > {c.max_base_len} THEN 'base_too_long' ELSE '' END AS early
   FROM loc),
 seg AS (
-  SELECT e.symbol, e.bar, min(b.low) FILTER (WHERE b.bar > pivot_bar) AS base_low,
-         round(avg(b.range_pct) FILTER (WHERE b.bar >= pivot_bar + e.base_len // 2) / nullif(avg(b.range_pct) FILTER (WHERE b.bar >= pivot_bar AND b.bar < pivot_bar + e.base_len // 2), 0), 9) AS ratio,
-         round(coalesce(regr_slope(b.low, b.bar::DOUBLE) FILTER (WHERE b.bar >= pivot_bar) / nullif(avg(b.low) FILTER (WHERE b.bar >= pivot_bar), 0) * 100, 0), 9) AS low_slope,
-         round(avg(b.volume) FILTER (WHERE b.bar >= pivot_bar + greatest(1, e.base_len // 2)) / nullif(avg(b.volume) FILTER (WHERE b.bar BETWEEN impulse_bar AND pivot_bar), 0), 9) AS vol_dryup, {seg}
-  FROM early e JOIN ann b ON b.symbol = e.symbol AND b.bar BETWEEN e.impulse_bar AND e.bar - 1 WHERE early = '' GROUP BY ALL),
+  SELECT *, CASE WHEN base_len >= 2 THEN min(low) {over("base_len - 1", "1")} END AS base_low0,
+         round(avg(range_pct) {over("base_len - base_len // 2", "1")} / nullif(avg(range_pct) {over("base_len", "base_len - base_len // 2 + 1")}, 0), 9) AS ratio,
+         round(coalesce(regr_slope(low, bar::DOUBLE) {base} / nullif(avg(low) {base}, 0) * 100, 0), 9) AS low_slope0,
+         round(CASE WHEN base_len > {half} THEN avg(volume) {over(f"base_len - {half}", "1")} END / nullif(avg(volume) {over("bar - impulse_bar", "base_len")}, 0), 9) AS vol_dryup0, {seg.replace(" AS surf_", " AS near_")}
+  FROM early),
+segs AS (
+  SELECT *, {", ".join(f"CASE WHEN early = '' THEN {x} END AS {y}" for x, y in (("base_low0", "base_low"), ("low_slope0", "low_slope"), ("vol_dryup0", "vol_dryup"), ("near_ma_fast", "surf_ma_fast"), ("near_ma_mid", "surf_ma_mid"), ("near_ma_slow", "surf_ma_slow")))} FROM seg),
 meas AS (
-  SELECT e.*, base_low, low_slope, vol_dryup, round((pivot - base_low) / pivot, 9) AS base_depth, CASE WHEN base_len >= 6 THEN ratio END AS contraction,
-         least(surf_ma_fast, surf_ma_mid, surf_ma_slow) AS surf_dist, surf_ma_fast, surf_ma_mid, surf_ma_slow,
+  SELECT *, round((pivot - base_low) / pivot, 9) AS base_depth, CASE WHEN base_len >= 6 AND early = '' THEN ratio END AS contraction,
+         least(surf_ma_fast, surf_ma_mid, surf_ma_slow) AS surf_dist,
          round(greatest(0, (pivot - close) / pivot), 9) AS dist_from_pivot, round(volume / nullif(vol_avg20, 0), 9) AS vol_mult
-  FROM early e LEFT JOIN seg USING (symbol, bar)),
+  FROM segs),
 stated AS (
   SELECT *, CASE WHEN high > pivot AND close > pivot AND coalesce(vol_mult >= {c.breakout_volume_mult}, true) THEN 'breakout' ELSE 'setup' END AS state,
          CASE surf_dist WHEN surf_ma_fast THEN 'fast' WHEN surf_ma_mid THEN 'mid' WHEN surf_ma_slow THEN 'slow' END AS surf_ma FROM meas),
@@ -353,7 +357,7 @@ fresh AS (SELECT symbol, date, {', '.join(f'{c} * CASE WHEN symbol::INT % 3 = 0
     f = "CASE WHEN date < DATE '1998-01-01' THEN 0.5::DOUBLE ELSE 1::DOUBLE END"
     register("bars_adjusted_close", lambda s, d: adj(s, d).select("symbol", "date", *[F.round(c, 6).alias(c) for c in B.OHLC], "volume"), f"WITH {BARS_SQL} SELECT symbol, date, {', '.join(f'round({c} * {f}, 6) AS {c}' for c in B.OHLC)}, volume FROM bars")
     want = lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("symbol"), F.date_add(F.lit("1997-01-01").cast("date"), (F.col("s_suppkey") * 37 % 3000).cast("int")).alias("on"))
-    register("asof_next_bar", lambda s, d: B.next_bar(want(s, d), bars(s, d)).select("symbol", "on", "bar", "date"), f"WITH {BARS_SQL}, want AS (SELECT s_suppkey::VARCHAR AS symbol, (DATE '1997-01-01' + (s_suppkey * 37 % 3000)::INT)::DATE AS \"on\" FROM supplier), pos AS (SELECT w.symbol, w.\"on\", coalesce(min(b.bar) FILTER (WHERE b.date >= w.\"on\"), max(b.bar)) AS bar FROM want w JOIN bars b USING (symbol) GROUP BY 1, 2) SELECT p.symbol, p.\"on\", p.bar, b.date FROM pos p JOIN bars b USING (symbol, bar)", dates=("date", "on"))
+    register("asof_next_bar", lambda s, d: B.next_bar(want(s, d), bars(s, d)).select("symbol", "on", "bar", "date"), f"WITH {BARS_SQL}, want AS (SELECT s_suppkey::VARCHAR AS symbol, (DATE '1997-01-01' + (s_suppkey * 37 % 3000)::INT)::DATE AS \"on\" FROM supplier), newest AS (SELECT symbol, max(bar) AS bar, max(date) AS date FROM bars GROUP BY symbol) SELECT w.symbol, w.\"on\", coalesce(b.bar, n.bar) AS bar, coalesce(b.date, n.date) AS date FROM want w JOIN newest n ON n.symbol = w.symbol ASOF LEFT JOIN bars b ON b.symbol = w.symbol AND b.date >= w.\"on\"", dates=("date", "on"))
     wanted = lambda s, d: s.read.parquet(f"{d}/supplier.parquet").where("s_nationkey < 5").select(F.col("s_suppkey").cast("string").alias("symbol"))
     register("semi_join_universe", lambda s, d: bars(s, d).join(wanted(s, d), "symbol", "left_semi"), f"WITH {BARS_SQL} SELECT symbol, date, open, high, low, close, volume FROM bars WHERE symbol IN (SELECT s_suppkey::VARCHAR FROM supplier WHERE s_nationkey < 5)")
     register("anti_join_missing", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("symbol")).join(bars(s, d).select("symbol").distinct(), "symbol", "left_anti"), f"WITH {BARS_SQL} SELECT c_custkey::VARCHAR AS symbol FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT symbol FROM bars)", dates=())
