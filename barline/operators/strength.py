@@ -37,6 +37,12 @@ def percent_rank_of_all(df: DataFrame, c: str, name: str, scale: float = 1.0) ->
     return out.drop("_cell", "_before", "_total")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed, where a checkpoint folder is set: a row per symbol that several ranks start from."""
+    has = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if has else df
+
+
 def _blended(df: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     """df with _blend of its ranks; a missing horizon's weight goes to the others."""
     some = total = F.lit(0.0)
@@ -55,7 +61,7 @@ def composite_rank(df: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3),
 
 def latest_ranks(annotated: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0.3), common_date: bool = True) -> DataFrame:
     """Ranks on each symbol's newest bar; with common_date only symbols that have the universe's newest date."""
-    df = last_bars(annotated)
+    df = settled(last_bars(annotated))
     if common_date:
         df = df.join(F.broadcast(df.agg(F.max("date").alias("date"))), "date")
     for r, c in zip(RANKS, RETURNS, strict=True):
