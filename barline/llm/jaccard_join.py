@@ -30,7 +30,7 @@ order gives the same links, a good one keeps the lists short.
 
 Defined results: a null text, an empty one or one without words has the empty set and stands
 alone; fewer than five words are one shingle; an empty table gives an empty result; repeated
-rows and rows with the same id are told apart by their sets (component ids are the smallest
+rows and rows with the same id are told apart by their texts (component ids are the smallest
 id of the class); a null id ranks after all ids; other columns are ignored.
 """
 
@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import broadcast_few, sliced, text_of, written
+from .shared import sliced, text_of, written
 from .shingles import shingle_sets
 
 #: Least similarity in percent.
@@ -67,6 +67,8 @@ TIE = BLOCK
 LONG_LIST = 32
 #: Bytes of the groups' first sets that are few enough to be sent to every task.
 FIRST_BYTES = 32 << 20
+#: Bits of the table that says which documents a join may want: at most SLOTS / 64 rows go to every task, whatever the input.
+SLOTS = 1 << 26
 NO_ID = 2**63 - 1
 
 _U = np.uint64
@@ -94,6 +96,19 @@ def _rows(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(text_of(), "UTF-8").alias("raw"), *more)
 
 
+def texts_of(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """some (doc_id, th: the text's hash, ...) with raw, the text. Ids may be null or shared, so a text is known by both.
+
+    Texts that nobody wants don't travel: a bit for each wanted row goes to every task first.
+    """
+    key = ["doc_id", "th"]
+    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+    words = some.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    rows = _rows(docs, F.xxhash64(text_of()).alias("th")).withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
+    rows = rows.join(F.broadcast(words), "word").where(F.getbit("bits", (F.col("slot") % 64).cast("int")) == 1)
+    return rows.select(*key, "raw").join(some, key)
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     return shingle_sets([x.as_buffer().to_pybytes() for x in column])
 
@@ -341,7 +356,7 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, cross: bool, percent: int
 
 
 def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b: a spanning forest of the links in every group; nodes: node, doc_id, n, bits."""
+    """a, b: a spanning forest of the links in every group; nodes: node, doc_id, th, n, bits."""
     key = ["leader", "i", "j"]
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,17 +373,19 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[*key, "side", "node"])
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The set of each text that makes its node (rows with the same id may hold other texts)."""
-        for b in sliced(batches):
-            rows = [(node, s.tobytes()) for node, s in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True) if node_of(s) == node]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
-
     def sets_of(some: DataFrame) -> DataFrame:
-        """node, tokens of the nodes of some; where these are counted to be few, no text is shuffled for it."""
-        need = written(some.select("node").distinct().join(nodes, "node").select("node", "doc_id"), "shingle-nodes")
-        return _rows(docs).join(broadcast_few(need), "doc_id").select("node", "raw").mapInArrow(to_sets, "node binary, tokens binary")
+        """some (node, further columns, a row per node) with tokens: the node's set."""
+        wanted = written(some.join(nodes.select("node", "doc_id", "th"), "node"), "shingle-nodes")
+        more = [c for c in some.columns if c != "node"]
+
+        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in sliced(batches):
+                rows = [(node, s.tobytes()) for node, s in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), *b.columns[2:]], names=["node", "tokens", *more])
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema if f.name != "node")
+        return texts_of(docs, wanted).select("node", "raw", *more).mapInArrow(to_sets, f"node binary, tokens binary{', ' if more else ''}{kinds}")
 
     def distance(s: np.ndarray, first: np.ndarray) -> tuple[int, float]:
         """Whether a set is linked to the first one of its group, and how far it is from it."""
@@ -398,8 +415,7 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
         for b in sliced(batches):
             found = []
             for leader, node, s, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b.column(2)), b.column(3), strict=True):
-                if node_of(s) == node:
-                    found.append((leader, node, *distance(s, np.frombuffer(first.as_buffer(), _U))))
+                found.append((leader, node, *distance(s, np.frombuffer(first.as_buffer(), _U))))
             if found:
                 yield ties(found)
 
@@ -416,20 +432,21 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
     held = docs.sparkSession.createDataFrame([], "leader long, node binary, tied int, away double")
     if not large.isEmpty():
         members = groups.join(large, "leader").select("leader", "node", "parts", (F.col("node") != F.col("first")).cast("int").alias("other"))
-        firsts = written(members.where("other = 0").join(sets_of(members.where("other = 0")), "node").select("leader", "tokens"), "shingle-firsts")
+        firsts = written(members.where("other = 0").join(sets_of(members.where("other = 0").select("node").distinct()), "node").select("leader", "tokens").dropDuplicates(["leader"]), "shingle-firsts")
         out = "leader long, node binary, tied int, away double"
         if (firsts.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) <= FIRST_BYTES:
-            asked = written(members.where("other = 1").join(nodes.select("node", "doc_id"), "node").select("leader", "node", "doc_id"), "shingle-asked")
-            met = _rows(docs).join(broadcast_few(asked), "doc_id").join(F.broadcast(firsts), "leader").select("leader", "node", "raw", "tokens").mapInArrow(tie_here, out)
+            asked = written(members.where("other = 1").join(nodes.select("node", "doc_id", "th"), "node").select("leader", "node", "doc_id", "th"), "shingle-asked")
+            met = texts_of(docs, asked).join(F.broadcast(firsts), "leader").select("leader", "node", "raw", "tokens").mapInArrow(tie_here, out)
         else:
             own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
             parts = F.when(F.col("other") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-            sent = members.join(sets_of(members), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
+            sent = members.join(sets_of(members.select("node").distinct()), "node").select("leader", F.explode(parts).alias("part"), "other", "node", "tokens")
             met = sent.repartition("leader", "part").sortWithinPartitions("leader", "part", "other").mapInArrow(tie, out)
         held = written(met.distinct(), "shingle-ties")
     placed = blocks(groups, large, held, percent).join(info, "node").select(*key, "side", "node", "n", "bits")
     kept = written(placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "leader long, i int, j int, side int, node binary"), "shingle-screened")
-    met = sets_of(kept).join(broadcast_few(kept), "node").select(*key, "side", "node", "tokens")
+    places = kept.groupBy("node").agg(F.collect_list(F.struct(*key, "side")).alias("places"))  # at most one for each of the set's first shingles, or each block of a large group
+    met = sets_of(places).select(F.inline("places"), "node", "tokens").select(*key, "side", "node", "tokens")
     found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a binary, b binary")
     tied = held.where("tied = 1").join(large, "leader").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return written(found.union(tied), "shingle-links")
@@ -440,7 +457,7 @@ def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     rows, counts = count_sketch(docs)
     is_long = long_counters(counts)
     lists = prefix_lists(docs, is_long, percent)
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first.*", "h", "n", "bits")
     labels = components(links(lists, classes, docs, percent))
     return rows, classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
 

@@ -95,3 +95,14 @@ def test_op10_scores_every_row_and_holds_its_fold_out(spark, documents):
     assert set(got) == {d for d, *_ in documents}
     for d, r in got.items():
         assert r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_rows_without_an_id_cost_what_others_do(spark):
+    """Many different texts under one id, or none, are one row each in every join."""
+    from barline.llm.jaccard_join import texts_of
+
+    texts = [f"{i} words of a text number {i}" for i in range(300)]
+    for own in (None, 7):
+        docs = spark.createDataFrame([(own, t) for t in texts], "doc_id long, text string")
+        some = spark.sql(f"SELECT {2**63 - 1 if own is None else own}L AS doc_id, xxhash64('{texts[5]}') AS th, 'node' AS node")
+        assert [(r["node"], bytes(r["raw"]).decode()) for r in texts_of(docs, some).collect()] == [("node", texts[5])]
