@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns
 of documents (the last one returns packed pieces). n_chars follows the text.
+
+Defined results of every stage: a null or empty text is an empty document (the classifier scores
+it like any other; it has one empty line, no shingles, no words to mix and one token, the end);
+texts may be of any length and are treated whole; ids may be null or repeated, as documents are
+told apart by id and text; an empty table stays empty; columns beyond those of documents are
+dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier does not reject; it learns from the labels of sf_dir."""
+    """Documents the classifier does not reject; it learns from the labels of sf_dir (without usable ones nothing is rejected)."""
     net = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return accepted(docs.select(*COLUMNS), net)
 
@@ -64,7 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of at most 2048."""
+    """Pieces of token sequences of at most 2048; a null or empty text is the piece of its end token."""
     return packed(docs, str(public_tokenizers.path("word_bpe_49k.json")))
 
 
