@@ -38,13 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import sliced, text_of, written
+from .shared import KEPT, sliced, text_of, written
 
 WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = "\x1c\x1d\x1e\x1f"
@@ -131,6 +131,9 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+KEPT["packing"] = _word_ids.cache_clear
+
+
 def encode(path: str, texts: Iterable[str], end_id: int = END_ID) -> Iterator[bytes]:
     """The ids of each text and end_id, little-endian unsigned 16-bit (vocabularies of up to 65,536)."""
     words, tail = _word_ids(path), int(end_id).to_bytes(2, "little")
@@ -142,9 +145,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """TOKENS: ids as unsigned 16-bit (vocabularies of up to 65,536), start in the queue of (source, chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         chunk, upto = TaskContext.get().partitionId(), {}
-        for b in sliced(batches):
+        for b in sliced(batches, keep="packing"):
             ids, starts, counts = [], [], []
             for s, raw in zip(b.column(1).to_pylist(), encode(path, b.column(2).to_pylist(), end_id), strict=True):
                 starts.append(upto.get(s, 0))
@@ -274,8 +276,6 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, span_windows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(counts, window, span_windows, shares)
-        _word_ids.cache_clear()  # a worker that made tokens needs its words no more
-        pa.default_memory_pool().release_unused()
         for b in sliced(batches):
             rows = []
             for doc_id, source, at, n, ids in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):

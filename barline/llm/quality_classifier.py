@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import give_back, text_of
 
 CHUNK, OVERLAP = 1024, 64
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
@@ -182,6 +182,7 @@ def scored(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             s = [score(net, x.as_buffer().to_pybytes()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
@@ -194,6 +195,7 @@ def accepted(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,8 +76,23 @@ def word_count(text: Column) -> Column:
 SLICE = 512
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of a few rows, so that memory is bounded by the slice."""
+#: What operators keep in a Python worker from task to task: name -> how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(keep: str | None = None) -> None:
+    """Return to the system what earlier tasks of this worker have left: other operators' caches, free Arrow memory, free heap."""
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that memory is bounded by the slice; keep: the caches that this task goes on with."""
+    give_back(keep)
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
