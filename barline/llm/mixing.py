@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_of, word_count, written
+from .shared import give_back, text_of, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -154,6 +154,7 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        give_back()
         tree = SplitTree(quotas, shards, seed)
         for idx, at, size, whole, quota in batches:
             out = []

@@ -44,7 +44,7 @@ WINDOW = 2048
 SPAN_WINDOWS = 64
 END_ID = 1
 #: Words that a task remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: White space as the tokenizer's patterns have it; str.split() also cuts at U+001C to U+001F.
 WORD = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 ODD = "\x1c\x1d\x1e\x1f"

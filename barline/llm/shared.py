@@ -96,3 +96,4 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE, keep: str | Non
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back(keep)  # the worker may be idle from now on
