@@ -12,7 +12,8 @@ gives the whole part of its deficit, and the rest of the window goes to the larg
 what is over or short is carried to the next window. The filling depends on counts only, so
 whichever task holds a document works out its pieces without moving any token.
 
-A span's tokens that do not fill a window make up windows of powers of two: no padding at all.
+All windows are full but those of the last span's rest, which make up powers of two: at most 11
+short ones in all, and no padding.
 
 Tokens are made once, per white-space word with a bounded cache (the tokenizer splits at white
 space, so words encode alone as they do in place), and kept in the shared folder.
@@ -31,6 +32,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from functools import lru_cache
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -162,51 +164,76 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 class Spans:
     """What each window of each span takes from each queue; totals: tokens of the sources.
 
-    Windows hold the sources in the proportion of weights, by default that of all their tokens,
-    so that no queue ends before another. With other weights a queue may run dry: from there on
-    the others share its part by their weights; queues of weight 0 come when no other is left.
+    Token j (from 0) of source s is due at (2j + 1) / 2w_s, and a span is the next G tokens in
+    the order in which they are due, ties to the first source: the allotment of seats by the
+    divisor method of odd numbers, which never takes back what it has given. So every span but
+    the last holds whole windows, whatever the number of sources. Weights are the totals by
+    default, so that no queue ends before another. With other weights a queue may run dry: from
+    there on the others share its part by their weights; queues of weight 0 come when no other
+    is left, in the proportion of what they hold.
     """
 
     def __init__(self, totals: list[int], window: int = WINDOW, span_windows: int = SPAN_WINDOWS, weights: list[int] | None = None) -> None:
-        self.totals, self.all, self.window, self.size = totals, sum(totals), window, window * span_windows
-        self.stride = (self.size + len(totals)) // window + window.bit_length() + 1
+        self.totals, self.all, self.window, self.size, self.stride = totals, sum(totals), window, window * span_windows, span_windows
+        weights = weights or totals
+        self.rates = [w or t for w, t in zip(weights, totals, strict=True)]
+        held = [s for s, t in enumerate(totals) if t]
+        self.tiers = [x for x in ([s for s in held if weights[s]], [s for s in held if not weights[s]]) if x]
+        self.ends = {s: Fraction(totals[s], self.rates[s]) for s in held}
+        self.places = {s: (sum(totals[o] for x in self.tiers[:i] for o in x), [(self.rates[o], totals[o]) for o in tier]) for i, tier in enumerate(self.tiers) for s in tier}
+        self.bounds: dict[int, list[int]] = {}
         self.known: dict[int, tuple[list[list[int]], list[list[int]]]] = {}
-        self.phases = list(self._phases(weights or totals))
-        self.begins = [float(x) for x, *_ in self.phases]
-
-    def _phases(self, weights: list[int]) -> Iterator[tuple[Fraction, list[Fraction], list[int], int]]:
-        """(tokens of all sources before, of each source before, shares, their sum), until every queue is empty."""
-        at, taken = Fraction(0), [Fraction(0)] * len(self.totals)
-        while left := [s for s, t in enumerate(self.totals) if taken[s] < t]:
-            shares = [w if s in left else 0 for s, w in enumerate(weights)]
-            if not sum(shares):
-                shares = [self.totals[s] if s in left else 0 for s in range(len(self.totals))]
-            whole = sum(shares)
-            yield at, taken, shares, whole
-            step = min(Fraction((self.totals[s] - taken[s]) * whole, shares[s]) for s in left if shares[s])
-            taken = [t + step * w / whole for t, w in zip(taken, shares, strict=True)]
-            at += step
-
-    def taken(self, s: int, p: int) -> Fraction | int:
-        """What is due from source s before span p."""
-        x = min(p * self.size, self.all)
-        k = max(0, bisect_right(self.begins, x) - 1)
-        while k and self.phases[k][0] > x:
-            k -= 1
-        begin, before, shares, whole = self.phases[k]
-        return before[s] + (x - begin) * Fraction(shares[s], whole)
+
+    def due(self, at: int) -> list[Fraction | int]:
+        """What is due from each source when `at` tokens have been taken."""
+        out: list[Fraction | int] = [0] * len(self.totals)
+        for tier in self.tiers:
+            rate, before = sum(self.rates[s] for s in tier), 0  # of the queues that are not dry; held by the dry ones
+            for s in sorted(tier, key=self.ends.__getitem__):
+                if before + rate * self.ends[s] >= at:
+                    break
+                rate, before = rate - self.rates[s], before + self.totals[s]
+            time = Fraction(at - before, rate) if rate else None
+            for s in tier:
+                out[s] = self.totals[s] if time is None else min(time * self.rates[s], self.totals[s])
+            at -= min(at, sum(self.totals[s] for s in tier))
+        return out
+
+    def before(self, p: int) -> list[int]:
+        """Tokens of each source before span p; together they are p whole spans, or all tokens."""
+        if p in self.bounds:
+            return self.bounds[p]
+        at = min(p * self.size, self.all)
+        out = [min(int(x + Fraction(1, 2)), t) for x, t in zip(self.due(at), self.totals, strict=True)]
+        rest = at - sum(out)
+        for tier in self.tiers if rest > 0 else self.tiers[::-1]:
+            if rest > 0:
+                line = [(Fraction(2 * out[s] + 1, self.rates[s]), s) for s in tier if out[s] < self.totals[s]]
+            else:
+                line = [(-Fraction(2 * out[s] - 1, self.rates[s]), -s) for s in tier if out[s]]
+            heapify(line)
+            while rest and line:
+                s, step = abs(line[0][1]), 1 if rest > 0 else -1
+                out[s] += step
+                rest -= step
+                if 0 < out[s] < self.totals[s]:
+                    heapreplace(line, (step * Fraction(2 * out[s] + step, self.rates[s]), step * s))
+                else:
+                    heappop(line)
+        if len(self.bounds) > 4096:
+            self.bounds.clear()
+        self.bounds[p] = out
+        return out
 
     def bound(self, s: int, p: int) -> int:
         """Tokens of source s before span p."""
-        if len(self.phases) == 1:
-            return min(p * self.size, self.all) * self.phases[0][2][s] // self.phases[0][3]
-        return min(int(self.taken(s, p)), self.totals[s])
+        return self.before(p)[s]
 
     def of(self, s: int, at: int) -> int:
         """The span of token `at` of source s."""
-        if len(self.phases) > 1:
-            return bisect_right(range(-(-self.all // self.size)), at, key=lambda p: self.bound(s, p + 1))
-        p = at * self.all // (self.size * self.totals[s])
+        early, tier = self.places[s]
+        time = (at + 0.5) / self.rates[s]
+        p = min(early + int(sum([min(time * r, t) for r, t in tier])), self.all - 1) // self.size  # nearly
         while self.bound(s, p + 1) <= at:
             p += 1
         while self.bound(s, p) > at:
@@ -218,9 +245,9 @@ class Spans:
         if p in self.known:
             return self.known[p]
         n = len(self.totals)
-        low = [self.bound(s, p) for s in range(n)]
-        held = np.array([self.bound(s, p + 1) - low[s] for s in range(n)], dtype=np.int64)
-        owed = np.array([float(self.taken(s, p) - low[s]) for s in range(n)])
+        low = self.before(p)
+        held = np.array(self.before(p + 1), dtype=np.int64) - low
+        owed = np.array([float(x - y) for x, y in zip(self.due(p * self.size), low, strict=True)])
         deficit, left, total = owed - owed.mean(), held.copy(), int(held.sum())
         rest = total % self.window
         sizes = [self.window] * (total // self.window) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]

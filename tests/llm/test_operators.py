@@ -5,6 +5,7 @@ import io
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -147,6 +148,7 @@ def test_packing(docs, rows):
             assert o == at and k > 0
             at += k
         assert at == 64 or at < 64 and at & (at - 1) == 0  # no padding at all
+    assert sorted(fills) == list(range(n_tokens // 64 + (n_tokens % 64).bit_count()))  # only the last window is short
     by_doc = defaultdict(list)
     unique = {d: t for d, t in rows if [x for x, _ in rows].count(d) == 1}
     for p in pieces:
@@ -160,6 +162,25 @@ def test_packing(docs, rows):
         assert at == len(ids)
 
 
+@pytest.mark.parametrize(("totals", "weights"), [([701, 202, 93, 14, 3], None), ([1, 1, 1, 1], None), ([5, 0, 300], [1, 1, 1]), ([90, 5, 70, 3, 44], [1, 4, 2, 0, 0]), ([40, 80], [3, 2])])
+def test_spans_are_the_order_in_which_tokens_are_due(totals, weights):
+    spans, w = packing.Spans(totals, 16, 2, weights), weights or totals
+    order = sorted((w[s] == 0, Fraction(2 * j + 1, 2 * (w[s] or t)), s) for s, t in enumerate(totals) for j in range(t))
+    for p in range(-(-len(order) // 32) + 1):
+        part = Counter(s for *_, s in order[: 32 * p])
+        assert spans.before(p) == [part[s] for s in range(len(totals))]
+    for s, t in enumerate(totals):
+        for at in range(t):
+            p = spans.of(s, at)
+            assert spans.bound(s, p) <= at < spans.bound(s, p + 1)
+    filled = Counter()
+    for s, t in enumerate(totals):
+        for _, k, seq, _ in spans.pieces(s, 0, t) if t else ():
+            filled[seq] += k
+    assert sorted(filled) == list(range(len(filled))) and sum(filled.values()) == len(order)
+    assert sum(k < 16 for k in filled.values()) == (len(order) % 16).bit_count()
+
+
 def test_windows_hold_the_target_proportions():
     totals = [70_000, 20_000, 9_000, 1_000, 3]
     spans, share = packing.Spans(totals, 128, 8), np.array(totals) / sum(totals)
