@@ -117,6 +117,12 @@ def tell(a: argparse.Namespace, left_out: DataFrame) -> None:
             print(*r, file=sys.stderr)
 
 
+def database(spark: SparkSession, a: argparse.Namespace) -> PriceStore:
+    """The price database; with --verbose its updates say how far they are."""
+    heard = lambda step, what: print(step, *(f"{k}={v}" for k, v in what.items()), file=sys.stderr)
+    return PriceStore(spark, a.repo, heard if a.verbose else None)
+
+
 def years_before(day: date, years: int) -> date:
     try:
         return day.replace(year=day.year - years)
@@ -177,7 +183,7 @@ def say(**what) -> None:
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConfig) -> int:
-    store = PriceStore(spark, a.repo)
+    store = database(spark, a)
     with store.staging() as stage:
         rows = stage(files.vendor_rows(spark, *a.sources))  # archives are read once
         bars, left_out = files.usable_rows(rows)
@@ -240,7 +246,7 @@ def past(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConfig
 
 
 def update(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConfig) -> int:
-    store = PriceStore(spark, a.repo)
+    store = database(spark, a)
     actions = refresh(spark, a, store)
     coverage = store.coverage().first().asDict()
     say(actions=actions, **coverage)
@@ -249,7 +255,7 @@ def update(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConf
 
 def daily(spark: SparkSession, a: argparse.Namespace, out: Path, cfg: SetupConfig) -> int:
     began, today = time.time(), date.today()
-    store = PriceStore(spark, a.repo)
+    store = database(spark, a)
     actions = {} if a.skip_update else refresh(spark, a, store)
     coverage = store.coverage().first().asDict()
     problems = health(coverage, actions, today, a.max_failure_ratio, a.max_stale_days)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import bars as B
@@ -41,10 +41,15 @@ class PriceStore:
     if nobody has. Whoever comes second drops what they wrote and merges again on the new
     version, so two updates at a time both stay, and a failed write leaves nothing that counts.
     Version files stay for good, folders as long as one of the last VERSIONS needs them.
+
+    progress(step, what) hears of every table that an update writes, in order: what is
+    observed while the rows pass by, so nothing is read or run for it. Steps: staged, bars,
+    manifest; what: rows, symbols (estimated) and, where there are days, first and last. A step
+    that begins anew on a newer version is told again.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, progress: Callable[[str, dict], None] | None = None) -> None:
+        self.spark, self.root, self.progress = spark, root.rstrip("/"), progress
         self._good: dict[str, object] = {}  # manifests found readable, as they were listed then
 
     def _files(self, path: str):
@@ -132,6 +137,17 @@ class PriceStore:
         if old.manifest and all(v.manifest != old.manifest for v in live):
             self._remove(f"{self.root}/manifest/{old.manifest}")
 
+    def _write(self, step: str, df: DataFrame, path: str, *by: str) -> None:
+        """Write a new folder, and tell of its rows if anybody listens."""
+        seen = Observation() if self.progress else None
+        if seen is not None:
+            days = [F.min("date").alias("first"), F.max("date").alias("last")] if "date" in df.columns else []
+            names = [F.approx_count_distinct("symbol").alias("symbols")] if "symbol" in df.columns else []
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *names, *days)
+        df.write.partitionBy(*by).parquet(path)
+        if seen is not None:
+            self.progress(step, seen.get)
+
     @contextmanager
     def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
         """A function that writes a table and reads it back; the tables go when the block ends."""
@@ -139,7 +155,7 @@ class PriceStore:
 
         def stage(df: DataFrame) -> DataFrame:
             path = f"{folder}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
+            self._write("staged", df, path)
             return self.spark.read.schema(df.schema).parquet(path)
 
         try:
@@ -188,7 +204,7 @@ class PriceStore:
         folder = uuid.uuid4().hex
         out = rows.select(*B.CANONICAL).withColumns({c: F.round(c, 6) for c in B.OHLC}).withColumn("year", F.year("date"))
         ranged = out.repartitionByRange("year", "symbol").sortWithinPartitions("year", "symbol", "date")
-        ranged.write.partitionBy("year").parquet(f"{self.root}/prices/{folder}")
+        self._write("bars", ranged, f"{self.root}/prices/{folder}", "year")
         return folder, [int(n[5:]) for n in self._names(f"{self.root}/prices/{folder}") if n.startswith("year=")]
 
     def wanted(self, symbols: DataFrame, today: str, force: bool = False) -> DataFrame:
@@ -293,7 +309,7 @@ class PriceStore:
             keep(failing, day, "last_failure"), keep(failing, F.col("error"), "last_error"), keep(F.col("action") == "readjusted", day, "last_readjust"), keep(seen | failing, day, "last_check"),
         )
         folder = f"{base.number + 1:09d}-{uuid.uuid4().hex[:8]}"
-        out.coalesce(1).write.parquet(f"{self.root}/manifest/{folder}")
+        self._write("manifest", out.coalesce(1), f"{self.root}/manifest/{folder}")
         return folder
 
     def coverage(self) -> DataFrame:

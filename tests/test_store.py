@@ -7,8 +7,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from barline.functions.indicators import annotate
 from barline.operators import store as S
+from barline.operators.buckets import BucketedBars
+from barline.operators.detectors import breakout
 from barline.operators.store import PriceStore
+from barline.plans.config import BreakoutConfig
 
 from .test_bars import frame, line, run_cli, series
 
@@ -83,3 +87,49 @@ def test_replacement_empties_the_years_it_leaves(spark, tmp_path):
     store.ingest(frame(spark, series("A", line(10, 20, 5), start=date(2022, 3, 1))), "2022-06-02", merge=False)
     m = store.manifest().first()
     assert store.load().agg(F.min("date")).first()[0] == date(2022, 3, 1) == m["first_date"] and m["rows"] == store.load().count() == 5 and list(store.version().years) == [2022]
+
+
+def test_progress_is_told_without_a_job_of_its_own(spark, tmp_path):
+    def jobs(listen):
+        heard, tracker = [], spark.sparkContext.statusTracker()
+        store = PriceStore(spark, str(tmp_path / f"db{listen}"), (lambda *x: heard.append(x)) if listen else None)
+        spark.sparkContext.setJobGroup(f"progress{listen}", "")
+        store.update(frame(spark, series("A", line(10, 20, 300)) + series("B", line(10, 20, 40))), "2022-06-01")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return heard, len(tracker.getJobIdsForGroup(f"progress{listen}"))
+
+    (heard, told), (_, plain) = jobs(True), jobs(False)
+    assert told == plain > 0
+    assert [step for step, _ in heard] == ["staged", "staged", "staged", "bars", "manifest"]
+    bars, manifest = heard[3][1], heard[4][1]
+    assert bars == {"rows": 340, "symbols": 2, "first": date(2021, 1, 4), "last": bars["last"]} and bars["last"].year == 2022
+    assert manifest == {"rows": 2, "symbols": 2}
+
+
+def test_buckets_need_no_exchange_and_copy_only_what_changed(spark, tmp_path):
+    store, table = PriceStore(spark, str(tmp_path / "db")), BucketedBars(spark, "bars_by_symbol", 4)
+    assert table.sync(store) == [] and table.load().count() == 0
+    a, b = series("A", line(10, 20, 300)), series("B", line(30, 20, 280))
+    store.update(frame(spark, a[:255] + b), "2022-06-01")
+    assert table.sync(store) == [2021, 2022] and table.sync(store) == []
+    store.update(frame(spark, a[245:]), "2022-06-02")
+    changed = [y for y, f in store.version().years.items() if f != store.version(0).years.get(y)]
+    assert BucketedBars(spark, "bars_by_symbol", 99).buckets == 4 and table.sync(store) == changed
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(table.load()) == rows(store.load()) and len(rows(store.load())) == 580
+    assert rows(table.load("2022-01-03", "2022-01-10")) == rows(store.load("2022-01-03", "2022-01-10"))
+    bars = table.load()
+    other = bars.select("symbol", "date", F.col("close").alias("c2"))
+    counts = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for df in (annotate(bars), counts, bars.join(counts, "symbol"), breakout(annotate(bars), BreakoutConfig())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(annotate(bars)) == rows(annotate(store.load())) and bars.join(other, ["symbol", "date"]).count() == 580
+    store.ingest(frame(spark, series("A", line(10, 20, 5), start=date(2022, 3, 1))), "2022-06-03", merge=False)
+    store.ingest(frame(spark, series("B", line(10, 20, 5), start=date(2022, 3, 1))), "2022-06-03", merge=False)
+    assert table.sync(store) == [2022] and rows(table.load()) == rows(store.load()) and set(table.copied()) == {2022}
+    spark.sql("DROP TABLE bars_by_symbol")
