@@ -21,20 +21,29 @@ def percent_rank_of(c: str, *by: str) -> Column:
     return F.when(F.col(c).isNotNull(), rank * 100.0 / F.count(c).over(group))
 
 
-def percent_rank_of_all(df: DataFrame, c: str, name: str, scale: float = 1.0) -> DataFrame:
-    """df with percent_rank_of c among all its rows, without bringing them together.
-
-    Values fall into at most 3.2 * CELLS cells in their order; a row's rank is the count of the
-    cells before its own (a table of that bounded size) and its rank inside the cell.
+def percent_ranks_of_all(df: DataFrame, ranks: dict[str, tuple[str, float]]) -> DataFrame:
+    """df (a row per symbol) with percent_rank_of several columns among all its rows, without bringing them together.
+
+    ranks: name -> (column, scale). Values of all columns stand in one long table and fall into
+    at most 3.2 * CELLS cells a column, in their order; a row's rank is the count of the cells
+    before its own (one table of that bounded size for all columns) and its rank inside the
+    cell. df is used twice, however many columns are ranked. The row itself travels once,
+    beside its values, and comes back in the group by symbol.
     """
-    cell = F.floor(F.atan(F.col(c) / scale) * CELLS)
-    df = df.withColumn("_cell", F.coalesce(cell, F.lit(-(10**9)) - F.pmod(F.xxhash64("symbol"), F.lit(1000))))
-    cells = df.where(F.col(c).isNotNull()).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.select("_cell", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    rank = F.rank().over(Window.partitionBy("_cell").orderBy(c)) + (F.count(c).over(Window.partitionBy("_cell", c)) - 1) / 2
-    out = df.join(F.broadcast(cells), "_cell", "left").withColumn(name, F.when(F.col(c).isNotNull(), (F.col("_before") + rank) * 100.0 / F.col("_total")))
-    return out.drop("_cell", "_before", "_total")
+    items = [F.struct(F.lit(k).alias("_of"), F.col(c).cast("double").alias("_v"), F.floor(F.atan(F.col(c) / scale) * CELLS).alias("_cell")) for k, (c, scale) in ranks.items()]
+    values = F.filter(F.array(*items), lambda x: x["_v"].isNotNull())
+    key, total = Window.partitionBy("_of", "_cell"), Window.partitionBy("_of")
+    cells = df.select(F.inline(values)).groupBy("_of", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(total.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.select("_of", "_cell", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(total).alias("_total"))
+    own = F.struct(F.lit("").alias("_of"), F.lit(None).cast("double").alias("_v"), F.pmod(F.xxhash64("symbol"), F.lit(1000)).alias("_cell"))
+    whole = F.struct(*df.columns)
+    long = df.select("symbol", whole.alias("_row"), F.inline(F.concat(F.array(own), values)))
+    long = long.withColumn("_row", F.when(F.col("_of") == "", F.col("_row")))
+    inside = F.rank().over(key.orderBy("_v")) + (F.count("_v").over(Window.partitionBy("_of", "_cell", "_v")) - 1) / 2
+    long = long.join(F.broadcast(cells), ["_of", "_cell"], "left").withColumn("_rank", (F.col("_before") + inside) * 100.0 / F.col("_total"))
+    out = long.groupBy("symbol").agg(F.first("_row", ignorenulls=True).alias("_row"), *[F.max(F.when(F.col("_of") == k, F.col("_rank"))).alias(k) for k in ranks])
+    return out.select("_row.*", *ranks)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -64,7 +73,6 @@ def latest_ranks(annotated: DataFrame, weights: tuple[float, ...] = (0.4, 0.3, 0
     df = settled(last_bars(annotated))
     if common_date:
         df = df.join(F.broadcast(df.agg(F.max("date").alias("date"))), "date")
-    for r, c in zip(RANKS, RETURNS, strict=True):
-        df = percent_rank_of_all(df, c, r)
-    df = percent_rank_of_all(_blended(df, weights), "_blend", "rs_rank", 100.0)
+    df = percent_ranks_of_all(df, {r: (c, 1.0) for r, c in zip(RANKS, RETURNS, strict=True)})
+    df = percent_ranks_of_all(settled(_blended(df, weights)), {"rs_rank": ("_blend", 100.0)})
     return df.withColumns({r: measure(F.col(r)) for r in (*RANKS, "rs_rank")}).drop("_blend")

@@ -518,12 +518,16 @@ def test_cache_keeps_fresh_bars_and_falls_back_on_stale_ones(spark, tmp_path, mo
 
 
 def test_ranks_of_a_whole_universe_equal_those_of_one_window(spark):
-    from barline.operators.strength import percent_rank_of, percent_rank_of_all
-
-    values = [None, None, 0.1, 0.1, -0.9, 3.5, 0.1000001, 80.0, -0.2, 0.0, 0.0, 0.0]
-    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "symbol string, v double")
-    one = {r["symbol"]: r["p"] for r in df.withColumn("_all", F.lit(0)).withColumn("p", percent_rank_of("v", "_all")).collect()}
-    assert {r["symbol"]: r["p"] for r in percent_rank_of_all(df, "v", "p").collect()} == one
+    from barline.operators.strength import percent_rank_of, percent_ranks_of_all
+
+    v = [None, None, 0.1, 0.1, -0.9, 3.5, 0.1000001, 80.0, -0.2, 0.0, 0.0, 0.0]
+    w = [7.0, None, 7.0, 55.0, None, 55.0, 99.9, 0.0, 12.5, 12.5, 12.5, 100.0]
+    df = spark.createDataFrame([(str(i), *x, None) for i, x in enumerate(zip(v, w, strict=True))], "symbol string, v double, w double, gone double")
+    kept = lambda d: sorted(map(tuple, d.select("symbol", "v", "w", "gone", "p", "q", "r").collect()))
+    one = df.withColumn("_all", F.lit(0)).withColumns({"p": percent_rank_of("v", "_all"), "q": percent_rank_of("w", "_all"), "r": percent_rank_of("gone", "_all")})
+    ranked = percent_ranks_of_all(df, {"p": ("v", 1.0), "q": ("w", 100.0), "r": ("gone", 1.0)})
+    assert kept(ranked) == kept(one) and ranked.columns == [*df.columns, "p", "q", "r"]
+    assert percent_ranks_of_all(df.where("false"), {"p": ("v", 1.0)}).count() == 0
 
 
 def test_plans_end_to_end(market):
