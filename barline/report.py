@@ -9,6 +9,7 @@ from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PERCENT = {"dist_from_pivot", "risk_pct", "impulse_gain", "base_depth", "gap", "extension", "run_gain"}
 STYLE = "body{font:15px system-ui;margin:2rem}table{border-collapse:collapse}td,th{padding:.3rem .7rem;border-bottom:1px solid #ddd;text-align:right}.tile{display:inline-block;padding:.8rem 1.2rem;margin:.3rem;background:#f3f4f6;border-radius:6px}.tile b{display:block;font-size:1.4rem}img{max-width:420px}"
@@ -42,11 +43,18 @@ def picture(path: str | Path) -> str:
 def page(candidates: DataFrame, columns: list[str], title: str = "Scan", limit: int = 200, coverage: dict | None = None, actions: dict[str, int] | None = None, problems: Sequence[str] = (), errors: Sequence[tuple[str, str]] = (), charts: dict[str, str] | None = None) -> str:
     """A self-contained HTML page of the first `limit` candidates; what is beyond them is counted."""
     some = [c for c in columns if c in candidates.columns]
-    counts = {r["state"]: r["n"] for r in candidates.groupBy("state").count().withColumnRenamed("count", "n").collect()}
+    best = F.max("score") if "score" in candidates.columns else F.lit(None)
+    first, last = (F.min("date"), F.max("date")) if "date" in candidates.columns else (F.lit(None), F.lit(None))
+    states = candidates.groupBy("state").agg(F.count(F.lit(1)).alias("n"), best.alias("best"), first.alias("first"), last.alias("last")).collect()
+    counts = {r["state"]: r["n"] for r in states}
     total = sum(counts.values())
     rows = candidates.select(*some).limit(limit).toLocalIterator()
     body = "".join("<tr>" + "".join(f"<td>{shown(c, r[c])}</td>" for c in some) + f"<td>{picture(charts[r['symbol']]) if charts and r['symbol'] in charts else ''}</td></tr>" for r in rows)
     tiles = [tile("Candidates", total), *(tile(k, n) for k, n in sorted(counts.items()))]
+    if scores := [r["best"] for r in states if r["best"] is not None]:
+        tiles.append(tile("Best score", max(scores)))
+    if days := [d for r in states for d in (r["first"], r["last"]) if d is not None]:
+        tiles.append(tile("Bars of", max(days), f"from {min(days)}" if min(days) != max(days) else ""))
     if coverage:
         tiles.append(tile("Symbols healthy", coverage.get("symbols_healthy", 0), f"{coverage.get('total_rows', 0):,} bars"))
     tiles += [tile(k, n, "symbols") for k, n in sorted((actions or {}).items())]

@@ -8,6 +8,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import islice
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -123,7 +124,9 @@ def usable_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def universe(spark: SparkSession, given: str | list[str]) -> DataFrame:
-    """symbol, ord: distinct valid symbols in their first order, from a list, text ('A, B # note') or a file (.txt or .csv)."""
+    """symbol, ord: distinct valid symbols in their first order, from a list, text ('A, B # note'), a file (.txt or .csv) or a list that comes along ('sample')."""
+    if isinstance(given, str) and (own := Path(__file__).with_name(f"{given.lower()}.symbols")).is_file():
+        given = own.read_text().splitlines()
     if isinstance(given, str) and given.lower().endswith(".csv"):
         raw = spark.read.option("header", True).csv(given)
         names = {c.strip().lower(): c for c in raw.columns}

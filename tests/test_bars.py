@@ -391,6 +391,9 @@ def test_page_is_self_contained_and_escaped(spark):
     df = spark.createDataFrame([("<A&B>", "setup", 71.25, 0.051), ("C", "breakout", None, None)], "symbol string, state string, score double, risk_pct double")
     html = report.page(df, ["symbol", "state", "score", "risk_pct", "absent"], "T <x>", coverage={"symbols_healthy": 3, "total_rows": 1000}, problems=["bad & old"])
     assert "&lt;A&amp;B&gt;" in html and "5.1%" in html and "bad &amp; old" in html and "–" in html and "http" not in html and "<A&B>" not in html
+    assert "Best score<b>71.25</b>" in html and "Bars of" not in html
+    dated = report.page(df.withColumn("date", F.expr("if(state = 'setup', DATE'2024-01-02', DATE'2024-01-05')")), ["symbol"])
+    assert "Bars of<b>2024-01-05</b>from 2024-01-02" in dated and "Best score" not in report.page(df.where("score IS NULL"), ["symbol"])
 
 
 def test_settings():

@@ -8,9 +8,14 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
+from barline.functions.indicators import annotate
+from barline.operators import bars as B
+from barline.operators.detectors import SETUPS
 from barline.operators.store import PriceStore
-from barline.sources import archives, files, providers
+from barline.plans.config import settings
+from barline.sources import archives, files, providers, synthetic
 
 HEAD = "Date,Open,High,Low,Close,Volume\n"
 
@@ -139,3 +144,26 @@ def test_update_reads_every_file_under_its_own_header(spark, tmp_path, capsys):
     got = {r["symbol"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in store.load().collect()}
     assert got == {"AAA": (10, 12, 9, 11, 100), "BBB": (10, 12, 9, 11, 100), "CCC": (5, 6, 4.5, 5.5, 100)}
     assert {r["symbol"]: r["last_error"] for r in store.manifest().where("failures > 0").collect()} == {"DDD": "missing columns close, volume", "EEE": "no CSV"}
+
+
+def test_made_up_markets_are_found_by_the_setups(spark):
+    bars = synthetic.market(spark, 12)
+    assert "Exchange" not in bars._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bars) == rows(synthetic.market(spark, 12, partitions=5)) != rows(synthetic.market(spark, 12, seed=1))
+    assert rows(B.normalized(bars)) == rows(bars) and bars.where("weekday(date) > 4 OR NOT (low <= least(open, close) AND high >= greatest(open, close))").isEmpty()
+    days = bars.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("d"))
+    assert {(r["n"], r["d"], r["b"]) for r in days.collect()} == {(n, n, days.first()["b"]) for n in (191, 201, 176, 200)}
+    found = {}
+    for name, s in SETUPS.items():
+        cfg = settings(s.presets["default"], {"min_rs_rank": None}) if hasattr(s.presets["default"], "min_rs_rank") else s.presets["default"]
+        found[name] = {r["symbol"] for r in B.last_bars(s.detect(annotate(bars, cfg), cfg)).where("passed").collect()}
+    assert list(found.values()) == [{"COIL0", "COIL6"}, {"GAP1", "GAP7"}, {"CLIMAX2", "CLIMAX8"}]
+    assert synthetic.market(spark, 0).count() == 0
+    with pytest.raises(ValueError, match="weekday"):
+        synthetic.market(spark, 1, start=date(2021, 1, 3))
+
+
+def test_a_list_of_symbols_comes_along(spark):
+    names = [r["symbol"] for r in files.universe(spark, "sample").orderBy("ord").collect()]
+    assert names[:3] == ["AAPL", "MSFT", "NVDA"] and len(names) == len(set(names)) > 40 and "TECHNOLOGY" not in names
