@@ -539,3 +539,15 @@ def test_plans_end_to_end(market):
     row = scans.explain(market, "breakout", "BRK").first()
     assert row["reject"] == "" and scans.explain(market, "breakout", "BRK", "2021-03-01").first()["reject"] == "warmup"
     assert scans.around(market, B.last_bars(with_bar(market)).select("symbol", "bar"), 5, 5).groupBy("symbol").count().first()["count"] == 6
+
+
+def test_least_of_bars_back(spark):
+    """Two-level minima are those of one frame, whatever its length."""
+    from barline.operators.detectors import _least_back
+
+    rows = [("A", i, float((i * 37) % 29)) for i in range(70)]
+    df = spark.createDataFrame(rows, "symbol string, bar int, x double")
+    for first, last in ((0, 90), (1, 60), (1, 4), (1, 1), (0, 12)):
+        for r in _least_back(df, "m", F.struct("x", "bar"), first, last).collect():
+            seen = [(x, b) for _, b, x in rows if r.bar - last <= b <= r.bar - first]
+            assert (tuple(r.m) if r.m else None) == (min(seen) if seen else None)
