@@ -551,3 +551,34 @@ def test_least_of_bars_back(spark):
         for r in _least_back(df, "m", F.struct("x", "bar"), first, last).collect():
             seen = [(x, b) for _, b, x in rows if r.bar - last <= b <= r.bar - first]
             assert (tuple(r.m) if r.m else None) == (min(seen) if seen else None)
+
+
+def test_rounding_of_arrays_is_that_of_columns(spark):
+    """Half up by decimal digits, ties and large values included."""
+    import numpy as np
+
+    from barline.functions.columns import measure
+    from barline.functions.series import rounded
+
+    x = [0.5e-9, 1.5e-9, 2.5e-9, -2.5e-9, -0.5e-9, 1.0000000005, 0.1 + 0.2, 1234.5678901235, 1e15 + 0.3, 4503599627370497.5, -0.0, -1e-12, 0.1234567895, 98765.43215]
+    for places in (4, 9):
+        want = [r.y for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").select("i", measure(F.col("x"), places).alias("y")).orderBy("i").collect()]
+        assert rounded(np.array(x), places).tolist() == want
+
+
+def test_one_pass_takes_rows_as_they_come(spark):
+    """Rows in any order, missing values, columns of any name."""
+    rows = [(s, date(2020, 1, 1) + timedelta(days=i), None if i == 30 else 10.0 + i, s + str(i)) for s in ("A", "B") for i in range(70)]
+    df = spark.createDataFrame([(s, d, c, c, c, c, 100.0, n) for s, d, c, n in rows[::-1]], "symbol string, date date, open double, high double, low double, close double, volume double, `a b` string")
+    got = {(r.symbol, r.bar): r for r in annotate(df).collect()}
+    assert len(got) == 140 and all(r["a b"] == s + str(b) and r.date == date(2020, 1, 1) + timedelta(days=b) for (s, b), r in got.items())
+    assert got["A", 29].ma_fast == 34.5 and got["A", 30].ma_fast is None and got["B", 40].ma_fast == 45.5 and got["B", 51].ret_1m is None
+    assert got["A", 39].vol_avg20 == 100.0 and got["A", 8].vol_avg20 is None and got["A", 50].ma_mid_slope is None and got["A", 69].ma_mid_slope == round(100 / 60, 9)  # the mean of 20 averages
+
+
+def test_signals_are_found_once(spark):
+    """One pass over a symbol's bars finds the signals, one gives the bars of their trades; no window runs over measures of all bars."""
+    from barline import queries as Q
+
+    plan = Q.QUERIES["simulate_trades_breakout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _m#") == 2 and "collect_list" not in plan
