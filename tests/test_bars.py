@@ -582,3 +582,20 @@ def test_signals_are_found_once(spark):
 
     plan = Q.QUERIES["simulate_trades_breakout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("AS _m#") == 2 and "collect_list" not in plan
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Bars and ranks are dealt to as many tasks as the rows ask for, not to a fixed number."""
+    import re
+
+    from barline import queries as Q
+
+    monkeypatch.setattr(B, "ROWS", 500)
+    where = "/root/testdata/sf0.001"
+    parts = B.parts_for(spark.read.parquet(f"{where}/lineitem.parquet"))
+    assert parts >= 12
+    for name, least in (("rs_composite", 2), ("rs_horizon_rank", 2), ("returns_1m_3m_6m", 1)):
+        plan = Q.QUERIES[name](spark, where)._jdf.queryExecution().executedPlan().toString()
+        found = re.findall(r"hashpartitioning\((?:date|l_suppkey)#\d+, (\d+)\)", plan)
+        assert len(found) >= least and set(found) == {str(parts)}, name
+    assert Q.annotated(spark, where, newest=True, only=("ret_1m",)).count() == Q.bars(spark, where).select("symbol").distinct().count()
