@@ -2,9 +2,10 @@ r"""Documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or
 
 T-occurrence search: two sets are linked only if they share T = ceil(0.75 n) shingles of
 either. In one global order of shingles, rare before frequent, linked sets share a shingle
-among the first n - T + 1 of both. The order comes from a count sketch of fixed size over all
-documents: shingles that stand out are "long", all others "short" and ordered by hash; any
-order gives the same links, a good one keeps the lists short.
+among the first n - T + 1 of both. All shingles are counted, by 32 bits of their hash; those
+that many documents hold are "long" and come last, those before and after ordered by hash. How
+many are too many does not depend on the input, so that lists of unlike documents do not grow
+with it. Any order gives the same links, a good one keeps the lists short.
 
 1. Every document becomes a node, the 128-bit hash of its set; equal sets are one node.
 2. The first n - T + 1 shingles of each node go to inverted lists, a row per shingle and node
@@ -46,16 +47,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sliced, text_of, written
+from .shared import drop_table, new_path, sliced, text_of, written
 from .shingles import shingle_sets
 
 #: Least similarity in percent.
 PERCENT = 75
-#: Counters of the sketch (its size is fixed) and parts it is summed in.
-COUNTERS, PARTS = 1 << 18, 16
-#: A shingle is long if its counter exceeds the mean by so much: a number, and standard deviations.
-LONG, LONG_SIGMAS = 64, 8
-#: Shingles that a task counts at once, and list entries that it sends off together.
+#: Documents from which on a shingle is long, or longer, and the number of its hash's first bits by which a table of fixed size tells it: shingles that share them with a long one are long too.
+LONG = ((8, 26), (128, 23))
+#: First bits of a hash: shingles that share them are counted together.
+PART = 10
+#: Shingles that a task sorts at once to be counted.
+COUNTED = 1 << 21
+#: List entries that a task sends off together.
 RUN = 1 << 19
 #: Nodes that a task remembers to have sent.
 SEEN = 100_000
@@ -113,66 +116,111 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     return shingle_sets([x.as_buffer().to_pybytes() for x in column])
 
 
-def count_sketch(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Documents (doc_id, node, h: 64 bits of it, n, bits, th: the text's hash), and how many of them hold a shingle, by counter: COUNTERS numbers whatever the input."""
-    names = ["doc_id", "node", "h", "n", "bits", "th", "part", "some", "counts"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    ddl = "doc_id long, node binary, h long, n long, bits binary, th long, part int, some int, counts binary"
+def packed(slots: np.ndarray) -> bytes:
+    """Sorted numbers as gaps of 16 bits; a gap that begins with 0xFFFF goes on."""
+    more, rest = np.divmod(np.diff(slots.astype(np.int64), prepend=0), 0xFFFF)
+    out = np.full(len(rest) + int(more.sum()), 0xFFFF, np.uint16)
+    out[np.cumsum(more + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint16)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 0xFFFF].astype(np.uint32)
+
+
+def count_shingles(docs: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
+    """Documents (doc_id, node, h: 64 bits of it, n, bits, th: the text's hash), and a table of bits for each entry of LONG."""
+    names = ["doc_id", "node", "h", "n", "bits", "th", "part", "slots"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    ddl = "doc_id long, node binary, h long, n long, bits binary, th long, part int, slots binary"
 
     def batch(size: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(size, t) for k, t in zip(names, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        held, size = [], 0
+        seen: set[bytes] = set()
 
-        def count() -> None:
-            counts[:] += np.bincount((np.concatenate(held) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        def sent() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held))
+            cuts = np.append(np.searchsorted(slots, np.arange(1 << PART, dtype=np.uint32) << np.uint32(32 - PART)), len(slots))
+            parts = np.flatnonzero(np.diff(cuts)).tolist()
+            return batch(len(parts), part=parts, slots=[packed(slots[cuts[p] : cuts[p + 1]] & np.uint32((1 << 32 - PART) - 1)) for p in parts])
 
         for b in sliced(batches):
             nodes, sizes, bits = [], [], []
             for s in _sets(b.column(1)):
-                nodes.append(node_of(s))
+                node = node_of(s)
+                nodes.append(node)
                 sizes.append(len(s))
                 bits.append(bitmap(s))
-                held.append(s)
-                size += len(s)
-                if size > RUN:
-                    count()
+                if len(s) and node not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    held.append((s >> _U(32)).astype(np.uint32))
+                    size += len(s)
+                if size > COUNTED:
+                    yield sent()
                     held, size = [], 0
             yield batch(len(nodes), doc_id=b.column(0), node=nodes, h=[short_of(x) for x in nodes], n=sizes, bits=bits, th=b.column(2))
         if held:
-            count()
-        task = TaskContext.get().partitionId()
-        yield batch(PARTS, part=range(PARTS), some=[task // 256] * PARTS, counts=[x.tobytes() for x in counts.reshape(PARTS, -1)])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t["counts"])
-        return pa.table({"part": t["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, ddl), "shingle-counts")
-    each = made.where("part is not null").select("part", "some", "counts")
-    sums = each.groupBy("part", "some").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    found = sums.orderBy("part").toArrow()["counts"].to_pylist()
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in found]) if found else np.zeros(COUNTERS, np.int64)
-    return made.where("part is null").select("doc_id", "node", "h", "n", "bits", "th"), counts
-
+            yield sent()
 
-def long_counters(counts: np.ndarray) -> np.ndarray:
-    return counts > counts.mean() + LONG_SIGMAS * np.sqrt(counts.mean()) + LONG
+    def told(held: list[np.ndarray]) -> list[bytes]:
+        slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        out = []
+        for least, first in LONG:
+            bits = np.zeros(1 << first - PART, bool)
+            bits[slots[counts >= least] >> np.uint32(32 - first)] = True
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+        return out
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part, so a task holds the shingles of one."""
+        part, held = None, []
 
-def ordered(tokens: np.ndarray, is_long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Short and long shingles of a set, each by hash."""
-    far = is_long[(tokens & _U(COUNTERS - 1)).astype(np.int64)]
-    return tokens[~far], tokens[far]
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([told(held)], pa.list_(pa.binary()))], names=["part", "bits"])
 
-
-def prefix_lists(docs: DataFrame, is_long: np.ndarray, percent: int = PERCENT) -> DataFrame:
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if p != part:
+                    if held:
+                        yield row()
+                    part, held = p, []
+                held.append(unpacked(x.as_buffer()))
+        if held:
+            yield row()
+
+    spark, at = docs.sparkSession, new_path(docs.sparkSession, "shingle-counts")
+    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, ddl), "shingle-counts", at=at)
+    slots = made.where("part is not null").select("part", "slots").repartition("part").sortWithinPartitions("part")
+    found = written(slots.mapInArrow(tell, "part int, bits array<binary>"), "shingle-long").toArrow()
+    tables = [np.zeros((1 << PART, 1 << first - PART - 3), np.uint8) for _, first in LONG]
+    for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        for table, x in zip(tables, bits, strict=True):
+            table[part] = np.frombuffer(x, np.uint8)
+    rows = written(made.where("part is null").select("doc_id", "node", "h", "n", "bits", "th"), "shingle-documents")
+    drop_table(spark, at)
+    return rows, [x.ravel() for x in tables]
+
+
+def ordered(tokens: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """A set's shingles (sorted by hash), long ones last and longer ones after them."""
+    level = np.zeros(len(tokens), np.uint8)
+    for table, (_, first) in zip(tables, LONG, strict=True):
+        at = tokens >> _U(64 - first)
+        level += table[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1
+    return tokens[np.argsort(level, kind="stable")]
+
+
+def prefix_lists(docs: DataFrame, tables: list[np.ndarray], percent: int = PERCENT) -> DataFrame:
     """Members of lists of two or more nodes, each pair once: leader (the list's first node), h; both by 64 bits."""
-    told = docs.sparkSession.sparkContext.broadcast(np.packbits(is_long))  # COUNTERS bits
+    told = docs.sparkSession.sparkContext.broadcast(tables)  # 9 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = np.unpackbits(told.value).astype(bool)
         seen: set[bytes] = set()
         tokens, nodes, size = [], [], 0
 
@@ -186,7 +234,7 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, percent: int = PERCENT) -
                     if len(seen) > SEEN:
                         seen.clear()
                     seen.add(node)
-                    first = np.concatenate(ordered(s, far))[: n - -(-percent * n // 100) + 1]
+                    first = ordered(s, told.value)[: n - -(-percent * n // 100) + 1]
                     tokens.append(first)
                     nodes.append(np.full(len(first), short_of(node), np.int64))
                     size += len(first)
@@ -214,7 +262,9 @@ def prefix_lists(docs: DataFrame, is_long: np.ndarray, percent: int = PERCENT) -
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "h"])
 
     entries = _rows(docs).mapInArrow(run, "token long, h long")
-    return written(entries.repartition("token").sortWithinPartitions("token", "h").mapInArrow(meet, "leader long, h long").distinct(), "shingle-lists")
+    lists = written(entries.repartition("token").sortWithinPartitions("token", "h").mapInArrow(meet, "leader long, h long").distinct(), "shingle-lists")
+    told.destroy()
+    return lists
 
 
 def weighed(lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -453,10 +503,9 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
 
 
 def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of count_sketch; node, doc_id, label: the class of each node that isn't the empty set."""
-    rows, counts = count_sketch(docs)
-    is_long = long_counters(counts)
-    lists = prefix_lists(docs, is_long, percent)
+    """Rows of count_shingles; node, doc_id, label: the class of each node that isn't the empty set."""
+    rows, tables = count_shingles(docs)
+    lists = prefix_lists(docs, tables, percent)
     classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first.*", "h", "n", "bits")
     labels = components(links(lists, classes, docs, percent))
     return rows, classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

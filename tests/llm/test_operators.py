@@ -397,6 +397,27 @@ def test_jaccard_classes_of_groups_with_many_shingles(spark, monkeypatch):
     assert H.same(got, H.classes(rows))
 
 
+def test_counted_shingles_come_back_from_their_gaps():
+    rng = np.random.default_rng(4)
+    for slots in (np.empty(0, np.uint32), np.array([0, 0, 65534, 131069, 196605, 2**32 - 1], np.uint32), np.sort(rng.integers(0, 1 << 22, 500).astype(np.uint32))):
+        assert jaccard_join.unpacked(jaccard_join.packed(slots)).tolist() == slots.tolist()
+
+
+def test_passages_of_unlike_documents_make_no_lists(spark):
+    """Each passage is in 40 of 400 documents: too few to stand out among many, too many for lists that the input does not lengthen."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}_{i}" for i in range(12)) for k in range(60)]
+    own = lambda i, n: " ".join(f"o{i}_{n}_{k}" for k in range(10))
+    rows = [(i, " ".join(f"{own(i, n)} {passages[k]}" for n, k in enumerate(rng.choice(60, 6, replace=False)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, tables = jaccard_join.count_shingles(df)
+    assert found.count() == 400 and [int(np.unpackbits(t).sum()) for t in tables] == [60 * 8, 0]
+    assert jaccard_join.prefix_lists(df, tables).count() == 0
+    copies = [*rows[:40], *((1000 + i, f"{t} and more") for i, t in rows[:20])]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(copies, "doc_id long, text string")).collect()
+    assert H.same(got, H.classes(copies))
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
