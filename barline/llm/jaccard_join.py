@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, new_path, sliced, text_of, written
+from .shared import sliced, tables_dropped, text_of, written
 from .shingles import shingle_sets
 
 #: Least similarity in percent.
@@ -194,16 +194,15 @@ def count_shingles(docs: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
         if held:
             yield row()
 
-    spark, at = docs.sparkSession, new_path(docs.sparkSession, "shingle-counts")
-    made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, ddl), "shingle-counts", at=at)
-    slots = made.where("part is not null").select("part", "slots").repartition("part").sortWithinPartitions("part")
-    found = written(slots.mapInArrow(tell, "part int, bits array<binary>"), "shingle-long").toArrow()
+    with tables_dropped(docs.sparkSession):
+        made = written(_rows(docs, F.xxhash64(text_of()).alias("th")).mapInArrow(run, ddl), "shingle-counts")
+        slots = made.where("part is not null").select("part", "slots").repartition("part").sortWithinPartitions("part")
+        found = written(slots.mapInArrow(tell, "part int, bits array<binary>"), "shingle-long").toArrow()
+        rows = written(made.where("part is null").select("doc_id", "node", "h", "n", "bits", "th"), "shingle-documents")
     tables = [np.zeros((1 << PART, 1 << first - PART - 3), np.uint8) for _, first in LONG]
     for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
         for table, x in zip(tables, bits, strict=True):
             table[part] = np.frombuffer(x, np.uint8)
-    rows = written(made.where("part is null").select("doc_id", "node", "h", "n", "bits", "th"), "shingle-documents")
-    drop_table(spark, at)
     return rows, [x.ravel() for x in tables]
 
 
@@ -505,9 +504,9 @@ def links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int = PE
 def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows of count_shingles; node, doc_id, label: the class of each node that isn't the empty set."""
     rows, tables = count_shingles(docs)
-    lists = prefix_lists(docs, tables, percent)
     classes = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first.*", "h", "n", "bits")
-    labels = components(links(lists, classes, docs, percent))
+    with tables_dropped(docs.sparkSession):
+        labels = components(links(prefix_lists(docs, tables, percent), classes, docs, percent))
     return rows, classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
 
 

@@ -21,7 +21,7 @@ from barline.llm.line_dedup import line_dedup
 from barline.llm.mixing import drawn
 from barline.llm.packing import packed
 from barline.llm.quality_classifier import accepted, train
-from barline.llm.shared import text_of, written
+from barline.llm.shared import drop_table, tables_dropped, text_of, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -87,7 +87,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; a stage's own tables, and what it has read, go as soon as its result is written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with tables_dropped(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        for path in read:
+            drop_table(spark, path)
+        read = made
     return STAGES[-1][1](spark, docs, sf_dir)

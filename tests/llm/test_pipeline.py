@@ -78,6 +78,25 @@ def test_run_is_the_stages_one_after_the_other(spark, sf_dir):
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns) and cp.ORACLE_SQL is None
 
 
+def test_run_holds_one_table_of_a_stage_at_a_time(spark, sf_dir, monkeypatch):
+    from barline.llm import shared
+
+    from .test_shared import _tables
+
+    before, held = _tables(spark), []
+
+    def watched(stage):
+        def run(*a):
+            held.append({x.rpartition("-")[0] for x in _tables(spark) - before})
+            return stage(*a)
+
+        return run
+
+    monkeypatch.setattr(cp, "STAGES", [(name, watched(stage)) for name, stage in cp.STAGES])
+    assert cp.run(spark, sf_dir).count() > 0
+    assert held == [set(), *({f"stage-{name}"} for name, _ in cp.STAGES[:-1])] and not shared._open.made
+
+
 def test_null_and_repeated_ids_keep_their_texts(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(30 + k))
     data = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4) + " tail"), (None, text(3) + " tail"), (9, text(5)), (9, text(5)), (None, ""), (None, None)]
